@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import reports
+from ..operators import explore, features, history, metrics, reports
 from ..sources.fixture import session_store
 from .periods import PERIODS
 
@@ -42,4 +42,46 @@ def queries() -> dict[str, Query]:
     q["an_campaigns"] = _report(reports.campaigns, "two_month")
     q["an_pageviews_by_browser"] = _report(reports.pageviews_by_browser, "two_month")
     q["an_sessions_by_weekday"] = _report(reports.sessions_by_weekday, "two_month")
+
+    # exploration
+    q["pre_preview_shard"] = lambda spark, sf: explore.flat(
+        explore.preview(session_store(spark, sf).shard(PERIODS["shard"][0])))
+    q["pre_scan_range_known_visitor"] = lambda spark, sf: explore.flat(
+        explore.known_visitors(_period(spark, sf, "known_visitor")))
+    q["pre_unnest_hits"] = lambda spark, sf: explore.unnest_hits(_period(spark, sf, "month"))
+
+    # metric tables, training and hold-out periods
+    metric_fns = {
+        "met_traffic_all": lambda s: metrics.traffic(s),
+        "met_traffic_nonnull": lambda s: metrics.traffic(s, rate_over_non_null=True),
+        "met_device": metrics.device,
+        "met_temporal": metrics.temporal,
+        "met_user": metrics.users,
+        "met_conversion": metrics.conversion,
+    }
+    for name, fn in metric_fns.items():
+        q[name] = _report(fn, "train")
+        q[f"{name}_test"] = _report(fn, "test")
+
+    # visitor history over all shards, class-balancing sample alone
+    q["hist_prior_days"] = lambda spark, sf: history.prior_days(session_store(spark, sf).all())
+    q["sample_keep_positives_p10"] = _report(lambda s: features.sampled(s, 0.1), "train")
+    q["sample_keep_positives_p05"] = _report(lambda s: features.sampled(s, 0.05), "train")
+
+    # feature sets
+    for period in ("train", "test"):
+        q[f"feat_basic_{period}"] = _report(features.basic, period)
+        q[f"feat_extended_{period}"] = _report(features.extended, period)
+        q[f"feat_enriched_{period}"] = _report(features.enriched, period)
+        q[f"feat_history_{period}"] = _history_query(period)
+    q["feat_history_score"] = _history_query("test", for_scoring=True)
     return q
+
+
+def _history_query(period: str, for_scoring: bool = False) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = session_store(spark, sf_dir)
+        start, end = PERIODS[period]
+        return features.history(store.between(start, end), store.all(),
+                                start=start, end=end, for_scoring=for_scoring)
+    return run

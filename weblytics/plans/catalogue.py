@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import explore, features, history, metrics, reports
+from ..operators import evaluation, explore, features, history, metrics, reports
+from ..sources import published
+from . import ml, publish
 from ..sources.fixture import session_store
 from .periods import PERIODS
 
@@ -75,9 +77,77 @@ def queries() -> dict[str, Query]:
         q[f"feat_enriched_{period}"] = _report(features.enriched, period)
         q[f"feat_history_{period}"] = _history_query(period)
     q["feat_history_score"] = _history_query("test", for_scoring=True)
+
+    # evaluation operators on a fixed, model-free score (all sessions)
+    q["ml_evaluate_fixed_score"] = lambda spark, sf: evaluation.evaluate(
+        evaluation.fixed_score(session_store(spark, sf).all()))
+    q["ml_confusion_fixed_score"] = lambda spark, sf: evaluation.confusion(
+        evaluation.fixed_score(session_store(spark, sf).all()))
+
+    # the four models: train (and store), evaluate and confusion on the hold-out
+    for name in ml.MODELS:
+        q[f"ml_train_{name}"] = _train_query(name)
+        q[f"ml_evaluate_{name}"] = _holdout_query(name, evaluation.evaluate)
+        q[f"ml_confusion_{name}"] = _holdout_query(name, evaluation.confusion)
+
+    # scoring and publishing with the history model
+    q["ml_predict_sessions"] = _predict_query
+    q["pub_daily_predictions"] = _publish_query
     return q
 
 
+RUN_DATE = "2024-01-31"     # fixed prediction date of the registered publish run
+
+
+def feature_set(store, name: str, period: str, for_scoring: bool = False) -> DataFrame:
+    start, end = PERIODS[period]
+    s = store.between(start, end)
+    if name == "basic":
+        return features.basic(s)
+    if name == "extended":
+        return features.extended(s)
+    if name == "enriched":
+        return features.enriched(s)
+    if name == "history":
+        return features.history(s, store.all(), start=start, end=end, for_scoring=for_scoring)
+    raise KeyError(name)
+
+
+def _model(spark: SparkSession, store, name: str):
+    return ml.load_or_train(spark, feature_set(store, name, "train"), ml.MODELS[name], store.key)
+
+
+def _train_query(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = session_store(spark, sf_dir)
+        trained = ml.train(spark, feature_set(store, name, "train"), ml.MODELS[name])
+        ml.save(trained.model, ml.model_path(spark, store.key, name), replace=True)
+        return trained.summary
+    return run
+
+
+def _holdout_query(name: str, metric) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = session_store(spark, sf_dir)
+        model = _model(spark, store, name)
+        return metric(ml.score(model, feature_set(store, name, "test")))
+    return run
+
+
+def _predict_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = session_store(spark, sf_dir)
+    model = _model(spark, store, "history")
+    return publish.predictions(model, feature_set(store, "history", "test", for_scoring=True))
+
+
+def _publish_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = session_store(spark, sf_dir)
+    scored = _predict_query(spark, sf_dir)
+    path = f"{store.root.rsplit('/sessions/', 1)[0]}/published/{store.key}/daily_predictions"
+    publish.publish(scored, path, RUN_DATE)
+    return published.read(spark, path, RUN_DATE)
+
+
 def _history_query(period: str, for_scoring: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         store = session_store(spark, sf_dir)

@@ -39,5 +39,10 @@ class SessionStore:
         (string comparison, both ends included)."""
         return self.all().where(F.col(S.SUFFIX).between(F.lit(start), F.lit(end)))
 
+    @property
+    def key(self) -> str:
+        """Short name of the stored table (its last path component)."""
+        return self.root.rstrip("/").rsplit("/", 1)[-1]
+
     def __repr__(self) -> str:
         return f"SessionStore({self.root!r})"

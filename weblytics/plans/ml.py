@@ -230,16 +230,23 @@ def model_path(spark: SparkSession, key: str, name: str) -> str:
     return f"{work_dir(spark)}/weblytics/models/{key}/{name}"
 
 
+# models loaded in this process, by path (a forest is many small files)
+_LOADED: dict[str, PipelineModel] = {}
+
+
 def save(model: PipelineModel, path: str, replace: bool = True) -> None:
     """``CREATE OR REPLACE MODEL`` (replace) / ``CREATE MODEL`` (fail if present)."""
     writer = model.write()
     if replace:
         writer = writer.overwrite()
     writer.save(path)
+    _LOADED[path] = model
 
 
 def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    if path not in _LOADED:
+        _LOADED[path] = PipelineModel.load(path)
+    return _LOADED[path]
 
 
 def load_or_train(spark: SparkSession, features_df: DataFrame, spec: ModelSpec, key: str) -> PipelineModel:

@@ -77,3 +77,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         return bool(fs.exists(jpath))
     except Exception:  # no JVM gateway (e.g. a remote session): plain path check
         return os.path.exists(path.replace("file:", "", 1))
+
+
+def file_stamp(spark: SparkSession, path: str) -> str:
+    """``size:modification-time`` of a file or folder through its Hadoop file
+    system (local, HDFS or object store); ``?`` when it cannot be read."""
+    try:
+        jvm = spark.sparkContext._jvm
+        jpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        summary = fs.getContentSummary(jpath)
+        status = fs.getFileStatus(jpath)
+        return f"{summary.getLength()}:{status.getModificationTime()}"
+    except Exception:
+        try:
+            st = os.stat(path)
+            return f"{st.st_size}:{int(st.st_mtime * 1000)}"
+        except OSError:
+            return "?"

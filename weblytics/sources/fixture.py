@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import schema as S
-from ..session import configure, path_exists, work_dir
+from ..session import configure, file_stamp, path_exists, work_dir
 from .sessions import SessionStore
 
 EXPORT_VERSION = "1"
@@ -159,18 +159,19 @@ def export_sessions(spark: SparkSession, sf_dir: str, root: str) -> SessionStore
     return SessionStore(spark, root)
 
 
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(f"{EXPORT_VERSION}|{os.path.abspath(sf_dir)}".encode())
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Key of an export: code version, input folder, and size and
+    modification time of every input table."""
+    h = hashlib.sha1(f"{EXPORT_VERSION}|{_abs(sf_dir)}".encode())
     for name in ("events", "customer", "nation", "region"):
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"|{name}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(f"|{name}:?".encode())
+        h.update(f"|{name}:{file_stamp(spark, f'{sf_dir}/{name}.parquet')}".encode())
     return h.hexdigest()[:16]
 
 
+def _abs(path: str) -> str:
+    return path if "://" in path else os.path.abspath(path)
+
+
 _EXPORTED: dict[tuple[int, str], SessionStore] = {}
 
 
@@ -180,10 +181,10 @@ def session_store(spark: SparkSession, sf_dir: str) -> SessionStore:
     Lives under the cluster's shared work folder, keyed by the input files, so
     it is reused by later queries and survives the loss of any executor."""
     configure(spark)
-    key = (id(spark), os.path.abspath(sf_dir))
+    key = (id(spark), _abs(sf_dir))
     if key in _EXPORTED:
         return _EXPORTED[key]
-    root = f"{work_dir(spark)}/weblytics/sessions/{_fingerprint(sf_dir)}"
+    root = f"{work_dir(spark)}/weblytics/sessions/{_fingerprint(spark, sf_dir)}"
     if path_exists(spark, f"{root}/_SUCCESS"):
         store = SessionStore(spark, root)
     else:

@@ -46,3 +46,11 @@ def test_unique_session_id_propagates_null(spark):
     from weblytics.functions.columns import session_key
     assert df.select(session_key().alias("k")).first().k is None
     assert df.select(F.concat_ws("-", "fullVisitorId", "visitId")).first()[0] == "5"
+
+
+def test_append_mode_adds_rows(spark, store):
+    path = f"{work_dir(spark)}/test-published/{uuid.uuid4().hex}"
+    scored = _scored(spark, store).limit(10)
+    publish.publish(scored, path, "2024-01-31", mode="append")
+    publish.publish(scored, path, "2024-01-31", mode="append")
+    assert published.read(spark, path, "2024-01-31").count() == 20

@@ -107,11 +107,40 @@ def enriched(sessions: DataFrame, p: float | None = 0.05, seed: int | None = 42,
     joins without any condition."""
     if mode not in ("as_written", "filter"):
         raise ValueError("mode must be 'as_written' or 'filter'")
+    base = sessions
+    if p is not None:
+        base = base.withColumn("_drawn", keep_positives(p, seed))
+        if mode == "filter":
+            base = base.where(F.col("_drawn"))
+    # the metric tables always see the whole period
+    main = main_dataset(base, metrics_from=sessions)
     traffic = M.traffic(sessions).select("source", "bounce_rate")
-    dev = M.device(sessions)
-    temporal = M.temporal(sessions)
-    users = M.users(sessions)
+    main = main.join(traffic, F.col("trafficSource.source") == traffic.source, "left")
+    bounce = F.col("bounce_rate")
+    if p is not None and mode == "as_written":
+        bounce = F.when(F.col("_drawn"), bounce)
+    common = _common()
+    cols = [(bounce if n == "bounce_rate" else F.col(n) if n in MAIN_EXTRA else common[n]).alias(n)
+            for n in ENRICHED]
+    return main.select(*_head(), *cols)
+
+
+MAIN_EXTRA = ["day_of_week", "month", "is_weekend", "day_of_month", "device_country",
+              "medium_timeofday", "browser_os", "time_on_site_category", "total_visits_user",
+              "visits_day_of_week", "sessions_by_device_type"]
+
 
+def main_dataset(sessions: DataFrame, metrics_from: DataFrame | None = None) -> DataFrame:
+    """Every session column plus calendar features, crossed categories, the
+    time-on-site category and three joined counts: the visitor's sessions in
+    the period (default 1), sessions on the same weekday x month (default 0)
+    and sessions of the same OS x category x browser (default 0; a NULL key
+    part never matches).  ``metrics_from`` is the period the counts are taken
+    from (default: ``sessions``)."""
+    period = sessions if metrics_from is None else metrics_from
+    dev = M.device(period)
+    temporal = M.temporal(period)
+    users = M.users(period)
     d = X.session_date("date")
     hour = X.utc_hour("visitStartTime")
     base = sessions.select(
@@ -124,44 +153,23 @@ def enriched(sessions: DataFrame, p: float | None = 0.05, seed: int | None = 42,
         F.concat(F.col("trafficSource.medium"), F.lit("_"), X.time_of_day(hour)).alias("medium_timeofday"),
         F.concat(F.col("device.browser"), F.lit("_"), F.col("device.operatingSystem")).alias("browser_os"),
         X.time_on_site_category(F.col("totals.timeOnSite")).alias("time_on_site_category"),
-        F.col("trafficSource.source").alias("_source"),
-        F.col("device.operatingSystem").alias("_os"),
-        F.col("device.deviceCategory").alias("_cat"),
-        F.col("device.browser").alias("_browser"),
     )
-    if p is not None:
-        base = base.withColumn("_drawn", keep_positives(p, seed))
-        if mode == "filter":
-            base = base.where(F.col("_drawn"))
-
-    main = (base
-            .join(users, "fullVisitorId", "left")
-            # at most 7 x 12 rows: a broadcast whose size is bounded by the calendar
-            .join(F.broadcast(temporal), ["day_of_week", "month"], "left")
-            .join(dev, (F.col("_os") == dev.operating_system)
-                  & (F.col("_cat") == dev.device_category)
-                  & (F.col("_browser") == dev.browser), "left")
-            .join(traffic, F.col("_source") == traffic.source, "left"))
-    bounce = F.col("bounce_rate")
-    if p is not None and mode == "as_written":
-        bounce = F.when(F.col("_drawn"), bounce)
-    extra = {
-        "day_of_week": F.col("day_of_week"),
-        "month": F.col("month"),
-        "is_weekend": F.col("is_weekend"),
-        "day_of_month": F.col("day_of_month"),
-        "time_on_site_category": F.col("time_on_site_category"),
-        "bounce_rate": bounce,
-        "sessions_by_device_type": F.coalesce("total_sessions_by_device", F.lit(0)).cast("long"),
-        "total_visits_user": F.coalesce("visit_count", F.lit(1)).cast("long"),
-        "device_country": F.col("device_country"),
-        "medium_timeofday": F.col("medium_timeofday"),
-        "browser_os": F.col("browser_os"),
-        "visits_day_of_week": F.coalesce("total_visits_day", F.lit(0)).cast("long"),
-    }
-    common = _common()
-    cols = [(extra[n] if n in extra else common[n]).alias(n) for n in ENRICHED]
-    return main.select(*_head(), *cols)
+    joined = (base
+              .join(users, "fullVisitorId", "left")
+              # at most 7 x 12 rows: a broadcast whose size is bounded by the calendar
+              .join(F.broadcast(temporal), ["day_of_week", "month"], "left")
+              .join(dev, (F.col("device.operatingSystem") == dev.operating_system)
+                    & (F.col("device.deviceCategory") == dev.device_category)
+                    & (F.col("device.browser") == dev.browser), "left"))
+    keep = [c for c in base.columns if c not in ("day_of_week", "month")]
+    return joined.select(
+        *[F.col(f"`{c}`") for c in keep[:len(sessions.columns)]],
+        "day_of_week", "month", "is_weekend", "day_of_month", "device_country",
+        "medium_timeofday", "browser_os", "time_on_site_category",
+        F.coalesce("visit_count", F.lit(1)).cast("long").alias("total_visits_user"),
+        F.coalesce("total_visits_day", F.lit(0)).cast("long").alias("visits_day_of_week"),
+        F.coalesce("total_sessions_by_device", F.lit(0)).cast("long").alias("sessions_by_device_type"),
+    )
 
 
 def history(sessions: DataFrame, sessions_all: DataFrame, p: float | None = 0.05,

@@ -77,6 +77,9 @@ def queries() -> dict[str, Query]:
         q[f"feat_enriched_{period}"] = _report(features.enriched, period)
         q[f"feat_history_{period}"] = _history_query(period)
     q["feat_history_score"] = _history_query("test", for_scoring=True)
+    for period in ("train", "test"):
+        q[f"feat_main_dataset_{period}"] = _report(
+            lambda s: explore.flat(explore.star(features.main_dataset(s))), period)
 
     # evaluation operators on a fixed, model-free score (all sessions)
     q["ml_evaluate_fixed_score"] = lambda spark, sf: evaluation.evaluate(

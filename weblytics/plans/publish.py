@@ -37,5 +37,6 @@ def daily_table(scored: DataFrame, run_date: str | None = None) -> DataFrame:
     return published.conform(scored.select(*cols, date.alias("predictionDate")))
 
 
-def publish(scored: DataFrame, path: str, run_date: str | None = None) -> None:
-    published.write(daily_table(scored, run_date), path)
+def publish(scored: DataFrame, path: str, run_date: str | None = None,
+            mode: str = "replace_dates") -> None:
+    published.write(daily_table(scored, run_date), path, mode)

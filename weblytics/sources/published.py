@@ -19,12 +19,18 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.PUBLISHED.fields])
 
 
-def write(df: DataFrame, path: str) -> None:
-    (conform(df).write
-     .mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic")
-     .partitionBy("predictionDate")
-     .parquet(path))
+def write(df: DataFrame, path: str, mode: str = "replace_dates") -> None:
+    """``mode="replace_dates"`` (default): the dates present in ``df`` are
+    replaced, all other dates kept (re-runnable).  ``mode="append"``: rows are
+    added, like an ``INSERT INTO``; running twice duplicates them."""
+    writer = conform(df).write.partitionBy("predictionDate")
+    if mode == "replace_dates":
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    elif mode == "append":
+        writer = writer.mode("append")
+    else:
+        raise ValueError("mode must be 'replace_dates' or 'append'")
+    writer.parquet(path)
 
 
 def read(spark: SparkSession, path: str, date: str | None = None) -> DataFrame:

@@ -25,10 +25,20 @@ class SessionStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
+        self._base: DataFrame | None = None
 
     def all(self) -> DataFrame:
-        """``FROM ga_sessions_*`` without a suffix filter."""
-        return read_sessions(self.spark, self.root)
+        """``FROM ga_sessions_*`` without a suffix filter.  The folder is
+        listed once per store; every query filters that one relation, so its
+        partition list is reused and the pruning happens per query."""
+        if self._base is None:
+            self._base = read_sessions(self.spark, self.root)
+        return self._base
+
+    def refresh(self) -> "SessionStore":
+        """Forget the folder listing (after new shards were written)."""
+        self._base = None
+        return self
 
     def shard(self, day: str) -> DataFrame:
         """``FROM ga_sessions_YYYYMMDD``."""

@@ -6,7 +6,10 @@ from weblytics import schema as S
 
 
 def test_schema_is_explicit(store):
-    assert store.all().schema == S.SESSION_WITH_SUFFIX
+    assert store.all().schema == S.SESSION_ROW_WITH_SUFFIX
+    assert store.hit_rows().schema == S.HIT_ROW_WITH_SUFFIX
+    nested = store.with_hits(store.all())
+    assert nested.schema == S.SESSION_WITH_SUFFIX
 
 
 def test_counts_match_fixture_spec(store):
@@ -27,9 +30,10 @@ def test_session_key_unique(store):
 
 
 def test_hits_array_matches_hit_count(store):
-    bad = store.all().where(F.size("hits") != F.col("totals.hits")).count()
+    nested = store.with_hits(store.all())
+    bad = nested.where(F.size("hits") != F.col("totals.hits")).count()
     assert bad == 0
-    nums = store.all().select(F.transform("hits", lambda h: h["hitNumber"]).alias("n"),
+    nums = nested.select(F.transform("hits", lambda h: h["hitNumber"]).alias("n"),
                               F.size("hits").alias("k"))
     assert nums.where(F.col("n") != F.sequence(F.lit(1).cast("long"), F.col("k").cast("long"))).count() == 0
 
@@ -38,6 +42,45 @@ def test_every_event_is_one_hit(store, spark):
     from conftest import SF_SMALL
     events = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
     assert store.all().agg(F.sum("totals.hits")).first()[0] == events
+    assert store.hit_rows().count() == events
+
+
+def test_hit_numbers_against_a_plain_window(spark, store):
+    """The two-level numbering equals a row number over the whole session."""
+    from pyspark.sql.window import Window
+    from conftest import SF_SMALL
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    day, half = F.to_date("ts"), (F.hour("ts") >= 12).cast("int")
+    w = Window.partitionBy("user_id", day, half).orderBy("ts", "event_id")
+    plain = ev.select(F.col("user_id").cast("string").alias("fullVisitorId"),
+                      F.row_number().over(w).cast("long").alias("hitNumber"),
+                      F.concat(F.lit("/"), "event_type", F.lit("/"), (F.col("event_id") % 10).cast("string")).alias("pagePath"),
+                      F.min(F.unix_timestamp("ts")).over(Window.partitionBy("user_id", day, half)).alias("visitId"))
+    ours = store.hit_rows().select("fullVisitorId", "visitId", "hit.hitNumber", "hit.page.pagePath")
+    assert ours.exceptAll(plain.select(*ours.columns)).count() == 0
+    assert plain.select(*ours.columns).exceptAll(ours).count() == 0
+
+
+def test_same_second_hits_are_ordered(spark):
+    """Several events of one visitor in one second: numbered by time, then id."""
+    import datetime as dt
+    import tempfile
+    from weblytics.sources import fixture
+    base = tempfile.mkdtemp(prefix="weblytics-fx-")
+    t0 = dt.datetime(2024, 1, 2, 13, 0, 5)
+    rows = [(10, t0 + dt.timedelta(microseconds=500), 3, "view", 1.0, None),
+            (11, t0, 3, "click", 1.0, None),
+            (12, t0, 3, "view", 1.0, None),
+            (13, t0 - dt.timedelta(seconds=1), 3, "view", 1.0, None),
+            (14, t0 + dt.timedelta(seconds=3), 3, "purchase", 2.5, None)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, "
+                                "value double, props string").write.parquet(f"{base}/events.parquet")
+    from conftest import SF_SMALL
+    for t in ("customer", "nation", "region"):
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").write.parquet(f"{base}/{t}.parquet")
+    got = {r.event: r.n for r in fixture.derive_hit_rows(spark, base)
+           .select(F.col("hit.page.pagePath").alias("event"), F.col("hit.hitNumber").alias("n")).collect()}
+    assert got == {"/view/3": 1, "/click/1": 2, "/view/2": 3, "/view/0": 4, "/purchase/4": 5}
 
 
 def test_partition_pruning(store):

@@ -28,6 +28,14 @@ def known_visitors(sessions: DataFrame) -> DataFrame:
     return star(sessions.where(F.col("visitorId").isNotNull()))
 
 
+def hit_columns(hit_rows: DataFrame) -> DataFrame:
+    """Visitor, visit, hit number, page path from one-row-per-hit data (the
+    hit table of the split layout): only the two hit leaves are read."""
+    return hit_rows.select("fullVisitorId", "visitId",
+                           F.col("hit.hitNumber").alias("hitNumber"),
+                           F.col("hit.page.pagePath").alias("pagePath"))
+
+
 def unnest_hits(sessions: DataFrame) -> DataFrame:
     """One row per hit: visitor, visit, hit number, page path.
 

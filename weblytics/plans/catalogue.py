@@ -46,11 +46,9 @@ def queries() -> dict[str, Query]:
     q["an_sessions_by_weekday"] = _report(reports.sessions_by_weekday, "two_month")
 
     # exploration
-    q["pre_preview_shard"] = lambda spark, sf: explore.flat(
-        explore.preview(session_store(spark, sf).shard(PERIODS["shard"][0])))
-    q["pre_scan_range_known_visitor"] = lambda spark, sf: explore.flat(
-        explore.known_visitors(_period(spark, sf, "known_visitor")))
-    q["pre_unnest_hits"] = lambda spark, sf: explore.unnest_hits(_period(spark, sf, "month"))
+    q["pre_preview_shard"] = _preview_query
+    q["pre_scan_range_known_visitor"] = _known_visitors_query
+    q["pre_unnest_hits"] = _unnest_query
 
     # metric tables, training and hold-out periods
     metric_fns = {
@@ -78,8 +76,7 @@ def queries() -> dict[str, Query]:
         q[f"feat_history_{period}"] = _history_query(period)
     q["feat_history_score"] = _history_query("test", for_scoring=True)
     for period in ("train", "test"):
-        q[f"feat_main_dataset_{period}"] = _report(
-            lambda s: explore.flat(explore.star(features.main_dataset(s))), period)
+        q[f"feat_main_dataset_{period}"] = _main_dataset_query(period)
 
     # evaluation operators on a fixed, model-free score (all sessions)
     q["ml_evaluate_fixed_score"] = lambda spark, sf: evaluation.evaluate(
@@ -99,6 +96,38 @@ def queries() -> dict[str, Query]:
     return q
 
 
+PREVIEW_ROWS = 100
+
+
+def _preview_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 sessions of one shard, whole rows (hits arrays assembled for the
+    100 previewed sessions only)."""
+    store = session_store(spark, sf_dir)
+    day = PERIODS["shard"][0]
+    rows = explore.preview(store.shard(day), PREVIEW_ROWS)
+    return explore.flat(store.with_hits(rows, day, day, max_sessions=PREVIEW_ROWS))
+
+
+def _known_visitors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = session_store(spark, sf_dir)
+    start, end = PERIODS["known_visitor"]
+    return explore.flat(store.with_hits(explore.known_visitors(store.between(start, end)), start, end))
+
+
+def _unnest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start, end = PERIODS["month"]
+    return explore.hit_columns(session_store(spark, sf_dir).hit_rows(start, end))
+
+
+def _main_dataset_query(period: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = session_store(spark, sf_dir)
+        start, end = PERIODS[period]
+        main = features.main_dataset(store.between(start, end))
+        return explore.flat(explore.star(store.with_hits(main, start, end)))
+    return run
+
+
 RUN_DATE = "2024-01-31"     # fixed prediction date of the registered publish run
 
 

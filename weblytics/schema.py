@@ -82,6 +82,18 @@ SESSION = T.StructType(SESSION_FIELDS)
 SUFFIX = "_table_suffix"
 SESSION_WITH_SUFFIX = T.StructType(SESSION_FIELDS + [T.StructField(SUFFIX, _S)])
 
+# Split layout: the session rows without the repeated field, and a child
+# table with one row per hit, keyed by (fullVisitorId, visitId).  Both are
+# partitioned by the shard suffix.
+SESSION_ROW_FIELDS = [f for f in SESSION_FIELDS if f.name != "hits"]
+SESSION_ROW_WITH_SUFFIX = T.StructType(SESSION_ROW_FIELDS + [T.StructField(SUFFIX, _S)])
+HIT_ROW_WITH_SUFFIX = T.StructType([
+    T.StructField("fullVisitorId", _S),
+    T.StructField("visitId", _L),
+    T.StructField("hit", HIT),
+    T.StructField(SUFFIX, _S),
+])
+
 # The published daily-predictions table, in column order.
 PUBLISHED = T.StructType([
     T.StructField("unique_session_id", _S),

@@ -1,15 +1,24 @@
-"""Export the nested session table from the event-level test tables.
-
-One session = (user, calendar day, half day).  The export is one Spark job:
-an aggregation of events by session key (map-side partial aggregation, so a
-very active user does not land in one task before the shuffle), a join to the
-customer / nation / region dimensions, and a Parquet write partitioned by the
-shard suffix.  Queries then read it like the sharded source table, with
-partition pruning.
+"""Export the session table from the event-level test tables.
+
+One session = (user, calendar day, half day).  The export writes the split
+layout (see ``sessions.SessionStore``):
+
+* session rows: one aggregation of events by session key with map-side
+  partial aggregation (a very active user is reduced in the scan tasks
+  before the shuffle), the visit number (a window per user over sessions,
+  bounded by the calendar: two sessions per day), and a join to the
+  customer / nation / region dimensions;
+* hit rows: the hit number (row number in the session by time, event id)
+  without ever gathering a session in one place: events are counted per
+  (session, second), a running count over the seconds of a session (at most
+  43,200 rows per session) gives the hits before each second, and a row
+  number inside one (session, second) finishes it.  A session with any
+  number of hits is spread over as many tasks as it has seconds.
+
+Both are written partitioned by the shard suffix; queries then read them
+like the sharded source table, with partition pruning.
 """
 
-from __future__ import annotations
-
 import hashlib
 import os
 
@@ -22,7 +31,7 @@ from .. import schema as S
 from ..session import configure, file_stamp, path_exists, work_dir
 from .sessions import SessionStore
 
-EXPORT_VERSION = "1"
+EXPORT_VERSION = "2"
 
 # Fixed values of the test-table mapping, indexed by id modulo the list size
 # (None = NULL).  Operating system and browser by user id, device category by
@@ -49,13 +58,13 @@ def _null_struct(dtype: T.DataType) -> Column:
     return F.lit(None).cast(dtype)
 
 
-def _hit_struct(x: Column, i: Column) -> Column:
+def _hit_struct() -> Column:
     hit_fields = {f.name: f.dataType for f in S.HIT.fields}
-    page_path = F.concat(F.lit("/"), x["event_type"], F.lit("/"),
-                         F.pmod(x["event_id"], F.lit(PAGE_PATH_BUCKETS)).cast("string"))
+    page_path = F.concat(F.lit("/"), F.col("event_type"), F.lit("/"),
+                         F.pmod(F.col("event_id"), F.lit(PAGE_PATH_BUCKETS)).cast("string"))
     return F.struct(
-        (i + 1).cast("long").alias("hitNumber"),
-        F.when(x["event_type"] == "view", F.lit("PAGE")).otherwise(F.lit("EVENT")).alias("type"),
+        F.col("hitNumber").cast("long").alias("hitNumber"),
+        F.when(F.col("event_type") == "view", F.lit("PAGE")).otherwise(F.lit("EVENT")).alias("type"),
         F.struct(page_path.alias("pagePath"),
                  F.lit(None).cast("string").alias("pageTitle")).alias("page"),
         _null_struct(hit_fields["eventInfo"]).alias("eventInfo"),
@@ -78,16 +87,23 @@ def _user_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("c_custkey").alias("user_id"), "n_name", "r_name", "c_mktsegment"))
 
 
-def derive_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sessions of the test tables in the nested session schema."""
+SESSION_KEY = ["user_id", "day", "half"]
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (spark.read.parquet(f"{sf_dir}/events.parquet")
+            .select("event_id", "ts", "user_id", "event_type", "value")
+            .withColumn("day", F.to_date("ts"))
+            .withColumn("half", (F.hour("ts") >= 12).cast("int"))
+            .withColumn("sec", F.unix_timestamp("ts")))
+
+
+def derive_session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session rows (every session field but ``hits``) plus the suffix."""
     configure(spark)
-    ev = (spark.read.parquet(f"{sf_dir}/events.parquet")
-          .select("event_id", "ts", "user_id", "event_type", "value")
-          .withColumn("day", F.to_date("ts"))
-          .withColumn("half", (F.hour("ts") >= 12).cast("int"))
-          .withColumn("sec", F.unix_timestamp("ts")))
+    ev = _events(spark, sf_dir)
     purchase = F.col("event_type") == "purchase"
-    sessions = (ev.groupBy("user_id", "day", "half").agg(
+    sessions = ev.groupBy(*SESSION_KEY).agg(
         F.min("sec").alias("start_sec"),
         F.max("sec").alias("end_sec"),
         F.count(F.lit(1)).alias("n_events"),
@@ -95,8 +111,7 @@ def derive_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(purchase).alias("n_purchases"),
         F.sum(F.when(purchase, F.round(F.col("value") * REVENUE_SCALE).cast("long"))).alias("revenue"),
         F.min("event_id").alias("first_event_id"),
-        F.collect_list(F.struct("ts", "event_id", "event_type")).alias("raw_hits"),
-    ))
+    )
     # visit number per user: sessions per user are bounded by the calendar
     # (two per day), so this window partition stays small for any user
     by_user = Window.partitionBy("user_id").orderBy("start_sec", "half")
@@ -138,25 +153,50 @@ def derive_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.pmod(uid, F.lit(REGION_NULL_EVERY)) != 0, F.col("c_mktsegment")).alias("region"),
             F.lit(None).cast("string").alias("city"),
         ).alias("geoNetwork"),
-        F.transform(F.array_sort("raw_hits"), _hit_struct).alias("hits"),
         F.date_format("day", "yyyyMMdd").alias(S.SUFFIX),
     )
 
 
-def export_sessions(spark: SparkSession, sf_dir: str, root: str) -> SessionStore:
-    """Write the session table partitioned by shard suffix.
+def derive_hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per hit: ``fullVisitorId``, ``visitId``, ``hit``, suffix.
 
-    Rows are range-partitioned on (suffix, start time) before the write: each
-    task writes one contiguous time slice into one or two day folders (few
-    files, sorted by start time inside each file), and a busy day is split
-    over several tasks instead of one.
-    """
-    df = derive_sessions(spark, sf_dir)
-    (df.repartitionByRange(S.SUFFIX, "visitStartTime")
-       .write.mode("overwrite")
-       .partitionBy(S.SUFFIX)
-       .parquet(root))
-    return SessionStore(spark, root)
+    hitNumber = (hits of the session in earlier seconds) + (row number by
+    time, event id inside the second).  Every window here is bounded: by the
+    seconds of a half day, or by one visitor's events within one second."""
+    configure(spark)
+    ev = _events(spark, sf_dir)
+    session = Window.partitionBy(*SESSION_KEY)
+    earlier_seconds = session.orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
+    per_second = (ev.groupBy(*SESSION_KEY, "sec").agg(F.count(F.lit(1)).alias("n"))
+                  .select(*SESSION_KEY, "sec",
+                          F.coalesce(F.sum("n").over(earlier_seconds), F.lit(0)).alias("before"),
+                          F.min("sec").over(session).alias("visit_id")))
+    in_second = Window.partitionBy(*SESSION_KEY, "sec").orderBy("ts", "event_id")
+    hits = (ev.join(per_second, SESSION_KEY + ["sec"])
+            .withColumn("hitNumber", F.col("before") + F.row_number().over(in_second)))
+    return hits.select(
+        F.col("user_id").cast("string").alias("fullVisitorId"),
+        F.col("visit_id").alias("visitId"),
+        _hit_struct().alias("hit"),
+        F.date_format("day", "yyyyMMdd").alias(S.SUFFIX),
+    )
+
+
+def export_sessions(spark: SparkSession, sf_dir: str, root: str) -> SessionStore:
+    """Write the split layout: ``<root>/sessions`` and ``<root>/hits``, both
+    partitioned by shard suffix.
+
+    Rows are range-partitioned on (suffix, start time) before each write:
+    every task writes one contiguous time slice into one or two day folders
+    (few files, sorted by start time inside each file), and a busy day is
+    split over several tasks instead of one."""
+    (derive_session_rows(spark, sf_dir)
+     .repartitionByRange(S.SUFFIX, "visitStartTime")
+     .write.mode("overwrite").partitionBy(S.SUFFIX).parquet(f"{root}/sessions"))
+    (derive_hit_rows(spark, sf_dir)
+     .repartitionByRange(S.SUFFIX, "visitId", "hit.hitNumber")
+     .write.mode("overwrite").partitionBy(S.SUFFIX).parquet(f"{root}/hits"))
+    return SessionStore(spark, root, layout="split")
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
@@ -185,8 +225,8 @@ def session_store(spark: SparkSession, sf_dir: str) -> SessionStore:
     if key in _EXPORTED:
         return _EXPORTED[key]
     root = f"{work_dir(spark)}/weblytics/sessions/{_fingerprint(spark, sf_dir)}"
-    if path_exists(spark, f"{root}/_SUCCESS"):
-        store = SessionStore(spark, root)
+    if path_exists(spark, f"{root}/sessions/_SUCCESS") and path_exists(spark, f"{root}/hits/_SUCCESS"):
+        store = SessionStore(spark, root, layout="split")
     else:
         store = export_sessions(spark, sf_dir, root)
     _EXPORTED[key] = store

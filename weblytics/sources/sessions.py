@@ -3,6 +3,16 @@
 Equivalent of reading one daily shard, a suffix range of shards, or all
 shards.  Suffix filters become ``PartitionFilters`` (folders never listed or
 opened), and selected struct leaves become a pruned ``ReadSchema``.
+
+Two layouts are read:
+
+* ``nested`` - one row per session with the repeated ``hits`` field inside
+  (the shape of an analytics export);
+* ``split``  - ``<root>/sessions`` holds the session rows without ``hits``,
+  ``<root>/hits`` one row per hit (``fullVisitorId``, ``visitId``, ``hit``).
+  Nothing ever has to hold all hits of a session in one value, so a session
+  with an unbounded number of hits is as cheap as any other; the nested shape
+  is assembled only for the rows a ``SELECT *`` returns (``with_hits``).
 """
 
 from __future__ import annotations
@@ -12,34 +22,48 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 
+KEYS = ["fullVisitorId", "visitId"]
 
-def read_sessions(spark: SparkSession, root: str) -> DataFrame:
+
+def read_sessions(spark: SparkSession, root: str, nested: bool = True) -> DataFrame:
     """All shards, read with the explicit schema (no inference; a shard that
     lacks a column reads it as NULL)."""
-    return spark.read.schema(S.SESSION_WITH_SUFFIX).parquet(root)
+    schema = S.SESSION_WITH_SUFFIX if nested else S.SESSION_ROW_WITH_SUFFIX
+    return spark.read.schema(schema).parquet(root)
+
+
+def _suffix_range(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    if start is not None:
+        df = df.where(F.col(S.SUFFIX) >= F.lit(start))
+    if end is not None:
+        df = df.where(F.col(S.SUFFIX) <= F.lit(end))
+    return df
 
 
 class SessionStore:
-    """Handle on a stored session table."""
+    """Handle on a stored session table (``layout`` = "split" or "nested")."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, layout: str = "split"):
+        if layout not in ("split", "nested"):
+            raise ValueError("layout must be 'split' or 'nested'")
         self.spark = spark
-        self.root = root
+        self.root = root.rstrip("/")
+        self.layout = layout
         self._base: DataFrame | None = None
+        self._hits: DataFrame | None = None
 
+    # -- session rows -------------------------------------------------------
     def all(self) -> DataFrame:
         """``FROM ga_sessions_*`` without a suffix filter.  The folder is
         listed once per store; every query filters that one relation, so its
         partition list is reused and the pruning happens per query."""
         if self._base is None:
-            self._base = read_sessions(self.spark, self.root)
+            if self.layout == "split":
+                self._base = read_sessions(self.spark, f"{self.root}/sessions", nested=False)
+            else:
+                self._base = read_sessions(self.spark, self.root, nested=True)
         return self._base
 
-    def refresh(self) -> "SessionStore":
-        """Forget the folder listing (after new shards were written)."""
-        self._base = None
-        return self
-
     def shard(self, day: str) -> DataFrame:
         """``FROM ga_sessions_YYYYMMDD``."""
         return self.all().where(F.col(S.SUFFIX) == F.lit(day))
@@ -49,10 +73,51 @@ class SessionStore:
         (string comparison, both ends included)."""
         return self.all().where(F.col(S.SUFFIX).between(F.lit(start), F.lit(end)))
 
+    # -- hits ---------------------------------------------------------------
+    def hit_rows(self, start: str | None = None, end: str | None = None) -> DataFrame:
+        """One row per hit: ``fullVisitorId``, ``visitId``, ``hit`` (struct),
+        ``_table_suffix``."""
+        if self.layout == "split":
+            if self._hits is None:
+                self._hits = self.spark.read.schema(S.HIT_ROW_WITH_SUFFIX).parquet(f"{self.root}/hits")
+            return _suffix_range(self._hits, start, end)
+        sessions = _suffix_range(self.all(), start, end)
+        return sessions.select(*KEYS, F.explode("hits").alias("hit"), S.SUFFIX)
+
+    def with_hits(self, sessions: DataFrame, start: str | None = None, end: str | None = None,
+                  max_sessions: int | None = None) -> DataFrame:
+        """``sessions`` (rows of this store, suffix range ``start``..``end``)
+        in the nested shape, with the ``hits`` array.
+
+        The split layout assembles the arrays here, ordered by hit number.
+        ``max_sessions`` states a proven upper bound on the number of
+        ``sessions`` rows (e.g. a preview limit); the hits are then cut down
+        with a broadcast semi-join on those keys before being grouped."""
+        if self.layout == "nested":
+            return sessions
+        hits = self.hit_rows(start, end).select(*KEYS, "hit")
+        if max_sessions is not None:
+            hits = hits.join(F.broadcast(sessions.select(*KEYS)), KEYS, "left_semi")
+        hits_type = dict((f.name, f.dataType) for f in S.SESSION_FIELDS)["hits"]
+        arrays = hits.groupBy(*KEYS).agg(
+            F.array_sort(F.collect_list("hit")).cast(hits_type).alias("hits"))
+        out = sessions.join(arrays, KEYS, "left")
+        # every input column, with ``hits`` where the nested schema has it
+        cols = list(sessions.columns)
+        at = cols.index("geoNetwork") + 1 if "geoNetwork" in cols else len(cols)
+        cols.insert(at, "hits")
+        return out.select(*[F.col(f"`{c}`") for c in cols])
+
     @property
     def key(self) -> str:
         """Short name of the stored table (its last path component)."""
-        return self.root.rstrip("/").rsplit("/", 1)[-1]
+        return self.root.rsplit("/", 1)[-1]
+
+    def refresh(self) -> "SessionStore":
+        """Forget the folder listings (after new shards were written)."""
+        self._base = None
+        self._hits = None
+        return self
 
     def __repr__(self) -> str:
-        return f"SessionStore({self.root!r})"
+        return f"SessionStore({self.root!r}, layout={self.layout!r})"

@@ -173,7 +173,10 @@ def build_pipeline(train: DataFrame, features: list[str], spec: ModelSpec) -> Pi
         stages.append(RandomForestClassifier(
             featuresCol="features", labelCol="label", numTrees=spec.num_trees,
             maxDepth=spec.max_depth, minInfoGain=spec.min_info_gain,
-            subsamplingRate=spec.subsample, maxBins=widest, seed=spec.seed, **spec.extra))
+            subsamplingRate=spec.subsample, maxBins=widest, seed=spec.seed,
+            # deep trees: keep each row's node id cached between levels and
+            # cut that lineage every 10 iterations (in the shared work folder)
+            cacheNodeIds=True, checkpointInterval=10, **spec.extra))
     return Pipeline(stages=stages)
 
 

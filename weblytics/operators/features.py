@@ -205,7 +205,7 @@ def history(sessions: DataFrame, sessions_all: DataFrame, p: float | None = 0.05
 
 
 def sampled(sessions: DataFrame, p: float, seed: int | None = 42) -> DataFrame:
-    """The class-balancing sample alone: key, label and the draw result."""
+    """The class-balancing sample alone: key, label and date of the kept sessions."""
     return (sessions.where(keep_positives(p, seed))
             .select(*_head(), "date"))
 

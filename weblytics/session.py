@@ -95,3 +95,26 @@ def file_stamp(spark: SparkSession, path: str) -> str:
             return f"{st.st_size}:{int(st.st_mtime * 1000)}"
         except OSError:
             return "?"
+
+
+def cluster_settings(input_bytes: int, total_cores: int,
+                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large cluster, sized from the bytes a job reads.
+
+    * scan splits of ``target_partition_bytes`` (``maxPartitionBytes``);
+    * shuffle partitions = enough for ~``target_partition_bytes`` per reducer
+      before adaptive coalescing, and at least 3 waves of all cores, so one
+      reducer never has to hold more than it can sort in memory; adaptive
+      execution then merges small ones toward the advisory size;
+    * skewed partitions (5x the median and > 1 GiB) are split at join time.
+    These are passed to ``get_spark(extra=...)`` or spark-submit ``--conf``."""
+    partitions = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.parquet.aggregatePushdown": "true",
+    }

@@ -233,8 +233,13 @@ def model_path(spark: SparkSession, key: str, name: str) -> str:
     return f"{work_dir(spark)}/weblytics/models/{key}/{name}"
 
 
-# models loaded in this process, by path (a forest is many small files)
-_LOADED: dict[str, PipelineModel] = {}
+# models loaded by this application, by path (a forest is many small files)
+_LOADED: dict[tuple[str, str], PipelineModel] = {}
+
+
+def _app() -> str:
+    spark = SparkSession.getActiveSession()
+    return spark.sparkContext.applicationId if spark is not None else ""
 
 
 def save(model: PipelineModel, path: str, replace: bool = True) -> None:
@@ -243,13 +248,14 @@ def save(model: PipelineModel, path: str, replace: bool = True) -> None:
     if replace:
         writer = writer.overwrite()
     writer.save(path)
-    _LOADED[path] = model
+    _LOADED[(_app(), path)] = model
 
 
 def load(path: str) -> PipelineModel:
-    if path not in _LOADED:
-        _LOADED[path] = PipelineModel.load(path)
-    return _LOADED[path]
+    key = (_app(), path)
+    if key not in _LOADED:
+        _LOADED[key] = PipelineModel.load(path)
+    return _LOADED[key]
 
 
 def load_or_train(spark: SparkSession, features_df: DataFrame, spec: ModelSpec, key: str) -> PipelineModel:

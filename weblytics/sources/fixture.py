@@ -21,6 +21,7 @@ like the sharded source table, with partition pruning.
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,7 +213,8 @@ def _abs(path: str) -> str:
     return path if "://" in path else os.path.abspath(path)
 
 
-_EXPORTED: dict[tuple[int, str], SessionStore] = {}
+_EXPORTED: dict[tuple[str, str], SessionStore] = {}
+_LOCK = threading.Lock()
 
 
 def session_store(spark: SparkSession, sf_dir: str) -> SessionStore:
@@ -221,13 +223,16 @@ def session_store(spark: SparkSession, sf_dir: str) -> SessionStore:
     Lives under the cluster's shared work folder, keyed by the input files, so
     it is reused by later queries and survives the loss of any executor."""
     configure(spark)
-    key = (id(spark), _abs(sf_dir))
-    if key in _EXPORTED:
-        return _EXPORTED[key]
-    root = f"{work_dir(spark)}/weblytics/sessions/{_fingerprint(spark, sf_dir)}"
-    if path_exists(spark, f"{root}/sessions/_SUCCESS") and path_exists(spark, f"{root}/hits/_SUCCESS"):
-        store = SessionStore(spark, root, layout="split")
-    else:
-        store = export_sessions(spark, sf_dir, root)
-    _EXPORTED[key] = store
-    return store
+    # keyed by the running application: a new SparkContext never sees
+    # DataFrames of a stopped one
+    key = (spark.sparkContext.applicationId, _abs(sf_dir))
+    with _LOCK:  # one export even when several threads ask at once
+        if key in _EXPORTED:
+            return _EXPORTED[key]
+        root = f"{work_dir(spark)}/weblytics/sessions/{_fingerprint(spark, sf_dir)}"
+        if path_exists(spark, f"{root}/sessions/_SUCCESS") and path_exists(spark, f"{root}/hits/_SUCCESS"):
+            store = SessionStore(spark, root, layout="split")
+        else:
+            store = export_sessions(spark, sf_dir, root)
+        _EXPORTED[key] = store
+        return store

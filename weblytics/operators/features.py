@@ -161,9 +161,8 @@ def main_dataset(sessions: DataFrame, metrics_from: DataFrame | None = None) ->
               .join(dev, (F.col("device.operatingSystem") == dev.operating_system)
                     & (F.col("device.deviceCategory") == dev.device_category)
                     & (F.col("device.browser") == dev.browser), "left"))
-    keep = [c for c in base.columns if c not in ("day_of_week", "month")]
     return joined.select(
-        *[F.col(f"`{c}`") for c in keep[:len(sessions.columns)]],
+        *[F.col(f"`{c}`") for c in sessions.columns],
         "day_of_week", "month", "is_weekend", "day_of_month", "device_country",
         "medium_timeofday", "browser_os", "time_on_site_category",
         F.coalesce("visit_count", F.lit(1)).cast("long").alias("total_visits_user"),
@@ -188,15 +187,10 @@ def history(sessions: DataFrame, sessions_all: DataFrame, p: float | None = 0.05
     if p is not None and not for_scoring:
         s = s.where(keep_positives(p, seed))
     s = H.with_history(s, sessions_all, start, end)
-    s = s.select("*",
-                 F.col("trafficSource.source").alias("_source"),
-                 F.col("device.operatingSystem").alias("_os"),
-                 F.col("device.deviceCategory").alias("_cat"),
-                 F.col("device.browser").alias("_browser"))
-    joined = (s.join(traffic, F.col("_source") == traffic.source, "left")
-              .join(conv, (F.col("_os") == conv.operating_system)
-                    & (F.col("_cat") == conv.device_category)
-                    & (F.col("_browser") == conv.browser), "left"))
+    joined = (s.join(traffic, F.col("trafficSource.source") == traffic.source, "left")
+              .join(conv, (F.col("device.operatingSystem") == conv.operating_system)
+                    & (F.col("device.deviceCategory") == conv.device_category)
+                    & (F.col("device.browser") == conv.browser), "left"))
     common = _common()
     own = {"bounce_rate", "conversion_rate", "visit_frequency", "total_transaction_value", "visit_date"}
     cols = [(F.col(n) if n in own else common[n]).alias(n) for n in HISTORY]

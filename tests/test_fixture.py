@@ -87,3 +87,35 @@ def test_partition_pruning(store):
     plan = store.between("20240111", "20240120")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan or "_table_suffix" in plan
     assert store.between("20240111", "20240120").select("date").distinct().count() == 10
+
+
+def test_counts_at_sf001_match_fixture_spec(spark):
+    """Every sf0.01 figure of the fixture specification."""
+    from conftest import SF_MID
+    from weblytics.sources.fixture import session_store
+    st = session_store(spark, SF_MID)
+    df = st.all()
+    r = df.agg(
+        F.count(F.lit(1)).alias("sessions"),
+        F.countDistinct("fullVisitorId").alias("visitors"),
+        F.count("totals.transactions").alias("with_tx"),
+        F.count("totals.bounces").alias("bounces"),
+        F.count_if(F.col("trafficSource.medium").isNull()).alias("null_medium"),
+        F.count_if(F.col("trafficSource.campaign").isNull()).alias("null_campaign"),
+        F.count_if(F.col("totals.pageviews").isNull()).alias("null_pageviews"),
+        F.count_if(F.col("totals.timeOnSite").isNull()).alias("null_time"),
+    ).first()
+    assert (r.sessions, r.visitors, r.with_tx, r.bounces) == (6038, 150, 1768, 3323)
+    assert (r.null_medium, r.null_campaign) == (1214, 3048)
+    assert (r.null_pageviews, r.null_time) == (4257, 3323)
+    multi = (df.groupBy("fullVisitorId", "date").count().where("count > 1").count())
+    assert multi == 2032
+    countries = df.groupBy("geoNetwork.country").count()
+    assert countries.count() == 25 and countries.where("count > 100").count() == 25
+    browsers = df.groupBy("device.browser").count().where("count > 100").count()
+    assert browsers == 4
+    groups = df.groupBy("device.operatingSystem", "device.deviceCategory", "device.browser").count().count()
+    assert groups == 60
+    assert st.between("20240101", "20240121").count() == 4206
+    assert st.between("20240122", "20240130").count() == 1832
+    assert st.hit_rows().count() == 10000

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import evaluation, explore, features, history, metrics, reports
 from ..sources import published
+from ..session import work_dir
 from ..sources.fixture import session_store
 from . import ml, publish
 from .periods import PERIODS
@@ -175,15 +176,12 @@ def _predict_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _publish_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = session_store(spark, sf_dir)
     scored = _predict_query(spark, sf_dir)
-    path = f"{store.root.rsplit('/sessions/', 1)[0]}/published/{store.key}/daily_predictions"
+    path = f"{work_dir(spark)}/weblytics/published/{store.key}/daily_predictions"
     publish.publish(scored, path, RUN_DATE)
     return published.read(spark, path, RUN_DATE)
 
 
 def _history_query(period: str, for_scoring: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        store = session_store(spark, sf_dir)
-        start, end = PERIODS[period]
-        return features.history(store.between(start, end), store.all(),
-                                start=start, end=end, for_scoring=for_scoring)
+        return feature_set(session_store(spark, sf_dir), "history", period, for_scoring)
     return run

@@ -20,6 +20,7 @@ recomputes its own part.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from dataclasses import dataclass, field
 
@@ -229,8 +230,17 @@ def train(spark: SparkSession, features_df: DataFrame, spec: ModelSpec,
     return Trained(model, summary)
 
 
+# bump when the preparation or the feature sets change: stored models of an
+# older version are then never loaded for the new code
+MODEL_VERSION = "3"
+
+
 def model_path(spark: SparkSession, key: str, name: str) -> str:
-    return f"{work_dir(spark)}/weblytics/models/{key}/{name}"
+    """Where model ``name`` trained on data ``key`` is stored; the path also
+    carries the code version and a digest of the model's options."""
+    spec = MODELS.get(name)
+    digest = hashlib.sha1(repr(spec).encode()).hexdigest()[:8] if spec else "custom"
+    return f"{work_dir(spark)}/weblytics/models/{key}/{name}-v{MODEL_VERSION}-{digest}"
 
 
 # models loaded by this application, by path (a forest is many small files)

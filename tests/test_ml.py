@@ -59,3 +59,16 @@ def test_deterministic_for_a_seed(spark, store):
     a = ml.train(spark, data, spec).summary.first().roc_auc
     b = ml.train(spark, data, spec).summary.first().roc_auc
     assert a == b
+
+
+def test_top_categories_two_phase_equals_direct_ranking(spark):
+    from pyspark.sql.window import Window
+    rows = [(f"v{i % 37}", f"w{i % 5}") for i in range(2000)] + [(None, "w1")] * 3
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = ml.top_categories(df, ["a", "b"], 4)
+    for c in ("a", "b"):
+        counts = df.where(F.col(c).isNotNull()).groupBy(c).count()
+        w = Window.orderBy(F.col("count").desc(), F.col(c))
+        want = [r[0] for r in counts.withColumn("r", F.row_number().over(w)).where("r <= 4")
+                .orderBy("r").collect()]
+        assert got[c] == want

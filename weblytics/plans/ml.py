@@ -84,20 +84,30 @@ def _sql_literal(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+TOP_N_BUCKETS = 64
+
+
 def top_categories(df: DataFrame, cols: list[str], n: int) -> dict[str, list[str]]:
     """The ``n`` most frequent values of every categorical column, in one
-    job: (column, value) pairs are counted together and ranked per column.
-    The result has at most ``n x len(cols)`` rows."""
+    job: (column, value) pairs are counted together (partial aggregation),
+    then ranked in two steps so no task ever holds all values of a column:
+    first inside ``TOP_N_BUCKETS`` hash buckets of the values, then per
+    column over the at most ``n x TOP_N_BUCKETS`` survivors.  The result has
+    at most ``n x len(cols)`` rows."""
     if not cols:
         return {}
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val")) for c in cols
     ])).alias("p")).select("p.col", "p.val").where(F.col("val").isNotNull())
-    rank = Window.partitionBy("col").orderBy(F.col("n").desc(), F.col("val"))
-    top = (pairs.groupBy("col", "val").agg(F.count(F.lit(1)).alias("n"))
-           .withColumn("r", F.row_number().over(rank)).where(F.col("r") <= n))
+    counts = (pairs.groupBy("col", "val").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("bucket", F.pmod(F.xxhash64("val"), F.lit(TOP_N_BUCKETS))))
+    order = [F.col("n").desc(), F.col("val")]
+    in_bucket = Window.partitionBy("col", "bucket").orderBy(*order)
+    survivors = counts.withColumn("r", F.row_number().over(in_bucket)).where(F.col("r") <= n)
+    in_column = Window.partitionBy("col").orderBy(*order)
+    top = (survivors.withColumn("r", F.row_number().over(in_column)).where(F.col("r") <= n))
     out: dict[str, list[str]] = {c: [] for c in cols}
-    for row in top.collect():  # bounded: n rows per column
+    for row in top.orderBy("col", "r").collect():  # bounded: n rows per column, by rank
         out[row["col"]].append(row["val"])
     return out
 

@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from ..functions.sampling import in_eval_split
 from ..operators import evaluation
 from ..operators.features import CATEGORICAL, KEY
-from ..session import path_exists, work_dir
+from ..session import app_id, path_exists, work_dir
 
 EMPTY, MISSING, OTHER = "__empty__", "__null__", "__other__"
 
@@ -259,7 +259,7 @@ _LOADED: dict[tuple[str, str], PipelineModel] = {}
 
 def _app() -> str:
     spark = SparkSession.getActiveSession()
-    return spark.sparkContext.applicationId if spark is not None else ""
+    return app_id(spark) if spark is not None else ""
 
 
 def save(model: PipelineModel, path: str, replace: bool = True) -> None:

@@ -57,16 +57,31 @@ def work_dir(spark: SparkSession) -> str:
     (a bare local test session) a private temporary folder is set instead.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    if not path and sc is not None:
+        path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="weblytics-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None for a remote (Connect) session."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    """Identifier of the running application (changes with a new context)."""
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else f"session-{id(spark)}"
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop file system of ``path``, so it works
     for local folders and for object stores alike."""

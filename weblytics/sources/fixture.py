@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import schema as S
-from ..session import configure, file_stamp, path_exists, work_dir
+from ..session import app_id, configure, file_stamp, path_exists, work_dir
 from .sessions import SessionStore
 
 EXPORT_VERSION = "2"
@@ -225,7 +225,7 @@ def session_store(spark: SparkSession, sf_dir: str) -> SessionStore:
     configure(spark)
     # keyed by the running application: a new SparkContext never sees
     # DataFrames of a stopped one
-    key = (spark.sparkContext.applicationId, _abs(sf_dir))
+    key = (app_id(spark), _abs(sf_dir))
     with _LOCK:  # one export even when several threads ask at once
         if key in _EXPORTED:
             return _EXPORTED[key]

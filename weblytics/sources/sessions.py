@@ -54,7 +54,7 @@ class SessionStore:
 
     # -- session rows -------------------------------------------------------
     def all(self) -> DataFrame:
-        """``FROM ga_sessions_*`` without a suffix filter.  The folder is
+        """Every shard (no suffix filter).  The folder is
         listed once per store; every query filters that one relation, so its
         partition list is reused and the pruning happens per query."""
         if self._base is None:
@@ -65,12 +65,12 @@ class SessionStore:
         return self._base
 
     def shard(self, day: str) -> DataFrame:
-        """``FROM ga_sessions_YYYYMMDD``."""
+        """One daily shard, ``day`` = YYYYMMDD."""
         return self.all().where(F.col(S.SUFFIX) == F.lit(day))
 
     def between(self, start: str, end: str) -> DataFrame:
-        """``FROM ga_sessions_* WHERE _TABLE_SUFFIX BETWEEN start AND end``
-        (string comparison, both ends included)."""
+        """The shards whose suffix is between ``start`` and ``end`` (string
+        comparison, both ends included)."""
         return self.all().where(F.col(S.SUFFIX).between(F.lit(start), F.lit(end)))
 
     # -- hits ---------------------------------------------------------------

@@ -9,6 +9,8 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 ORACLES = E.oracle_sql()
+DUCK_TO_SPARK = {"VARCHAR": "string", "BIGINT": "bigint", "DOUBLE": "double",
+                 "BOOLEAN": "boolean", "DATE": "date"}
 SKIP_SLOW = {n for n in ORACLES if n.startswith("ml_train_")}
 
 
@@ -37,6 +39,9 @@ def test_matches_oracle(spark, duck, name):
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
     assert _rows(df.columns, rows) == _rows(ocols, orows)
+    # same column types on both sides
+    otypes = {d[0]: DUCK_TO_SPARK.get(str(d[1]), str(d[1])) for d in res.description}
+    assert dict(df.dtypes) == otypes
 
 
 def test_entry_runs(spark):

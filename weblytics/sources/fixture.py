@@ -22,6 +22,7 @@ like the sharded source table, with partition pruning.
 import hashlib
 import os
 import threading
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from .. import schema as S
 from ..session import app_id, configure, file_stamp, path_exists, work_dir
 from .sessions import SessionStore
 
-EXPORT_VERSION = "2"
+EXPORT_VERSION = "3"
 
 # Fixed values of the test-table mapping, indexed by id modulo the list size
 # (None = NULL).  Operating system and browser by user id, device category by
@@ -217,11 +218,34 @@ _EXPORTED: dict[tuple[str, str], SessionStore] = {}
 _LOCK = threading.Lock()
 
 
+def _complete(spark: SparkSession, root: str) -> bool:
+    return path_exists(spark, f"{root}/sessions/_SUCCESS") and path_exists(spark, f"{root}/hits/_SUCCESS")
+
+
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the sub-folders of ``folder`` (empty if it does not exist)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        jpath = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(jpath):
+            return []
+        return sorted(st.getPath().getName() for st in fs.listStatus(jpath) if st.isDirectory())
+    except Exception:  # no JVM gateway: plain local listing
+        local = folder.replace("file:", "", 1)
+        return sorted(n for n in os.listdir(local) if os.path.isdir(os.path.join(local, n))) \
+            if os.path.isdir(local) else []
+
+
 def session_store(spark: SparkSession, sf_dir: str) -> SessionStore:
     """The exported session table for ``sf_dir``, exported on first use.
 
     Lives under the cluster's shared work folder, keyed by the input files, so
-    it is reused by later queries and survives the loss of any executor."""
+    it is reused by later queries and survives the loss of any executor.
+    Every export writes its own uniquely named folder under that key and is
+    used only once both of its tables are committed, so two processes that
+    export the same input at the same time never write into each other's
+    files; readers take the first complete copy in name order."""
     configure(spark)
     # keyed by the running application: a new SparkContext never sees
     # DataFrames of a stopped one
@@ -229,10 +253,14 @@ def session_store(spark: SparkSession, sf_dir: str) -> SessionStore:
     with _LOCK:  # one export even when several threads ask at once
         if key in _EXPORTED:
             return _EXPORTED[key]
-        root = f"{work_dir(spark)}/weblytics/sessions/{_fingerprint(spark, sf_dir)}"
-        if path_exists(spark, f"{root}/sessions/_SUCCESS") and path_exists(spark, f"{root}/hits/_SUCCESS"):
-            store = SessionStore(spark, root, layout="split")
+        fingerprint = _fingerprint(spark, sf_dir)
+        base = f"{work_dir(spark)}/weblytics/sessions/{fingerprint}"
+        done = [c for c in _children(spark, base) if _complete(spark, f"{base}/{c}")]
+        if done:
+            store = SessionStore(spark, f"{base}/{done[0]}", layout="split", key=fingerprint)
         else:
-            store = export_sessions(spark, sf_dir, root)
+            root = f"{base}/{uuid.uuid4().hex}"
+            export_sessions(spark, sf_dir, root)
+            store = SessionStore(spark, root, layout="split", key=fingerprint)
         _EXPORTED[key] = store
         return store

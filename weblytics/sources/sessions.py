@@ -43,12 +43,14 @@ def _suffix_range(df: DataFrame, start: str | None, end: str | None) -> DataFram
 class SessionStore:
     """Handle on a stored session table (``layout`` = "split" or "nested")."""
 
-    def __init__(self, spark: SparkSession, root: str, layout: str = "split"):
+    def __init__(self, spark: SparkSession, root: str, layout: str = "split",
+                 key: str | None = None):
         if layout not in ("split", "nested"):
             raise ValueError("layout must be 'split' or 'nested'")
         self.spark = spark
         self.root = root.rstrip("/")
         self.layout = layout
+        self._key = key
         self._base: DataFrame | None = None
         self._hits: DataFrame | None = None
 
@@ -110,8 +112,9 @@ class SessionStore:
 
     @property
     def key(self) -> str:
-        """Short name of the stored table (its last path component)."""
-        return self.root.rsplit("/", 1)[-1]
+        """Identity of the stored data (given by the exporter, else the last
+        path component); stored models are filed under it."""
+        return self._key or self.root.rsplit("/", 1)[-1]
 
     def refresh(self) -> "SessionStore":
         """Forget the folder listings (after new shards were written)."""

@@ -72,3 +72,12 @@ def test_top_categories_two_phase_equals_direct_ranking(spark):
         want = [r[0] for r in counts.withColumn("r", F.row_number().over(w)).where("r <= 4")
                 .orderBy("r").collect()]
         assert got[c] == want
+
+
+def test_save_without_replace_fails_if_present(spark, basic_model, store):
+    import uuid
+    path = f"{ml.model_path(spark, 'test-' + store.key, 'basic')}-{uuid.uuid4().hex}"
+    ml.save(basic_model.model, path, replace=False)
+    with pytest.raises(Exception):
+        ml.save(basic_model.model, path, replace=False)
+    ml.save(basic_model.model, path, replace=True)  # CREATE OR REPLACE

@@ -79,3 +79,30 @@ def test_top_k_breaks_ties_by_country(spark):
                          "geoNetwork.country": country, "totals.bounces": 1 if j < 2 else None})
     out = reports.top_bounce_countries(session_rows(spark, rows), k=2, min_sessions=1).collect()
     assert [r.country for r in out] == ["A", "B"]
+
+
+def _sorted_by(rows, key):
+    return rows == sorted(rows, key=key)
+
+
+def test_reports_keep_their_order(spark):
+    """The order of each report (the oracle comparison ignores row order)."""
+    from conftest import SF_MID
+    from weblytics.sources.fixture import session_store
+    st = session_store(spark, SF_MID)
+    month, two = st.between("20240111", "20240120"), st.between("20240101", "20240130")
+    none_first = lambda v: (v is not None, v or "")
+    rows = reports.tx_by_device_browser(month).collect()
+    assert _sorted_by(rows, lambda r: (none_first(r.deviceCategory), -r.total_transactions))
+    rows = reports.bounce_by_source(month).collect()
+    assert [r.source for r in rows] == sorted((r.source for r in rows), reverse=True)
+    for fn, col in ((reports.conversion_by_os_device_browser, "conversion_rate_percentage"),
+                    (reports.revenue_by_source_medium, "total_revenue_usd"),
+                    (reports.time_by_device, "avg_time_on_site_seconds"),
+                    (reports.campaigns, "total_revenue_usd"),
+                    (reports.pageviews_by_browser, "avg_pageviews_per_session"),
+                    (reports.sessions_by_weekday, "total_transactions")):
+        values = [r[col] for r in fn(two).collect()]
+        assert values == sorted(values, reverse=True), fn.__name__
+    top = reports.top_bounce_countries(two).collect()
+    assert _sorted_by(top, lambda r: (-r.bounce_rate_percentage, r.country))

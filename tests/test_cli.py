@@ -28,3 +28,17 @@ def test_run_registered_query(capsys, spark):
     from conftest import SF_SMALL
     assert main(["run", "an_time_by_device", "--sf-dir", SF_SMALL, "--show", "5"]) == 0
     assert "avg_time_on_site_seconds" in capsys.readouterr().out
+
+
+def test_train_evaluate_publish_on_a_stored_table(spark, store, capsys):
+    from weblytics.sources import published
+    root = f"{work_dir(spark)}/test-cli/{uuid.uuid4().hex}"
+    model, table = f"{root}/model", f"{root}/table"
+    common = ["--sessions", store.root, "--layout", "split", "--model", model]
+    assert main(["train", "history", "--start", "20240101", "--end", "20240121", *common]) == 0
+    assert main(["evaluate", "history", "--start", "20240122", "--end", "20240130", *common]) == 0
+    assert "roc_auc" in capsys.readouterr().out
+    assert main(["publish", "--start", "20240122", "--end", "20240130", "--table", table,
+                 "--run-date", "2024-02-01", *common]) == 0
+    n = store.between("20240122", "20240130").count()
+    assert published.read(spark, table, "2024-02-01").count() == n

@@ -4,10 +4,19 @@
     python -m weblytics run NAME --sf-dir DIR [--show N | --out PATH]
     python -m weblytics report NAME --sessions ROOT [--layout split|nested]
                               --start YYYYMMDD --end YYYYMMDD [--show N | --out PATH]
+    python -m weblytics train MODEL --sessions ROOT --start .. --end .. --model PATH
+    python -m weblytics evaluate MODEL --sessions ROOT --start .. --end .. --model PATH
+                              [--confusion] [--show N | --out PATH]
+    python -m weblytics publish --sessions ROOT --start .. --end .. --model PATH
+                              --table PATH [--run-date YYYY-MM-DD] [--append]
 
 ``run`` executes a registered query on a test-data folder; ``report`` runs a
 report, metric table or feature set on any stored session table (for
 example an analytics export in the nested layout) over any shard range.
+``train`` fits model MODEL (basic, extended, enriched, history) on its
+feature set of the period and stores it (replacing); ``evaluate`` scores the
+period with a stored model; ``publish`` scores the period with a stored
+history model and writes the date-partitioned predictions table.
 ``--out`` writes Parquet (the result stays distributed); ``--show`` prints
 the first N rows.
 """
@@ -63,7 +72,22 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("--layout", choices=["split", "nested"], default="nested")
     q.add_argument("--start", required=True)
     q.add_argument("--end", required=True)
-    for sp in (r, q):
+    t = sub.add_parser("train", help="fit and store a model")
+    e = sub.add_parser("evaluate", help="metrics of a stored model on a period")
+    e.add_argument("--confusion", action="store_true", help="confusion matrix instead")
+    b = sub.add_parser("publish", help="score a period and write the predictions table")
+    b.add_argument("--table", required=True)
+    b.add_argument("--run-date", default=None, help="YYYY-MM-DD; default today")
+    b.add_argument("--append", action="store_true", help="insert instead of replacing the date")
+    for sp in (t, e):
+        sp.add_argument("name", choices=["basic", "extended", "enriched", "history"])
+    for sp in (t, e, b):
+        sp.add_argument("--sessions", required=True)
+        sp.add_argument("--layout", choices=["split", "nested"], default="nested")
+        sp.add_argument("--start", required=True)
+        sp.add_argument("--end", required=True)
+        sp.add_argument("--model", required=True, help="folder of the stored model")
+    for sp in (r, q, t, e, b):
         sp.add_argument("--show", type=int, default=20)
         sp.add_argument("--out", default=None)
         sp.add_argument("--master", default=None, help="e.g. local[8]; default: spark-submit's")
@@ -80,6 +104,8 @@ def main(argv: list[str] | None = None) -> int:
         _emit(queries()[args.name](spark, args.sf_dir), args)
         return 0
     store = SessionStore(spark, args.sessions, layout=args.layout)
+    if args.cmd in ("train", "evaluate", "publish"):
+        return _model_command(spark, store, args)
     period = store.between(args.start, args.end)
     if args.name == "features_history":
         df = features.history(period, store.all(), start=args.start, end=args.end)
@@ -89,5 +115,25 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
+def _model_command(spark, store, args) -> int:
+    from .operators import evaluation
+    from .plans import ml, publish
+    if args.cmd == "train":
+        data = features.for_model(store, args.name, args.start, args.end)
+        trained = ml.train(spark, data, ml.MODELS[args.name])
+        ml.save(trained.model, args.model, replace=True)
+        _emit(trained.summary, args)
+        return 0
+    model = ml.load(args.model)
+    if args.cmd == "evaluate":
+        scored = ml.score(model, features.for_model(store, args.name, args.start, args.end))
+        _emit(evaluation.confusion(scored) if args.confusion else evaluation.evaluate(scored), args)
+        return 0
+    scoring = features.for_model(store, "history", args.start, args.end, for_scoring=True)
+    publish.publish(publish.predictions(model, scoring), args.table, args.run_date,
+                    mode="append" if args.append else "replace_dates")
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -203,3 +203,17 @@ def sampled(sessions: DataFrame, p: float, seed: int | None = 42) -> DataFrame:
     return (sessions.where(keep_positives(p, seed))
             .select(*_head(), "date"))
 
+
+def for_model(store, name: str, start: str, end: str, for_scoring: bool = False) -> DataFrame:
+    """The feature set of model ``name`` (basic / extended / enriched /
+    history) over the shards ``start``..``end`` of a ``SessionStore``."""
+    s = store.between(start, end)
+    if name == "basic":
+        return basic(s)
+    if name == "extended":
+        return extended(s, p=None if for_scoring else 0.1)
+    if name == "enriched":
+        return enriched(s, p=None if for_scoring else 0.05)
+    if name == "history":
+        return history(s, store.all(), start=start, end=end, for_scoring=for_scoring)
+    raise KeyError(name)

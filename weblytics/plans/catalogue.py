@@ -133,17 +133,9 @@ RUN_DATE = "2024-01-31"     # fixed prediction date of the registered publish ru
 
 
 def feature_set(store, name: str, period: str, for_scoring: bool = False) -> DataFrame:
+    """Feature set ``name`` of a registered period (see ``periods``)."""
     start, end = PERIODS[period]
-    s = store.between(start, end)
-    if name == "basic":
-        return features.basic(s)
-    if name == "extended":
-        return features.extended(s)
-    if name == "enriched":
-        return features.enriched(s)
-    if name == "history":
-        return features.history(s, store.all(), start=start, end=end, for_scoring=for_scoring)
-    raise KeyError(name)
+    return features.for_model(store, name, start, end, for_scoring)
 
 
 def _model(spark: SparkSession, store, name: str):

@@ -7,24 +7,29 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Runtime SQL settings every job needs.  They are applied to whatever session
-# the caller hands in (``configure``), so a cluster session built elsewhere
-# behaves the same as the local one built by ``get_spark``.
+# Runtime SQL settings the results depend on.  They are applied to whatever
+# session the caller hands in (``configure``), so a cluster session built
+# elsewhere computes the same results as the local one built by ``get_spark``.
 SQL_SETTINGS = {
     # visit hours and day boundaries are UTC, like the source timestamps
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
-    # runtime re-planning: coalesce small shuffle partitions, turn joins whose
-    # measured side is small into broadcast joins, split skewed partitions
+    # runtime re-planning (joins whose measured side is small become
+    # broadcast joins, skewed partitions are split)
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     # shard suffixes such as 20240115 must stay strings (lexicographic BETWEEN)
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     # re-publishing one prediction date replaces only that date
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+# Tuning defaults of the sessions built here; a caller's own session keeps
+# its own choices for these.
+TUNING_DEFAULTS = {
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SQL_SETTINGS.items():
@@ -45,7 +50,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in (extra or {}).items():
+    for key, value in {**TUNING_DEFAULTS, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")

@@ -42,3 +42,13 @@ def test_train_evaluate_publish_on_a_stored_table(spark, store, capsys):
                  "--run-date", "2024-02-01", *common]) == 0
     n = store.between("20240122", "20240130").count()
     assert published.read(spark, table, "2024-02-01").count() == n
+
+
+def test_explore_commands(spark, store, capsys):
+    common = ["--sessions", store.root, "--layout", "split", "--start", "20240115", "--end", "20240115"]
+    assert main(["explore", "preview", *common, "--show", "2"]) == 0
+    out = capsys.readouterr().out
+    assert "hitNumber" in out or "hits" in out
+    root = f"{work_dir(spark)}/test-cli/{uuid.uuid4().hex}"
+    assert main(["explore", "hits", *common, "--out", root]) == 0
+    assert spark.read.parquet(root).count() == store.hit_rows("20240115", "20240115").count()

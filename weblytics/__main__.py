@@ -4,6 +4,8 @@
     python -m weblytics run NAME --sf-dir DIR [--show N | --out PATH]
     python -m weblytics report NAME --sessions ROOT [--layout split|nested]
                               --start YYYYMMDD --end YYYYMMDD [--show N | --out PATH]
+    python -m weblytics explore preview|known_visitors|hits --sessions ROOT
+                              [--layout ..] --start YYYYMMDD --end YYYYMMDD [--show N | --out PATH]
     python -m weblytics train MODEL --sessions ROOT --start .. --end .. --model PATH
     python -m weblytics evaluate MODEL --sessions ROOT --start .. --end .. --model PATH
                               [--confusion] [--show N | --out PATH]
@@ -72,6 +74,8 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("--layout", choices=["split", "nested"], default="nested")
     q.add_argument("--start", required=True)
     q.add_argument("--end", required=True)
+    x = sub.add_parser("explore", help="preview a shard, known visitors, one row per hit")
+    x.add_argument("name", choices=["preview", "known_visitors", "hits"])
     t = sub.add_parser("train", help="fit and store a model")
     e = sub.add_parser("evaluate", help="metrics of a stored model on a period")
     e.add_argument("--confusion", action="store_true", help="confusion matrix instead")
@@ -81,13 +85,14 @@ def main(argv: list[str] | None = None) -> int:
     b.add_argument("--append", action="store_true", help="insert instead of replacing the date")
     for sp in (t, e):
         sp.add_argument("name", choices=["basic", "extended", "enriched", "history"])
-    for sp in (t, e, b):
+    for sp in (x, t, e, b):
         sp.add_argument("--sessions", required=True)
         sp.add_argument("--layout", choices=["split", "nested"], default="nested")
         sp.add_argument("--start", required=True)
         sp.add_argument("--end", required=True)
+    for sp in (t, e, b):
         sp.add_argument("--model", required=True, help="folder of the stored model")
-    for sp in (r, q, t, e, b):
+    for sp in (r, q, x, t, e, b):
         sp.add_argument("--show", type=int, default=20)
         sp.add_argument("--out", default=None)
         sp.add_argument("--master", default=None, help="e.g. local[8]; default: spark-submit's")
@@ -106,6 +111,18 @@ def main(argv: list[str] | None = None) -> int:
     store = SessionStore(spark, args.sessions, layout=args.layout)
     if args.cmd in ("train", "evaluate", "publish"):
         return _model_command(spark, store, args)
+    if args.cmd == "explore":
+        from .operators import explore
+        if args.name == "preview":   # the shard of --start
+            rows = explore.preview(store.shard(args.start))
+            df = store.with_hits(rows, args.start, args.start, max_sessions=100)
+        elif args.name == "known_visitors":
+            rows = explore.known_visitors(store.between(args.start, args.end))
+            df = store.with_hits(rows, args.start, args.end)
+        else:
+            df = explore.hit_columns(store.hit_rows(args.start, args.end))
+        _emit(df, args)
+        return 0
     period = store.between(args.start, args.end)
     if args.name == "features_history":
         df = features.history(period, store.all(), start=args.start, end=args.end)

@@ -9,16 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the workload: weekday names, in calendar order from Sunday,
-# the weekend days, and the time-of-day buckets with their first hours.
-WEEKDAYS = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
-WEEKEND = ["Saturday", "Sunday"]
-TIME_OF_DAY = [(0, 5, "night"), (6, 11, "morning"), (12, 17, "afternoon")]
-TIME_OF_DAY_ELSE = "evening"
-# time-on-site categories: (upper bound exclusive, name); 0 is "no_time"
-TIME_ON_SITE = [(60, "very_short"), (180, "short"), (600, "medium")]
-TIME_ON_SITE_ZERO = "no_time"
-TIME_ON_SITE_ELSE = "long"
+from .fixed import (EVENING_FIRST_HOUR, EVENING_LAST_HOUR, TIME_OF_DAY,  # noqa: F401
+                    TIME_OF_DAY_ELSE, TIME_ON_SITE, TIME_ON_SITE_ELSE, TIME_ON_SITE_ZERO,
+                    WEEKDAYS, WEEKEND)
 
 
 def c(name: str | Column) -> Column:
@@ -69,7 +62,7 @@ def utc_hour(epoch_seconds: str | Column = "visitStartTime") -> Column:
 
 
 def evening_visit(hour: Column) -> Column:
-    return flag((hour >= 18) & (hour <= 23))
+    return flag((hour >= EVENING_FIRST_HOUR) & (hour <= EVENING_LAST_HOUR))
 
 
 def time_of_day(hour: Column) -> Column:

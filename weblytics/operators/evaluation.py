@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.fixed import THRESHOLD
+
 EPS = 1e-15
 
 
-def predict_at(prob: str = "predicted_probability", threshold: float = 0.5):
+def predict_at(prob: str = "predicted_probability", threshold: float = THRESHOLD):
     """Predicted label 1 when the probability of label 1 is >= threshold."""
     return F.when(F.col(prob) >= F.lit(threshold), F.lit(1)).otherwise(F.lit(0)).cast("long")
 
@@ -85,7 +87,7 @@ def evaluate(scored: DataFrame, label: str = "label", prob: str = "predicted_pro
     return metrics
 
 
-def fixed_score(sessions: DataFrame, threshold: float = 0.5) -> DataFrame:
+def fixed_score(sessions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A model-free rational score, p = (1 + hits) / (6 + hits), for checking
     the evaluation operators against SQL (no exp, so every engine agrees)."""
     hits = F.coalesce(F.col("totals.hits"), F.lit(0)).cast("double")

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..functions.fixed import (MISSING_CATEGORY, ORGANIC, SAMPLE_ENRICHED, SAMPLE_EXTENDED,
+                               SAMPLE_HISTORY)
 from ..functions.sampling import keep_positives
 from . import history as H
 from . import metrics as M
@@ -29,20 +31,20 @@ KEY = "unique_session_id"
 def _common() -> dict[str, Column]:
     """Features shared by the sets, by output name, in the sets' order."""
     return {
-        "os": X.or_default("device.operatingSystem", ""),
+        "os": X.or_default("device.operatingSystem", MISSING_CATEGORY),
         "is_mobile": F.col("device.isMobile"),
-        "country": X.or_default("geoNetwork.country", ""),
-        "region": X.or_default("geoNetwork.region", ""),
+        "country": X.or_default("geoNetwork.country", MISSING_CATEGORY),
+        "region": X.or_default("geoNetwork.region", MISSING_CATEGORY),
         "device_category": F.col("device.deviceCategory"),
         "browser": F.col("device.browser"),
         "pageviews": X.or_default("totals.pageviews", 0).cast("long"),
         "hits": X.or_default("totals.hits", 0).cast("long"),
         "time_on_site": X.or_default("totals.timeOnSite", 0).cast("long"),
-        "traffic_medium": X.or_default("trafficSource.medium", ""),
-        "traffic_source": X.or_default("trafficSource.source", ""),
-        "campaign": X.or_default("trafficSource.campaign", ""),
+        "traffic_medium": X.or_default("trafficSource.medium", MISSING_CATEGORY),
+        "traffic_source": X.or_default("trafficSource.source", MISSING_CATEGORY),
+        "campaign": X.or_default("trafficSource.campaign", MISSING_CATEGORY),
         "visit_hour": X.utc_hour("visitStartTime"),
-        "is_organic": X.flag(F.col("trafficSource.medium") == F.lit("organic")),
+        "is_organic": X.flag(F.col("trafficSource.medium") == F.lit(ORGANIC)),
         "evening_visit": X.evening_visit(X.utc_hour("visitStartTime")),
         "avg_time_per_pageview": X.per_unit(F.col("totals.timeOnSite"), F.col("totals.pageviews"), 2),
         "pageviews_per_hit": X.per_unit(F.col("totals.pageviews"), F.col("totals.hits"), 3),
@@ -87,7 +89,8 @@ def basic(sessions: DataFrame) -> DataFrame:
     return sessions.select(*_head(), *_pick(BASIC))
 
 
-def extended(sessions: DataFrame, p: float | None = 0.1, seed: int | None = 42) -> DataFrame:
+def extended(sessions: DataFrame, p: float | None = SAMPLE_EXTENDED,
+             seed: int | None = 42) -> DataFrame:
     """Set B; every converted session kept, others with probability ``p``
     (``None`` keeps all)."""
     if p is not None:
@@ -95,7 +98,7 @@ def extended(sessions: DataFrame, p: float | None = 0.1, seed: int | None = 42)
     return sessions.select(*_head(), *_pick(EXTENDED))
 
 
-def enriched(sessions: DataFrame, p: float | None = 0.05, seed: int | None = 42,
+def enriched(sessions: DataFrame, p: float | None = SAMPLE_ENRICHED, seed: int | None = 42,
              mode: str = "as_written") -> DataFrame:
     """Set C: sessions enriched with the period's metric tables.
 
@@ -171,7 +174,7 @@ def main_dataset(sessions: DataFrame, metrics_from: DataFrame | None = None) ->
     )
 
 
-def history(sessions: DataFrame, sessions_all: DataFrame, p: float | None = 0.05,
+def history(sessions: DataFrame, sessions_all: DataFrame, p: float | None = SAMPLE_HISTORY,
             seed: int | None = 42, start: str | None = None, end: str | None = None,
             for_scoring: bool = False) -> DataFrame:
     """Set D: the period's traffic (non-NULL source count) and conversion
@@ -211,9 +214,9 @@ def for_model(store, name: str, start: str, end: str, for_scoring: bool = False)
     if name == "basic":
         return basic(s)
     if name == "extended":
-        return extended(s, p=None if for_scoring else 0.1)
+        return extended(s, p=None if for_scoring else SAMPLE_EXTENDED)
     if name == "enriched":
-        return enriched(s, p=None if for_scoring else 0.05)
+        return enriched(s, p=None if for_scoring else SAMPLE_ENRICHED)
     if name == "history":
         return history(s, store.all(), start=start, end=end, for_scoring=for_scoring)
     raise KeyError(name)

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import WEEKDAYS, is_converted, or_default, pct, ratio, session_date
-
-REVENUE_UNIT = 1_000_000  # revenue is stored as money x 10^6
+from ..functions.fixed import (CAMPAIGN_NOT_SET, MIN_CONVERSION_PCT, MIN_SESSIONS, REVENUE_UNIT,
+                               TOP_COUNTRIES, UNKNOWN)
 
 
 def _converted_sum():
@@ -51,12 +51,13 @@ def bounce_by_source(sessions: DataFrame) -> DataFrame:
             .orderBy(F.col("source").desc()))
 
 
-def conversion_by_os_device_browser(sessions: DataFrame, min_rate: float = 1.0) -> DataFrame:
+def conversion_by_os_device_browser(sessions: DataFrame,
+                                    min_rate: float = MIN_CONVERSION_PCT) -> DataFrame:
     """Conversion percent per OS x category x browser, kept above ``min_rate``."""
     return (sessions
-            .groupBy(or_default("device.operatingSystem", "Unknown").alias("operating_system"),
-                     or_default("device.deviceCategory", "Unknown").alias("device_category"),
-                     or_default("device.browser", "Unknown").alias("browser"))
+            .groupBy(or_default("device.operatingSystem", UNKNOWN).alias("operating_system"),
+                     or_default("device.deviceCategory", UNKNOWN).alias("device_category"),
+                     or_default("device.browser", UNKNOWN).alias("browser"))
             .agg(F.count(F.lit(1)).alias("total_sessions"), _converted_sum())
             .withColumn("conversion_rate_percentage", pct("total_transactions", "total_sessions"))
             .where(F.col("conversion_rate_percentage") > min_rate)
@@ -80,7 +81,8 @@ def purchaser_share(sessions: DataFrame) -> DataFrame:
                          pct("total_purchasers", "total_visitors").alias("conversion_rate_pct"))
 
 
-def revenue_by_source_medium(sessions: DataFrame, min_rate: float = 1.0) -> DataFrame:
+def revenue_by_source_medium(sessions: DataFrame,
+                             min_rate: float = MIN_CONVERSION_PCT) -> DataFrame:
     return (sessions
             .groupBy(F.col("trafficSource.source").alias("source"),
                      F.col("trafficSource.medium").alias("medium"))
@@ -90,7 +92,8 @@ def revenue_by_source_medium(sessions: DataFrame, min_rate: float = 1.0) -> Data
             .orderBy(F.col("total_revenue_usd").desc()))
 
 
-def top_bounce_countries(sessions: DataFrame, k: int = 10, min_sessions: int = 100) -> DataFrame:
+def top_bounce_countries(sessions: DataFrame, k: int = TOP_COUNTRIES,
+                         min_sessions: int = MIN_SESSIONS) -> DataFrame:
     """Top-k countries by bounce percent among those with > min_sessions.
 
     The limit is the feature (a top-k report); country breaks ties so the
@@ -114,8 +117,8 @@ def time_by_device(sessions: DataFrame) -> DataFrame:
             .orderBy(F.col("avg_time_on_site_seconds").desc()))
 
 
-def campaigns(sessions: DataFrame, not_set: str = "(not set)") -> DataFrame:
-    """Campaign comparison; undefined campaigns (NULL, '(not set)') excluded."""
+def campaigns(sessions: DataFrame, not_set: str = CAMPAIGN_NOT_SET) -> DataFrame:
+    """Campaign comparison; undefined campaigns (NULL, ``not_set``) excluded."""
     camp = F.col("trafficSource.campaign")
     return (sessions
             .where(camp.isNotNull() & (camp != F.lit(not_set)))
@@ -125,7 +128,7 @@ def campaigns(sessions: DataFrame, not_set: str = "(not set)") -> DataFrame:
             .orderBy(F.col("total_revenue_usd").desc()))
 
 
-def pageviews_by_browser(sessions: DataFrame, min_sessions: int = 100) -> DataFrame:
+def pageviews_by_browser(sessions: DataFrame, min_sessions: int = MIN_SESSIONS) -> DataFrame:
     return (sessions
             .groupBy(F.col("device.browser").alias("browser"))
             .agg(F.count(F.lit(1)).alias("total_sessions"),

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.fixed import SAMPLE_EXTENDED, SAMPLE_HISTORY
 from ..operators import evaluation, explore, features, history, metrics, reports
 from ..sources import published
 from ..session import work_dir
@@ -66,8 +67,8 @@ def queries() -> dict[str, Query]:
 
     # visitor history over all shards, class-balancing sample alone
     q["hist_prior_days"] = lambda spark, sf: history.prior_days(session_store(spark, sf).all())
-    q["sample_keep_positives_p10"] = _report(lambda s: features.sampled(s, 0.1), "train")
-    q["sample_keep_positives_p05"] = _report(lambda s: features.sampled(s, 0.05), "train")
+    q["sample_keep_positives_p10"] = _report(lambda s: features.sampled(s, SAMPLE_EXTENDED), "train")
+    q["sample_keep_positives_p05"] = _report(lambda s: features.sampled(s, SAMPLE_HISTORY), "train")
 
     # feature sets
     for period in ("train", "test"):

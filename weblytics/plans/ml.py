@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import fixed
 from ..functions.sampling import in_eval_split
 from ..operators import evaluation
 from ..operators.features import CATEGORICAL, KEY
@@ -48,14 +49,14 @@ class ModelSpec:
     ``elasticNetParam = l1 / (l1 + l2)``."""
     name: str
     kind: str                      # "logistic" or "forest"
-    max_iter: int = 20
+    max_iter: int = fixed.LOGISTIC_MAX_ITER
     l1: float = 0.0
     l2: float = 0.0
-    num_trees: int = 60
-    max_depth: int = 10
-    subsample: float = 0.85
-    min_info_gain: float = 0.0
-    eval_fraction: float = 0.2
+    num_trees: int = fixed.FOREST_TREES
+    max_depth: int = fixed.FOREST_DEPTH
+    subsample: float = fixed.FOREST_SUBSAMPLE
+    min_info_gain: float = fixed.FOREST_MIN_SPLIT_GAIN
+    eval_fraction: float = fixed.EVAL_FRACTION
     max_categories: int = 100
     seed: int = 42
     # the split draw must be independent of the class-balancing draw (which
@@ -67,7 +68,8 @@ class ModelSpec:
 
 MODELS = {
     "basic": ModelSpec("basic", "logistic"),
-    "extended": ModelSpec("extended", "logistic", max_iter=50, l1=0.05, l2=0.1),
+    "extended": ModelSpec("extended", "logistic", max_iter=fixed.EXTENDED_MAX_ITER,
+                          l1=fixed.EXTENDED_L1, l2=fixed.EXTENDED_L2),
     "enriched": ModelSpec("enriched", "forest"),
     "history": ModelSpec("history", "forest"),
 }
@@ -199,7 +201,7 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in skip]
 
 
-def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
+def score(model: PipelineModel, df: DataFrame, threshold: float = fixed.THRESHOLD) -> DataFrame:
     """Input columns plus ``predicted_probability`` (probability of label 1)
     and ``predicted_label``.  A narrow map over the rows: no shuffle."""
     out = model.transform(df)
@@ -215,7 +217,7 @@ class Trained:
 
 
 def train(spark: SparkSession, features_df: DataFrame, spec: ModelSpec,
-          threshold: float = 0.5) -> Trained:
+          threshold: float = fixed.THRESHOLD) -> Trained:
     """Random train / eval split (repeatable, by session key), fit on the
     train part, evaluate on the eval part."""
     data = features_df.checkpoint(eager=True)

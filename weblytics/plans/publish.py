@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed import THRESHOLD
 from ..sources import published
 from . import ml
 
@@ -24,7 +25,8 @@ RENAMES = [
 ]
 
 
-def predictions(model: PipelineModel, scoring_features: DataFrame, threshold: float = 0.5) -> DataFrame:
+def predictions(model: PipelineModel, scoring_features: DataFrame,
+                threshold: float = THRESHOLD) -> DataFrame:
     """Scored sessions: the scoring feature set plus label and probability."""
     return ml.score(model, scoring_features, threshold)
 

@@ -23,7 +23,9 @@ def write(df: DataFrame, path: str, mode: str = "replace_dates") -> None:
     """``mode="replace_dates"`` (default): the dates present in ``df`` are
     replaced, all other dates kept (re-runnable).  ``mode="append"``: rows are
     added, like an ``INSERT INTO``; running twice duplicates them."""
-    writer = conform(df).write.partitionBy("predictionDate")
+    # rebalance: adaptive execution sizes the written files toward its
+    # advisory partition size instead of one small file per scoring task
+    writer = conform(df).hint("rebalance").write.partitionBy("predictionDate")
     if mode == "replace_dates":
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     elif mode == "append":

@@ -1,8 +1,8 @@
 """The sharded session table: one Parquet folder per day (``_table_suffix``).
 
 Equivalent of reading one daily shard, a suffix range of shards, or all
-shards.  Suffix filters become ``PartitionFilters`` (folders never listed or
-opened), and selected struct leaves become a pruned ``ReadSchema``.
+shards.  Suffix filters become ``PartitionFilters`` (files of other days are
+never opened), and selected struct leaves become a pruned ``ReadSchema``.
 
 Two layouts are read:
 

@@ -36,3 +36,12 @@ def test_model_query_shapes(spark):
     pub = qs["pub_daily_predictions"](spark, SF_SMALL)
     assert len(pub.columns) == 25
     assert pub.count() == qs["feat_history_score"](spark, SF_SMALL).count()
+
+
+def test_sf_dir_spelling_does_not_matter(spark):
+    from weblytics.sources.fixture import session_store
+    a = session_store(spark, SF_SMALL)
+    b = session_store(spark, SF_SMALL + "/")
+    assert a is b
+    assert E.queries()["an_time_by_device"](spark, SF_SMALL + "/").count() == \
+        E.queries()["an_time_by_device"](spark, SF_SMALL).count()

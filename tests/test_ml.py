@@ -81,3 +81,11 @@ def test_save_without_replace_fails_if_present(spark, basic_model, store):
     with pytest.raises(Exception):
         ml.save(basic_model.model, path, replace=False)
     ml.save(basic_model.model, path, replace=True)  # CREATE OR REPLACE
+
+
+def test_label_probs_array(basic_model, store):
+    scored = ml.score(basic_model.model, feature_set(store, "basic", "test"))
+    r = scored.select("predicted_label_probs", "predicted_probability").first()
+    assert [p["label"] for p in r.predicted_label_probs] == [1, 0]
+    assert r.predicted_label_probs[0]["prob"] == r.predicted_probability
+    assert abs(sum(p["prob"] for p in r.predicted_label_probs) - 1) < 1e-9

@@ -202,11 +202,18 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = fixed.THRESHOLD) -> DataFrame:
-    """Input columns plus ``predicted_probability`` (probability of label 1)
-    and ``predicted_label``.  A narrow map over the rows: no shuffle."""
+    """Input columns plus ``predicted_label_probs`` (array of (label, prob),
+    label 1 first), ``predicted_probability`` (its first element: the
+    probability of label 1) and ``predicted_label``.  A narrow map over the
+    rows: no shuffle."""
     out = model.transform(df)
-    keep = df.columns
-    return (out.select(*keep, vector_to_array("probability")[1].alias("predicted_probability"))
+    probs = vector_to_array("probability")
+    pairs = F.array(
+        F.struct(F.lit(1).cast("long").alias("label"), probs[1].alias("prob")),
+        F.struct(F.lit(0).cast("long").alias("label"), probs[0].alias("prob")),
+    )
+    return (out.select(*df.columns, pairs.alias("predicted_label_probs"))
+            .withColumn("predicted_probability", F.col("predicted_label_probs")[0]["prob"])
             .withColumn("predicted_label", evaluation.predict_at("predicted_probability", threshold)))
 
 

@@ -37,3 +37,13 @@ def test_split_independent_of_sample(store):
     ev = neg.where(sampling.in_eval_split(0.2, MODELS["history"].split_seed,
                                           key=F.col("unique_session_id"))).count()
     assert ev < neg.count()
+
+
+def test_draw_edges(store):
+    import pytest
+    df = store.all().withColumn("k", F.concat(F.col("fullVisitorId"), F.lit("-"), F.col("visitId")))
+    n = df.count()
+    assert df.where(sampling.draw(1.0, key=F.col("k"))).count() == n
+    assert df.where(sampling.draw(0.0, key=F.col("k"))).count() == 0
+    with pytest.raises(ValueError):
+        sampling.threshold_hex(1.5)

@@ -56,3 +56,15 @@ def test_top_k_is_take_ordered(store):
 def test_temporal_metrics_broadcast(store):
     text = _plan(features.enriched(store.between("20240101", "20240121")))
     assert "BroadcastHashJoin" in text
+
+
+def test_no_python_runs_in_any_registered_query(spark):
+    """Every registered query (models included) stays on the JVM: no
+    row-at-a-time or Arrow Python evaluation anywhere in its plan."""
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    python_nodes = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas",
+                    "FlatMapGroupsInPandas", "AggregateInPandas", "WindowInPandas")
+    for name, fn in E.queries().items():
+        text = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert not any(node in text for node in python_nodes), name

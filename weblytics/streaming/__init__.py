@@ -3,6 +3,11 @@
 Intentionally empty: the workload is batch only (daily shards in, a
 date-partitioned table out); it has no stream source, watermark, streaming
 window or streaming state.  A new day is handled by running the batch jobs
-for that day's shard, which the partition pruning of the session table and
-the dynamic partition overwrite of the published table make cheap.
+for that day's shard, e.g.
+
+    python -m weblytics publish --sessions ROOT --start D --end D \\
+        --model MODEL --table TABLE --run-date YYYY-MM-DD
+
+which the partition pruning of the session table and the dynamic partition
+overwrite of the published table make cheap and re-runnable.
 """

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblytics.llm import decontamination, near_duplicates, packing, quality, sharding, token_files
-from weblytics.llm.common import table
+from weblytics.llm import (decontamination, language_id, near_duplicates, packing, quality, repeated_passages,
+                           sharding, token_files, toxicity)
+from weblytics.llm.common import crc32_of_id, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc32_of_id() % 3
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(fold != 1).select("doc_id", "text", "lang"))
+    return language_id.predict(docs.select("doc_id", "text"), model, keep_text=False).select(
+        "doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc32_of_id() % 3
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.filter(fold != 1), labels)
+    return toxicity.predict(docs, model, keep_text=False).select(
+        "doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(docs).select(
@@ -38,6 +56,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeated_passages.remove(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, code = token_files.write_files(table(spark, sf_dir, "documents"))
     return token_files.read_files(files, code).select(
@@ -53,7 +77,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_language_id": op2_language_id,
+        "op3_toxicity": op3_toxicity,
         "op4_sharding": op4_sharding,
+        "op5_repeated_passages": op5_repeated_passages,
         "op7_token_files": op7_token_files,
         "op8_packing": op8_packing,
         "op9_near_duplicates": op9_near_duplicates,

@@ -172,12 +172,19 @@ def thresholds(sketch: DataFrame, opt: QualityOptions = QualityOptions()) -> Dat
                 .otherwise(F.col(f"__a_{s}")).alias(s) for s in sides]))
 
 
+def packed(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The columns to judge by, and the whole input row as ``row``: keeps input
+    columns whose names the results would replace."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
+        "row", *[F.col(f"row.`{c}`").alias(c) for c in dict.fromkeys((text, lang, source))])
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
           opt: QualityOptions = QualityOptions(), keep_text: bool = True) -> DataFrame:
     """``docs`` plus counts, rates, ``base_failed`` and ``kept``."""
     counted = with_counts(docs, text, opt)
     if not keep_text:
-        counted = counted.drop(F.col(f"`{text}`"))
+        counted = counted.drop(text)
     # both passes read the counted table; the text is counted once
     counted = store(counted, "quality-counts")
     limits = store(thresholds(store(sketches(counted, lang, source), "quality-sketches"), opt),

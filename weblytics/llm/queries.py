@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblytics.llm import (decontamination, language_id, near_duplicates, packing, quality, repeated_passages,
-                           sharding, token_files, toxicity)
+from weblytics.llm import (decontamination, language_id, licences, near_duplicates, packing, quality,
+                           repeated_passages, sharding, token_files, toxicity)
 from weblytics.llm.common import crc32_of_id, table
 
 
@@ -62,6 +62,12 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, keep_text=False).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, code = token_files.write_files(table(spark, sf_dir, "documents"))
     return token_files.read_files(files, code).select(
@@ -81,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_sharding": op4_sharding,
         "op5_repeated_passages": op5_repeated_passages,
+        "op6_licence_scan": op6_licence_scan,
         "op7_token_files": op7_token_files,
         "op8_packing": op8_packing,
         "op9_near_duplicates": op9_near_duplicates,

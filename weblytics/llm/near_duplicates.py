@@ -8,15 +8,16 @@ r"""Near-duplicate documents by HyperMinHash.
 3. Four neighbouring registers are a band, 32 bands in all.  Two sets with a
    similarity of 0.8 miss each other in every band with a probability below
    1e-7.  Band keys held by one class alone are dropped.
-4. Classes connected through band keys form a cluster.  A cluster is compared
-   in units of at most two blocks of classes; a cluster with very many blocks
-   is compared per band key instead, in blocks as well, so a unit's memory is
-   bounded and no pair is left out.
-5. In a unit, registers give a Jaccard estimate, corrected for accidental
-   register collisions; pairs far below the limit (five standard deviations)
-   and pairs already connected are skipped, all others are verified on the
-   full sets.  A unit returns links that connect what it verified, at most one
-   per class, never all pairs.
+4. Among the classes that share a band key, registers give a Jaccard estimate,
+   corrected for accidental register collisions; pairs far below the limit
+   (five standard deviations) are ruled out.  Per key, as many plausible pairs
+   are returned as connect all of them, never all pairs.  A key that many hold
+   is split into blocks, compared two by two.
+5. Classes connected by plausible pairs form a cluster, which is compared on
+   full sets in units of at most two blocks of classes; pairs already connected
+   are skipped.  A cluster with very many blocks is compared per band key
+   instead, in blocks as well, so a unit's memory is bounded and no pair is
+   left out.  A unit returns links that connect what it verified.
 6. Components of the links; a component's id is its smallest document id.
 
 Edge cases: documents without words or text have no shingles, are linked with
@@ -96,14 +97,6 @@ def level_chances(sizes: np.ndarray) -> np.ndarray:
     return (1 - 0.5 ** level / BUCKETS) ** n - (1 - 0.5 ** (level - 1) / BUCKETS) ** n
 
 
-def estimates(one: np.ndarray, many: np.ndarray, chance_one: np.ndarray, chance_many: np.ndarray):
-    """(Jaccard estimates of one set against many, buckets they rest on)."""
-    used = ((one > 0) | (many > 0)).sum(axis=1)
-    equal = ((one == many) & (one > 0)).sum(axis=1)
-    by_accident = chance_many @ chance_one * (BUCKETS / (1 << MANTISSA_BITS))
-    return (equal - by_accident) / np.maximum(used, 1), used
-
-
 def signatures(docs: DataFrame, key: str, text: str, opt: NearOptions) -> DataFrame:
     """Per row: key, text hash, set size, set hash (16 bytes) and registers."""
     def run(batches):
@@ -157,14 +150,98 @@ def band_keys(classes: DataFrame) -> DataFrame:
     return map_arrow(classes.select("node", "registers"), run, "key long, node long")
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(key, node, blocks) of the keys that two classes or more hold."""
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return keys.join(counts, "key").select("key", "node", "n")
+
+
+def plausible(regs: np.ndarray, chance: np.ndarray, one, many, opt: NearOptions) -> np.ndarray:
+    """Which pairs (one, many) of rows the register estimate does not rule out:
+    it lies at most ``deviations`` standard deviations below the limit."""
+    used = ((regs[one] > 0) | (regs[many] > 0)).sum(axis=-1)
+    equal = ((regs[one] == regs[many]) & (regs[one] > 0)).sum(axis=-1)
+    by_accident = (chance[one] * chance[many]).sum(axis=-1) * (BUCKETS / (1 << MANTISSA_BITS))
+    limit = opt.percent / 100
+    margin = opt.deviations * np.sqrt(limit * (1 - limit) / np.maximum(used, 1))
+    return (equal - by_accident) / np.maximum(used, 1) >= limit - margin
+
+
+def _spanning(nodes, blocks, regs, chance, cross: bool, opt: NearOptions) -> list[tuple[int, int]]:
+    """Plausible pairs that connect all of a unit's plausible pairs."""
+    n = len(nodes)
+    group, out = np.arange(n), []
+    for x in range(n - 1):
+        open_ = group[x + 1:] != group[x]
+        if cross:
+            open_ &= blocks[x + 1:] != blocks[x]
+        y = np.flatnonzero(open_) + x + 1
+        if not len(y):
+            continue
+        for other in y[plausible(regs, chance, x, y, opt)].tolist():
+            if group[other] != group[x]:
+                out.append((int(nodes[x]), int(nodes[other])))
+                group[group == group[other]] = group[x]
+    return out
+
+
+def plausible_links(classes: DataFrame, held: DataFrame, opt: NearOptions) -> DataFrame:
+    """(a, b) between classes that share a band key and whose estimate is near
+    the limit or above: per key (in blocks, if many hold it) as many as connect
+    its plausible pairs."""
+    blocks = F.ceil(F.col("n") / opt.block_classes).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(5), "node"), blocks).cast("int")
+    units = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(
+        F.least(x, own).alias("low"), F.greatest(x, own).alias("high"))))
+    rows = (held.select("key", "node", own.alias("block"), units.alias("unit"))
+            .join(classes.select("node", "registers", "n_shingles"), "node")
+            .select("key", "unit.low", "unit.high", "block", "node", "n_shingles", "registers")
+            .repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node"))
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        nodes, blocks_ = table.column("node").to_numpy(), table.column("block").to_numpy()
+        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        chance = level_chances(table.column("n_shingles").to_numpy())
+        unit = [table.column(c).to_numpy() for c in ("key", "low", "high")]
+        cross = unit[1] != unit[2]
+        first = np.flatnonzero(np.concatenate([[True], np.any([u[1:] != u[:-1] for u in unit], axis=0)]))
+        size = np.diff(np.append(first, len(nodes)))
+        # units of two classes all at once, the others one by one
+        two = first[size == 2]
+        two = two[~cross[two] | (blocks_[two] != blocks_[two + 1])]
+        two = two[plausible(regs, chance, two, two + 1, opt)]
+        found = list(zip(nodes[two].tolist(), nodes[two + 1].tolist()))
+        for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+            part = slice(at, at + n)
+            found += _spanning(nodes[part], blocks_[part], regs[part], chance[part], bool(cross[at]), opt)
+        found = list(dict.fromkeys(found))
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()),
+                                           pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    def run(batches):
+        # whole units only: the last one of a batch waits for the next batch
+        held_back = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held_back is not None:
+                table = pa.concat_tables([held_back, table])
+            unit = [table.column(c).to_numpy() for c in ("key", "low", "high")]
+            change = np.flatnonzero(np.any([u[1:] != u[:-1] for u in unit], axis=0))
+            cut = int(change[-1]) + 1 if len(change) else 0
+            held_back = table.slice(cut)
+            if cut:
+                yield links(table.slice(0, cut))
+        if held_back is not None and len(held_back):
+            yield links(held_back)
+
+    return map_arrow(rows, run, "a long, b long").distinct()
+
+
 def members_of_units(classes: DataFrame, keys: DataFrame, opt: NearOptions) -> DataFrame:
     """(node, units): the comparison units that each class takes part in, as an
     array of (group, low block, high block, own block)."""
-    shared = store(keys.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n"))
-                   .filter("n > 1"), "band-keys")
-    held = store(keys.join(shared.select("key", "center"), "key"), "band-members")
-    clusters = store(connected_components(held.select(F.col("node").alias("a"), F.col("center").alias("b"))
-                                          .filter("a <> b").distinct()), "clusters")
+    held = store(shared_keys(keys), "band-members")
+    clusters = store(connected_components(plausible_links(classes, held, opt)), "clusters")
     sized = clusters.join(classes.select("node", "n_shingles"), "node")
 
     def blocks(members: DataFrame) -> DataFrame:
@@ -177,7 +254,7 @@ def members_of_units(classes: DataFrame, keys: DataFrame, opt: NearOptions) -> D
 
     by_cluster = blocks(sized.select(F.col("root").alias("group"), "node", "n_shingles"))
     large = by_cluster.filter(F.col("blocks") > opt.cluster_blocks).select("node", "n_shingles")
-    by_key = blocks(held.join(large, "node").select(F.col("key").alias("group"), "node", "n_shingles"))
+    by_key = blocks(held.select("key", "node").join(large, "node").select(F.col("key").alias("group"), "node", "n_shingles"))
     every = by_cluster.filter(F.col("blocks") <= opt.cluster_blocks).unionByName(by_key)
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
         F.col("group").alias("group"), F.least(x, F.col("block")).alias("low"),
@@ -232,7 +309,6 @@ def verified_links(nodes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray]
     finish = np.append(begin[1:], len(flat))
     values = flat[begin]
     group = np.arange(n)
-    limit = opt.percent / 100
     links = []
     for x in range(n - 1):
         open_ = group != group[x]
@@ -245,8 +321,7 @@ def verified_links(nodes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray]
         y = np.flatnonzero(open_)
         if not len(y):
             continue
-        guess, used = estimates(regs[x], regs[y], chance[x], chance[y])
-        y = y[guess >= limit - opt.deviations * np.sqrt(limit * (1 - limit) / np.maximum(used, 1))]
+        y = y[plausible(regs, chance, x, y, opt)]
         if not len(y):
             continue
         at = np.searchsorted(values, sets[x])

@@ -39,6 +39,14 @@ def test_split_independent_of_sample(store):
     assert ev < neg.count()
 
 
+def test_sessions_without_a_visitor_are_sampled_too(store):
+    df = store.all().withColumn("fullVisitorId", F.lit(None).cast("string"))
+    negatives = df.where("totals.transactions IS NULL").count()
+    assert features.sampled(df, 1.0).count() == df.count()
+    kept = features.sampled(df, 0.5).where("label = 0").count()
+    assert 0.3 * negatives < kept < 0.7 * negatives
+
+
 def test_draw_edges(store):
     import pytest
     df = store.all().withColumn("k", F.concat(F.col("fullVisitorId"), F.lit("-"), F.col("visitId")))

@@ -6,6 +6,10 @@ rows are kept.  Instead the draw is a pure function of the session key and a
 seed: the first 32 bits of ``md5(key || ':' || seed)`` compared with
 ``p * 2^32``.  It is stable under retries, needs no shuffle, and the same
 expression runs in any SQL engine with ``md5``, so the oracle can check it.
+
+The key is never NULL: a missing visitor is the text ``?``, and visit, start
+time and shard tell such sessions apart.  (The published session id stays
+NULL for them.)
 """
 
 from __future__ import annotations
@@ -13,7 +17,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import c, session_key
+from .columns import c
+
+
+def draw_key() -> Column:
+    """A session's key for the draw, never NULL."""
+    parts = [F.coalesce(F.col(n).cast("string"), F.lit("?"))
+             for n in ("fullVisitorId", "visitId", "visitStartTime", "date")]
+    return F.concat_ws("-", *parts)
+
+
+def row_key(key: str, columns: list[str]) -> Column:
+    """``key``, or where it is NULL a digest of the whole row."""
+    whole = F.md5(F.to_json(F.struct(*[F.col(f"`{x}`") for x in columns])))
+    return F.coalesce(F.col(key), F.concat(F.lit("?"), whole))
 
 
 def hash_hex8(key: Column, seed: int | None) -> Column:
@@ -30,7 +47,7 @@ def threshold_hex(p: float) -> str:
 
 def draw(p: float, seed: int | None = 42, key: Column | None = None) -> Column:
     """True for about a fraction ``p`` of sessions, always the same ones."""
-    key = session_key() if key is None else key
+    key = draw_key() if key is None else key
     return hash_hex8(key, seed) < F.lit(threshold_hex(p))
 
 

@@ -5,8 +5,8 @@ original workload.  All are shard-suffix bounds, inclusive."""
 PERIODS = {
     # one daily shard (original: 20170801)
     "shard": ("20240115", "20240115"),
-    # one-month reports and the hit flattening (original: one calendar month)
-    "month": ("20240111", "20240120"),
+    # one-month reports and the hit flattening: the whole calendar month
+    "month": ("20240101", "20240131"),
     # two-month reports (original: 20161001-20161130)
     "two_month": ("20240101", "20240130"),
     # sessions with a known visitor (original: 20160801-20170801)

@@ -12,7 +12,7 @@ def test_auc_matches_spark_evaluator(store):
     ev = BinaryClassificationEvaluator(rawPredictionCol="predicted_probability", labelCol="label",
                                        metricName="areaUnderROC", numBins=0)
     theirs = ev.evaluate(scored.withColumn("label", F.col("label").cast("double")))
-    assert abs(ours - theirs) < 1e-3
+    assert abs(ours - theirs) < 1e-6
 
 
 def test_confusion_sums_to_rows(store):
@@ -32,6 +32,13 @@ def test_metrics_consistent_with_confusion(store):
     assert abs(m.accuracy - (tp + tn) / (tp + fp + fn + tn)) < 1e-6
 
 
+def test_auc_of_tiny_separated_scores_is_one(spark):
+    rows = [(int(i >= 1000), 1e-5 + i * 1e-9, 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "label long, predicted_probability double, predicted_label long")
+    assert evaluation.roc_auc(df).first().roc_auc == 1.0
+    assert evaluation.evaluate(df).first().roc_auc == 1.0
+
+
 def test_single_class_gives_null_auc(spark):
     df = spark.createDataFrame([(1, 0.3, 0), (1, 0.9, 1)], "label long, predicted_probability double, predicted_label long")
     assert evaluation.evaluate(df).first().roc_auc is None

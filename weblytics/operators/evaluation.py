@@ -1,17 +1,16 @@
 """Binary-classifier evaluation over a scored DataFrame, as aggregations.
 
 Input columns: the 0/1 ``label``, the probability of label 1 and the
-predicted 0/1 label.  Nothing is collected: counts and log loss are one
-global aggregate (partial per task); ROC AUC groups the scores into at most
-``bins + 1`` score bins (a bounded table, like the binned curve of Spark's
-own evaluator) and integrates over them, ties inside a bin counted half.
+predicted 0/1 label.  Counts and log loss are one global aggregate (partial
+per task).  ROC AUC is exact: Spark's evaluator sorts the distinct scores
+over all tasks (no bins) and integrates, ties counted half.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.fixed import THRESHOLD
 
@@ -31,46 +30,36 @@ def confusion(scored: DataFrame, label: str = "label", pred: str = "predicted_la
             .orderBy("expected_label"))
 
 
-def _per_bin(scored: DataFrame, label: str, prob: str, pred: str | None, bins: int) -> DataFrame:
-    """Counts per score bin (at most ``bins + 1`` rows)."""
-    y = F.col(label).cast("long")
-    p = F.least(F.greatest(F.col(prob).cast("double"), F.lit(EPS)), F.lit(1 - EPS))
-    aggs = [F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"),
-            F.sum(-(y * F.ln(p) + (1 - y) * F.ln(1 - p))).alias("loss")]
-    if pred is not None:
-        yhat = F.col(pred)
-        aggs += [F.count_if((y == 1) & (yhat == 1)).alias("tp"),
-                 F.count_if((y == 0) & (yhat == 1)).alias("fp"),
-                 F.count_if((y == 1) & (yhat == 0)).alias("fn"),
-                 F.count_if((y == 0) & (yhat == 0)).alias("tn")]
-    per_bin = (scored.groupBy(F.round(F.col(prob) * bins).cast("long").alias("bin"))
-               .agg(*aggs))
-    # the window runs over at most bins + 1 rows, whatever the input size
-    below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    return per_bin.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-
-
-def _auc():
-    return F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5)),
-                        (F.sum("pos") * F.sum("neg")).cast("double"))
-
-
-def roc_auc(scored: DataFrame, label: str = "label", prob: str = "predicted_probability",
-            bins: int = 10000) -> DataFrame:
+def _auc(scored: DataFrame, label: str, prob: str) -> float | None:
+    """Area under the ROC curve; None if a class is absent."""
+    classes = scored.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+    if 0 in tuple(classes):
+        return None
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol=prob, labelCol=label,
+                                              metricName="areaUnderROC", numBins=0)
+    return evaluator.evaluate(scored.select(F.col(label).cast("double").alias(label),
+                                            F.col(prob).cast("double").alias(prob)))
+
+
+def roc_auc(scored: DataFrame, label: str = "label", prob: str = "predicted_probability") -> DataFrame:
     """One-row DataFrame ``roc_auc`` (NULL if one class is absent)."""
-    return _per_bin(scored, label, prob, None, bins).agg(_auc().alias("roc_auc"))
+    return scored.sparkSession.range(1).select(
+        F.lit(_auc(scored, label, prob)).cast("double").alias("roc_auc"))
 
 
 def evaluate(scored: DataFrame, label: str = "label", prob: str = "predicted_probability",
-             pred: str = "predicted_label", bins: int = 10000, digits: int | None = 6) -> DataFrame:
+             pred: str = "predicted_label", digits: int | None = 6) -> DataFrame:
     """One row: precision, recall, accuracy, f1_score, log_loss, roc_auc.
 
     ``digits`` rounds the results: sums of doubles depend on how rows are
     split over tasks, so the last bits are not stable between runs."""
-    totals = _per_bin(scored, label, prob, pred, bins).agg(
-        *[F.sum(c).cast("double").alias(c) for c in ("tp", "fp", "fn", "tn")],
-        F.try_divide(F.sum("loss"), F.sum(F.col("pos") + F.col("neg")).cast("double")).alias("log_loss"),
-        _auc().alias("roc_auc"))
+    y, yhat = F.col(label).cast("long"), F.col(pred)
+    p = F.least(F.greatest(F.col(prob).cast("double"), F.lit(EPS)), F.lit(1 - EPS))
+    totals = scored.agg(
+        *[F.count_if((y == a) & (yhat == b)).cast("double").alias(n)
+          for n, a, b in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))],
+        F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p))).alias("log_loss"),
+    ).withColumn("roc_auc", F.lit(_auc(scored, label, prob)).cast("double"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     precision = F.try_divide(tp, tp + fp)
     recall = F.try_divide(tp, tp + fn)

@@ -7,8 +7,9 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from weblytics.plans import oracle
 
-ORACLES = E.oracle_sql()
+ORACLES = oracle.oracle_sql()
 DUCK_TO_SPARK = {"VARCHAR": "string", "BIGINT": "bigint", "DOUBLE": "double",
                  "BOOLEAN": "boolean", "DATE": "date"}
 SKIP_SLOW = {n for n in ORACLES if n.startswith("ml_train_")}

@@ -61,17 +61,55 @@ def test_deterministic_for_a_seed(spark, store):
     assert a == b
 
 
-def test_top_categories_two_phase_equals_direct_ranking(spark):
-    from pyspark.sql.window import Window
-    rows = [(f"v{i % 37}", f"w{i % 5}") for i in range(2000)] + [(None, "w1")] * 3
-    df = spark.createDataFrame(rows, "a string, b string")
-    got = ml.top_categories(df, ["a", "b"], 4)
-    for c in ("a", "b"):
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).count()
-        w = Window.orderBy(F.col("count").desc(), F.col(c))
-        want = [r[0] for r in counts.withColumn("r", F.row_number().over(w)).where("r <= 4")
-                .orderBy("r").collect()]
-        assert got[c] == want
+def test_dictionary_keeps_every_value(spark):
+    rows = [(f"v{i % 300}", ["", None, "x"][i % 3], i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "os string, browser string, label long")
+    words = ml.dictionary(df, ["os", "browser"])
+    own = words.where("feature = 'os' AND value IS NOT NULL")
+    assert own.count() == own.select("idx").distinct().count() == 300
+    assert sorted(r.idx for r in own.collect()) == list(range(ml.FIRST_INDEX, ml.FIRST_INDEX + 300))
+    got = ml.with_categories(spark.createDataFrame(
+        [("v1", None), ("new", ""), (None, "x")], "os string, browser string"), words, ["os", "browser"], 0.5)
+    idx = {(r.os, r.browser): (r.os__idx, r.browser__idx) for r in got.collect()}
+    assert idx[("new", "")][0] == ml.UNSEEN_INDEX and idx[("new", "")][1] == ml.EMPTY_INDEX
+    assert idx[(None, "x")][0] == ml.NULL_INDEX and idx[("v1", None)][1] == ml.NULL_INDEX
+    assert idx[("v1", None)][0] >= ml.FIRST_INDEX
+
+
+def test_split_holds_every_row(spark, store):
+    data = feature_set(store, "basic", "train")
+    data = data.withColumn("unique_session_id", F.when(F.rand(3) < 0.5, F.col("unique_session_id")))
+    parts = {r.part: r.n_rows for r in ml.split_summary(data, ml.MODELS["basic"]).collect()}
+    assert sum(parts.values()) == data.count() and min(parts.values()) > 0
+
+
+def test_fixed_score_model_round_trip(spark, store):
+    import uuid
+    scoring = feature_set(store, "history", "test", for_scoring=True)
+    path = f"{ml.model_path(spark, 'test', 'history')}-{uuid.uuid4().hex}"
+    ml.save(ml.fixed_score_model(spark, scoring), path, replace=False)
+    scored = ml.score(ml.load(path), scoring)
+    assert scored.where(F.abs(F.col("predicted_probability") - (F.col("hits") + 1) / (F.col("hits") + 6)) > 1e-12
+                        ).count() == 0
+
+
+def test_logistic_gradient_is_small(spark, store):
+    """The unpenalised fit ends where the mean gradient of the loss is small."""
+    spec = ml.ModelSpec("grad", "logistic", max_iter=200)
+    data = feature_set(store, "basic", "train")
+    model = ml.train(spark, data, spec).model
+    rows = ml.score(model, data.where(~ml.eval_part(data, spec)))
+    r = rows.agg(F.avg(F.col("predicted_probability") - F.col("label")).alias("g"),
+                 F.avg((F.col("predicted_probability") - F.col("label")) * F.col("pageviews")).alias("gp")).first()
+    assert abs(r.g) < 1e-3 and abs(r.gp) < 1e-2
+
+
+def test_confusion_totals_are_the_label_counts(spark, store, basic_model):
+    from weblytics.operators import evaluation
+    test = feature_set(store, "basic", "test")
+    totals = {r.expected_label: r.predicted_0 + r.predicted_1
+              for r in evaluation.confusion(ml.score(basic_model.model, test)).collect()}
+    assert totals == {r.label: r["count"] for r in test.groupBy("label").count().collect()}
 
 
 def test_save_without_replace_fails_if_present(spark, basic_model, store):

@@ -34,7 +34,7 @@ def test_nested_layout_unnest_reads_two_leaves_and_agrees(spark, store):
     path = f"{work_dir(spark)}/test-nested/{uuid.uuid4().hex}"
     store.with_hits(store.all()).write.partitionBy("_table_suffix").parquet(path)
     nested = SessionStore(spark, path, layout="nested")
-    flat = explore.unnest_hits(nested.between("20240111", "20240120"))
+    flat = explore.unnest_hits(nested, "20240111", "20240120")
     text = _formatted(flat)
     assert "hits:array<struct<hitNumber:bigint,page:struct<pagePath:string>>>" in text
     split = explore.hit_columns(store.hit_rows("20240111", "20240120"))
@@ -43,6 +43,24 @@ def test_nested_layout_unnest_reads_two_leaves_and_agrees(spark, store):
     assert nested.hit_rows().count() == store.hit_rows().count()
 
 
+def test_hit_blocks_unnest_two_leaves(store):
+    """The registered unnesting generates rows from arrays of bounded length."""
+    flat = explore.unnest_hits(store, "20240111", "20240120")
+    text = _formatted(flat)
+    assert "Generate" in text
+    assert "hits:array<struct<hitNumber:bigint,page:struct<pagePath:string>>>" in text
+    rows = explore.hit_columns(store.hit_rows("20240111", "20240120"))
+    assert flat.exceptAll(rows).count() == 0 and rows.exceptAll(flat).count() == 0
+
+
+def test_history_reads_no_shard_after_the_period(spark, store):
+    df = features.for_model(store, "history", "20240101", "20240110")
+    from weblytics.operators.history import visitor_days
+    text = _formatted(visitor_days(store.all().where("_table_suffix <= '20240110'")))
+    assert "PartitionFilters: [isnotnull(_table_suffix" in text
+    assert df.agg({"visit_date": "max"}).first()[0].isoformat() <= "2024-01-10"
+
+
 def test_campaign_filter_pushed_to_scan(store):
     text = _formatted(reports.campaigns(store.between("20240101", "20240130")))
     assert "PushedFilters: [IsNotNull(trafficSource.campaign)" in text
@@ -61,10 +79,10 @@ def test_temporal_metrics_broadcast(store):
 def test_no_python_runs_in_any_registered_query(spark):
     """Every registered query (models included) stays on the JVM: no
     row-at-a-time or Arrow Python evaluation anywhere in its plan."""
-    import __spark_entry__ as E
     from conftest import SF_SMALL
+    from weblytics.plans import catalogue
     python_nodes = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas",
                     "FlatMapGroupsInPandas", "AggregateInPandas", "WindowInPandas")
-    for name, fn in E.queries().items():
+    for name, fn in catalogue.queries().items():
         text = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert not any(node in text for node in python_nodes), name

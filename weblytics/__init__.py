@@ -10,7 +10,6 @@ Subpackages:
                   visitor history, feature sets, model evaluation.
 * ``plans``     - multi-step jobs: model training / scoring, publishing,
                   and the catalogue of registered queries.
-* ``streaming`` - intentionally empty (the workload has no streaming part).
 """
 
 __version__ = "0.1.0"

@@ -109,6 +109,7 @@ def main(argv: list[str] | None = None) -> int:
         _emit(queries()[args.name](spark, args.sf_dir), args)
         return 0
     store = SessionStore(spark, args.sessions, layout=args.layout)
+    store.require(args.start, args.end)
     if args.cmd in ("train", "evaluate", "publish"):
         return _model_command(spark, store, args)
     if args.cmd == "explore":
@@ -120,7 +121,7 @@ def main(argv: list[str] | None = None) -> int:
             rows = explore.known_visitors(store.between(args.start, args.end))
             df = store.with_hits(rows, args.start, args.end)
         else:
-            df = explore.hit_columns(store.hit_rows(args.start, args.end))
+            df = explore.unnest_hits(store, args.start, args.end)
         _emit(df, args)
         return 0
     period = store.between(args.start, args.end)

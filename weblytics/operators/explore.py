@@ -36,17 +36,23 @@ def hit_columns(hit_rows: DataFrame) -> DataFrame:
                            F.col("hit.page.pagePath").alias("pagePath"))
 
 
-def unnest_hits(sessions: DataFrame) -> DataFrame:
-    """One row per hit: visitor, visit, hit number, page path.
-
-    The two hit leaves are zipped before the explode, so the Parquet scan
-    reads only ``hits.hitNumber`` and ``hits.page.pagePath`` (an explode of the
-    whole ``hits`` struct would read every leaf).  Sessions with a NULL or
-    empty ``hits`` give no row (inner lateral join)."""
-    hit = F.explode(F.arrays_zip(F.col("hits.hitNumber").alias("hitNumber"),
-                                 F.col("hits.page.pagePath").alias("pagePath"))).alias("hit")
-    return (sessions.select("fullVisitorId", "visitId", hit)
-            .select("fullVisitorId", "visitId", "hit.hitNumber", "hit.pagePath"))
+def unnest_hits(store, start: str | None = None, end: str | None = None) -> DataFrame:
+    """One row per hit: visitor, visit, hit number, page path, unnested from
+    the ``hits`` arrays of a ``SessionStore``."""
+    return store.hit_leaves(start, end).select("fullVisitorId", "visitId", "hitNumber", "pagePath")
+
+
+def known_visitor_hits(store, start: str, end: str) -> DataFrame:
+    """The hits of all sessions of the range whose ``visitorId`` is set, one
+    row each: the companion of ``known_visitors``."""
+    known = store.between(start, end).where(F.col("visitorId").isNotNull()).select(
+        F.col("fullVisitorId").alias("_visitor"), F.col("visitId").alias("_visit"),
+        F.col(S.SUFFIX).alias("_shard"))
+    hits = store.hit_leaves(start, end)
+    return (hits.join(known, F.col("fullVisitorId").eqNullSafe(F.col("_visitor"))
+                      & F.col("visitId").eqNullSafe(F.col("_visit"))
+                      & (F.col(S.SUFFIX) == F.col("_shard")), "left_semi")
+            .select("fullVisitorId", "visitId", F.col(S.SUFFIX).alias("date"), "hitNumber", "pagePath"))
 
 
 def flat(df: DataFrame) -> DataFrame:

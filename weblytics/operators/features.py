@@ -157,8 +157,7 @@ def main_dataset(sessions: DataFrame, metrics_from: DataFrame | None = None) ->
         F.concat(F.col("device.browser"), F.lit("_"), F.col("device.operatingSystem")).alias("browser_os"),
         X.time_on_site_category(F.col("totals.timeOnSite")).alias("time_on_site_category"),
     )
-    joined = (base
-              .join(users, "fullVisitorId", "left")
+    joined = (M.join_visitor(base, users)
               # at most 7 x 12 rows: a broadcast whose size is bounded by the calendar
               .join(F.broadcast(temporal), ["day_of_week", "month"], "left")
               .join(dev, (F.col("device.operatingSystem") == dev.operating_system)

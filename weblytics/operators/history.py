@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import session_date
+from ..schema import SUFFIX
+from .metrics import join_visitor
 
 
 def visitor_days(sessions_all: DataFrame) -> DataFrame:
@@ -48,14 +50,15 @@ def with_history(sessions: DataFrame, sessions_all: DataFrame,
                  start: str | None = None, end: str | None = None) -> DataFrame:
     """``sessions`` plus ``visit_date``, ``visit_frequency`` and
     ``total_transaction_value``.  ``start`` / ``end`` (YYYYMMDD) restrict the
-    history rows to the dates of the period before the join."""
+    history rows to the dates of the period before the join.  A session's
+    date equals its shard suffix, so shards after ``end`` are never read."""
+    if end is not None:
+        sessions_all = sessions_all.where(F.col(SUFFIX) <= F.lit(end))
     hist = visitor_days(sessions_all)
     if start is not None:
         hist = hist.where(F.col("visit_date") >= F.to_date(F.lit(start), "yyyyMMdd"))
-    if end is not None:
-        hist = hist.where(F.col("visit_date") <= F.to_date(F.lit(end), "yyyyMMdd"))
     s = sessions.withColumn("visit_date", session_date("date"))
-    out = s.join(hist, ["fullVisitorId", "visit_date"], "left")
+    out = join_visitor(s, hist, ["visit_date"])
     return out.withColumn("visit_frequency", F.coalesce("visit_frequency", F.lit(0).cast("long")))
 
 

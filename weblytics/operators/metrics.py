@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_converted, pct, session_date, weekday_name
+from ..session import materialise
 
 DEVICE_KEYS = ("operating_system", "device_category", "browser")
 
@@ -54,6 +55,26 @@ def users(sessions: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("visit_count")))
 
 
+def join_visitor(sessions: DataFrame, per_visitor: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Left join of a table with one row per visitor (and ``more`` columns).
+
+    The table is written first: its real size is then known (a small one is
+    broadcast), and a large one is joined over two plain shuffles, whose
+    skewed partitions adaptive execution splits.  A NULL visitor matches
+    nothing; such sessions get a key of their own each, so they spread."""
+    on = more or []
+    side = materialise(per_visitor, "per-visitor").select(
+        F.col("fullVisitorId").alias("_visitor"), *[F.col(c).alias(f"_on_{c}") for c in on],
+        *[c for c in per_visitor.columns if c not in ("fullVisitorId", *on)])
+    alone = F.concat(F.lit("?"), F.xxhash64("visitId", "visitStartTime", "date").cast("string"))
+    keyed = sessions.withColumn("_key", F.coalesce(F.col("fullVisitorId"), alone))
+    condition = F.col("_key") == F.col("_visitor")
+    for c in on:
+        condition = condition & (F.col(c) == F.col(f"_on_{c}"))
+    side = side.where(F.col("_visitor").isNotNull())
+    return keyed.join(side, condition, "left").drop("_key", "_visitor", *[f"_on_{c}" for c in on])
+
+
 def conversion(sessions: DataFrame) -> DataFrame:
     """Sessions, converted sessions and conversion percent per OS x device
     category x browser."""

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import WEEKDAYS, is_converted, or_default, pct, ratio, session_date
+from ..functions.columns import is_converted, or_default, pct, ratio, session_date, weekday_name
 from ..functions.fixed import (CAMPAIGN_NOT_SET, MIN_CONVERSION_PCT, MIN_SESSIONS, REVENUE_UNIT,
                                TOP_COUNTRIES, UNKNOWN)
 
@@ -139,11 +139,7 @@ def pageviews_by_browser(sessions: DataFrame, min_sessions: int = MIN_SESSIONS)
 
 def sessions_by_weekday(sessions: DataFrame) -> DataFrame:
     """Sessions and converted sessions per weekday name (Sunday = day 1)."""
-    dow = F.dayofweek(session_date("date"))
-    name = None
-    for i, day in enumerate(WEEKDAYS, start=1):
-        name = F.when(dow == i, F.lit(day)) if name is None else name.when(dow == i, F.lit(day))
     return (sessions
-            .groupBy(name.alias("day_of_week"))
+            .groupBy(weekday_name(session_date("date")).alias("day_of_week"))
             .agg(F.count(F.lit(1)).alias("total_sessions"), _converted_sum())
             .orderBy(F.col("total_transactions").desc()))

@@ -6,6 +6,7 @@ from the test tables, see ``sources.fixture``) over its whole period.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _period(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
     start, end = PERIODS[period]
-    return session_store(spark, sf_dir).between(start, end)
+    store = session_store(spark, sf_dir)
+    store.require(start, end)
+    return store.between(start, end)
 
 
 def _report(fn, period: str) -> Query:
@@ -50,6 +53,7 @@ def queries() -> dict[str, Query]:
     # exploration
     q["pre_preview_shard"] = _preview_query
     q["pre_scan_range_known_visitor"] = _known_visitors_query
+    q["pre_scan_known_visitor_hits"] = _known_visitor_hits_query
     q["pre_unnest_hits"] = _unnest_query
 
     # metric tables, training and hold-out periods
@@ -88,6 +92,8 @@ def queries() -> dict[str, Query]:
 
     # the four models: train (and store), evaluate and confusion on the hold-out
     for name in ml.MODELS:
+        q[f"ml_split_{name}"] = _split_query(name)
+        q[f"ml_categories_{name}"] = _categories_query(name)
         q[f"ml_train_{name}"] = _train_query(name)
         q[f"ml_evaluate_{name}"] = _holdout_query(name, evaluation.evaluate)
         q[f"ml_confusion_{name}"] = _holdout_query(name, evaluation.confusion)
@@ -95,6 +101,9 @@ def queries() -> dict[str, Query]:
     # scoring and publishing with the history model
     q["ml_predict_sessions"] = _predict_query
     q["pub_daily_predictions"] = _publish_query
+    # the same path with a model whose score SQL can state
+    q["pub_fixed_score"] = _publish_fixed_query(RUN_DATE)
+    q["pub_fixed_score_today"] = _publish_fixed_query(None)
     return q
 
 
@@ -113,12 +122,15 @@ def _preview_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _known_visitors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = session_store(spark, sf_dir)
     start, end = PERIODS["known_visitor"]
-    return explore.flat(store.with_hits(explore.known_visitors(store.between(start, end)), start, end))
+    return explore.flat(explore.known_visitors(store.between(start, end)))
+
+
+def _known_visitor_hits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.known_visitor_hits(session_store(spark, sf_dir), *PERIODS["known_visitor"])
 
 
 def _unnest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start, end = PERIODS["month"]
-    return explore.hit_columns(session_store(spark, sf_dir).hit_rows(start, end))
+    return explore.unnest_hits(session_store(spark, sf_dir), *PERIODS["month"])
 
 
 def _main_dataset_query(period: str) -> Query:
@@ -126,7 +138,7 @@ def _main_dataset_query(period: str) -> Query:
         store = session_store(spark, sf_dir)
         start, end = PERIODS[period]
         main = features.main_dataset(store.between(start, end))
-        return explore.flat(explore.star(store.with_hits(main, start, end)))
+        return explore.flat(explore.star(main))
     return run
 
 
@@ -136,6 +148,7 @@ RUN_DATE = "2024-01-31"     # fixed prediction date of the registered publish ru
 def feature_set(store, name: str, period: str, for_scoring: bool = False) -> DataFrame:
     """Feature set ``name`` of a registered period (see ``periods``)."""
     start, end = PERIODS[period]
+    store.require(start, end)
     return features.for_model(store, name, start, end, for_scoring)
 
 
@@ -143,6 +156,25 @@ def _model(spark: SparkSession, store, name: str):
     return ml.load_or_train(spark, feature_set(store, name, "train"), ml.MODELS[name], store.key)
 
 
+def _fit_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    data = feature_set(session_store(spark, sf_dir), name, "train")
+    return data.where(~ml.eval_part(data, ml.MODELS[name]))
+
+
+def _split_query(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return ml.split_summary(feature_set(session_store(spark, sf_dir), name, "train"), ml.MODELS[name])
+    return run
+
+
+def _categories_query(name: str) -> Query:
+    """Rows and positives of every category value of the fit part."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _fit_rows(spark, sf_dir, name)
+        return ml.category_counts(rows, [c for c in rows.columns if c in features.CATEGORICAL])
+    return run
+
+
 def _train_query(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         store = session_store(spark, sf_dir)
@@ -174,6 +206,19 @@ def _publish_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published.read(spark, path, RUN_DATE)
 
 
+def _publish_fixed_query(run_date: str | None) -> Query:
+    """Save, load, score and publish with the model-free score."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = session_store(spark, sf_dir)
+        scoring = feature_set(store, "history", "test", for_scoring=True)
+        path = f"{work_dir(spark)}/weblytics/models/{store.key}/fixed-score-{uuid.uuid4().hex}"
+        ml.save(ml.fixed_score_model(spark, scoring), path, replace=False)
+        table = f"{work_dir(spark)}/weblytics/published/{store.key}/fixed-score-{uuid.uuid4().hex}"
+        publish.publish(publish.predictions(ml.load(path), scoring), table, run_date)
+        return published.read(spark, table, run_date)
+    return run
+
+
 def _history_query(period: str, for_scoring: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return feature_set(session_store(spark, sf_dir), "history", period, for_scoring)

@@ -1,45 +1,49 @@
 """Training, storing, loading and scoring the four classifiers with Spark ML.
 
-Every model is one ``PipelineModel`` that holds its own input preparation,
-so scoring applies exactly what training learned:
-
-1. ``SQLTransformer`` - empty / NULL categories become explicit tokens,
-   categories outside the training top-N become ``__other__``, booleans and
-   dates become numbers, nullable numbers get a ``_missing`` flag;
-2. ``Imputer`` (mean) for nullable numbers;
-3. ``StringIndexer`` for categories (unseen values get their own index);
-4. logistic regression: ``OneHotEncoder``; forests use the indices as
-   categorical features (``maxBins`` set from the largest category count);
-5. ``VectorAssembler`` and the classifier.
-
-The feature table is written to the shared work folder once
-(``checkpoint``) before fitting, so the many passes of the fit read a plain
-table instead of re-running the feature joins, and a lost executor only
-recomputes its own part.
+A stored model is a ``PipelineModel`` plus a category dictionary, so scoring
+applies exactly what training learned:
+
+1. the dictionary, one row per (feature, value) of the fit part with its index,
+   row count and share of positives, made by distributed aggregation and kept
+   as Parquet beside the pipeline; it is joined per categorical feature (a
+   small one is broadcast by its known size).  All values are kept; unseen,
+   NULL and empty values have indices of their own;
+2. ``SQLTransformer``: booleans and dates become numbers, nullable numbers get
+   a ``_missing`` flag; ``Imputer`` (mean) for nullable numbers;
+3. logistic regression: sparse one-hot vectors of the indices.  Forests: the
+   share of positives of the value, an ordered number, so the number of bins
+   does not follow the number of values;
+4. ``VectorAssembler`` and the classifier.
+
+Nothing collects values to the driver; what a logistic model holds there is
+its coefficient vector, one entry per kept value.  The feature table is written
+once (Parquet in the shared work folder) before fitting.
 """
 
 from __future__ import annotations
 
 import hashlib
-import time
+import inspect
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import fixed
-from ..functions.sampling import in_eval_split
-from ..operators import evaluation
+from ..functions import columns, fixed, sampling
+from ..functions.sampling import in_eval_split, row_key
+from ..operators import evaluation, features, history, metrics
 from ..operators.features import CATEGORICAL, KEY
-from ..session import app_id, path_exists, work_dir
+from ..session import app_id, materialise, path_exists, work_dir
 
-EMPTY, MISSING, OTHER = "__empty__", "__null__", "__other__"
+UNSEEN_INDEX, NULL_INDEX, EMPTY_INDEX, FIRST_INDEX = 0, 1, 2, 3
+NULL_VALUE = "__null__"
+RANK_BUCKETS = 64
+SMOOTHING = 20.0   # rows of the overall share that every value's share starts from
 
 
 @dataclass
@@ -57,10 +61,9 @@ class ModelSpec:
     subsample: float = fixed.FOREST_SUBSAMPLE
     min_info_gain: float = fixed.FOREST_MIN_SPLIT_GAIN
     eval_fraction: float = fixed.EVAL_FRACTION
-    max_categories: int = 100
     seed: int = 42
     # the split draw must be independent of the class-balancing draw (which
-    # uses seed 42 on the same key): with one seed, every kept negative would
+    # uses seed 42 on the same session): with one seed, every kept negative would
     # also fall below the eval threshold and the fit part would hold no negative
     split_seed: int = 7
     extra: dict = field(default_factory=dict)
@@ -75,6 +78,59 @@ MODELS = {
 }
 
 
+# ---------------------------------------------------------------------------
+# categories
+# ---------------------------------------------------------------------------
+def category_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, value, n_rows, positives) of every value of every categorical
+    feature, NULL included: one job, partial aggregation in the scan tasks."""
+    pairs = df.select("label", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cols])).alias("p"))
+    return pairs.groupBy("p.feature", "p.value").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("positives"))
+
+
+def dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, value, idx, share): dense indices per feature without a task
+    that holds a whole feature (rank inside a hash bucket, plus the rows of the
+    buckets before it), and the smoothed share of positives."""
+    counts = category_counts(df, cols)
+    overall = df.agg(F.avg("label")).first()[0] or 0.0
+    share = (F.col("positives") + SMOOTHING * overall) / (F.col("n_rows") + SMOOTHING)
+    plain = counts.where(F.col("value").isNotNull() & (F.col("value") != "")).withColumn(
+        "bucket", F.pmod(F.xxhash64("value"), F.lit(RANK_BUCKETS)))
+    # at most RANK_BUCKETS rows per feature
+    sizes = plain.groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("feature", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("feature", "bucket").orderBy("value")
+    ranked = plain.withColumn("rank", F.row_number().over(inside)).join(offsets, ["feature", "bucket"]).select(
+        "feature", "value", (F.col("rank") + F.col("offset") + FIRST_INDEX - 1).cast("long").alias("idx"),
+        share.alias("share"))
+    special = counts.where(F.col("value").isNull() | (F.col("value") == "")).select(
+        "feature", F.coalesce("value", F.lit(NULL_VALUE)).alias("value"),
+        F.when(F.col("value").isNull(), NULL_INDEX).otherwise(EMPTY_INDEX).cast("long").alias("idx"),
+        share.alias("share"))
+    unseen = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string").select(
+        "feature", F.lit(None).cast("string").alias("value"), F.lit(UNSEEN_INDEX).cast("long").alias("idx"),
+        F.lit(float(overall)).alias("share"))
+    return ranked.unionByName(special).unionByName(unseen)
+
+
+def with_categories(df: DataFrame, words: DataFrame, cols: list[str], overall: float) -> DataFrame:
+    """``df`` plus ``<feature>__idx`` and ``<feature>__share``."""
+    for c in cols:
+        own = words.where((F.col("feature") == c) & F.col("value").isNotNull()).select(
+            F.col("value").alias("_value"), F.col("idx").cast("double").alias("_idx"), F.col("share").alias("_share"))
+        value = F.col(c).cast("string")
+        reserved: Column = F.when(value.isNull(), NULL_INDEX).when(value == "", EMPTY_INDEX).otherwise(UNSEEN_INDEX)
+        df = (df.join(own, F.coalesce(value, F.lit(NULL_VALUE)) == F.col("_value"), "left")
+              .withColumn(f"{c}__idx", F.coalesce("_idx", reserved.cast("double")))
+              .withColumn(f"{c}__share", F.coalesce("_share", F.lit(overall)))
+              .drop("_value", "_idx", "_share"))
+    return df
+
+
 # ---------------------------------------------------------------------------
 # input preparation
 # ---------------------------------------------------------------------------
@@ -82,53 +138,15 @@ def _q(name: str) -> str:
     return f"`{name}`"
 
 
-def _sql_literal(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-TOP_N_BUCKETS = 64
-
-
-def top_categories(df: DataFrame, cols: list[str], n: int) -> dict[str, list[str]]:
-    """The ``n`` most frequent values of every categorical column, in one
-    job: (column, value) pairs are counted together (partial aggregation),
-    then ranked in two steps so no task ever holds all values of a column:
-    first inside ``TOP_N_BUCKETS`` hash buckets of the values, then per
-    column over the at most ``n x TOP_N_BUCKETS`` survivors.  The result has
-    at most ``n x len(cols)`` rows."""
-    if not cols:
-        return {}
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val")) for c in cols
-    ])).alias("p")).select("p.col", "p.val").where(F.col("val").isNotNull())
-    counts = (pairs.groupBy("col", "val").agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("bucket", F.pmod(F.xxhash64("val"), F.lit(TOP_N_BUCKETS))))
-    order = [F.col("n").desc(), F.col("val")]
-    in_bucket = Window.partitionBy("col", "bucket").orderBy(*order)
-    survivors = counts.withColumn("r", F.row_number().over(in_bucket)).where(F.col("r") <= n)
-    in_column = Window.partitionBy("col").orderBy(*order)
-    top = (survivors.withColumn("r", F.row_number().over(in_column)).where(F.col("r") <= n))
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for row in top.orderBy("col", "r").collect():  # bounded: n rows per column, by rank
-        out[row["col"]].append(row["val"])
-    return out
-
-
-def _prepare_sql(features: list[str], dtypes: dict[str, str], top: dict[str, list[str]],
-                 nullable_numeric: list[str], all_null: set[str]) -> tuple[str, list[str]]:
+def _prepare_sql(names: list[str], dtypes: dict[str, str], nullable_numeric: list[str],
+                 all_null: set[str]) -> tuple[str, list[str]]:
     """SELECT statement of the SQLTransformer and the numeric columns it outputs."""
     sel, numeric = ["*"], []
-    for f in features:
+    for f in names:
         t = dtypes[f]
         if f in CATEGORICAL:
-            keep = top.get(f) or []
-            v = (f"CASE WHEN {_q(f)} IS NULL THEN '{MISSING}' "
-                 f"WHEN {_q(f)} = '' THEN '{EMPTY}' "
-                 + (f"WHEN {_q(f)} IN ({', '.join(_sql_literal(x) for x in keep)}) THEN {_q(f)} "
-                    if keep else "")
-                 + f"ELSE '{OTHER}' END")
-            sel.append(f"{v} AS {_q(f + '__cat')}")
-        elif t == "date":
+            continue
+        if t == "date":
             for part, fn in (("year", "year"), ("month", "month"), ("day", "dayofmonth"),
                              ("weekday", "dayofweek")):
                 sel.append(f"CAST({fn}({_q(f)}) AS DOUBLE) AS {_q(f + '__' + part)}")
@@ -145,34 +163,29 @@ def _prepare_sql(features: list[str], dtypes: dict[str, str], top: dict[str, lis
     return f"SELECT {', '.join(sel)} FROM __THIS__", numeric
 
 
-def build_pipeline(train: DataFrame, features: list[str], spec: ModelSpec) -> Pipeline:
+def build_pipeline(train: DataFrame, names: list[str], spec: ModelSpec) -> Pipeline:
+    """Pipeline over rows that ``with_categories`` has prepared."""
     dtypes = dict(train.dtypes)
-    cats = [f for f in features if f in CATEGORICAL]
-    nums = [f for f in features if f not in CATEGORICAL and dtypes[f] != "date"]
+    cats = [f for f in names if f in CATEGORICAL]
+    nums = [f for f in names if f not in CATEGORICAL and dtypes[f] != "date"]
     # one pass: NULL count of every numeric feature
     nulls = train.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in nums],
                       F.count(F.lit(1)).alias("__n")).first() if nums else None
     nullable = [f for f in nums if nulls and nulls[f] > 0]
     all_null = {f for f in nums if nulls and nulls[f] == nulls["__n"]}
-    top = top_categories(train, cats, spec.max_categories)
 
-    statement, numeric = _prepare_sql(features, dtypes, top, nullable, all_null)
+    statement, numeric = _prepare_sql(names, dtypes, nullable, all_null)
     stages = [SQLTransformer(statement=statement)]
     impute = [f"{f}__num" for f in nullable if f not in all_null]
     if impute:
         stages.append(Imputer(strategy="mean", inputCols=impute,
                               outputCols=[c + "_imp" for c in impute]))
     numeric = [c + "_imp" if c in impute else c for c in numeric]
-    cat_in = [f"{f}__cat" for f in cats]
-    idx = [f"{f}__idx" for f in cats]
-    if cats:
-        stages.append(StringIndexer(inputCols=cat_in, outputCols=idx, handleInvalid="keep",
-                                    stringOrderType="frequencyDesc"))
     if spec.kind == "logistic":
         ohe = [f"{f}__ohe" for f in cats]
         if cats:
-            stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, handleInvalid="keep",
-                                        dropLast=True))
+            stages.append(OneHotEncoder(inputCols=[f"{f}__idx" for f in cats], outputCols=ohe,
+                                        handleInvalid="keep", dropLast=True))
         stages.append(VectorAssembler(inputCols=numeric + ohe, outputCol="features"))
         reg = spec.l1 + spec.l2
         stages.append(LogisticRegression(
@@ -180,13 +193,11 @@ def build_pipeline(train: DataFrame, features: list[str], spec: ModelSpec) -> Pi
             regParam=reg, elasticNetParam=(spec.l1 / reg) if reg > 0 else 0.0,
             standardization=True, **spec.extra))
     else:
-        # categories per column <= top-N + 3 tokens + 1 unseen bucket
-        widest = max([len(top.get(f) or []) + 4 for f in cats] + [32])
-        stages.append(VectorAssembler(inputCols=numeric + idx, outputCol="features"))
+        stages.append(VectorAssembler(inputCols=numeric + [f"{f}__share" for f in cats], outputCol="features"))
         stages.append(RandomForestClassifier(
             featuresCol="features", labelCol="label", numTrees=spec.num_trees,
             maxDepth=spec.max_depth, minInfoGain=spec.min_info_gain,
-            subsamplingRate=spec.subsample, maxBins=widest, seed=spec.seed,
+            subsamplingRate=spec.subsample, seed=spec.seed,
             # deep trees: keep each row's node id cached between levels and
             # cut that lineage every 10 iterations (in the shared work folder)
             cacheNodeIds=True, checkpointInterval=10, **spec.extra))
@@ -196,16 +207,36 @@ def build_pipeline(train: DataFrame, features: list[str], spec: ModelSpec) -> Pi
 # ---------------------------------------------------------------------------
 # train / score / store
 # ---------------------------------------------------------------------------
+class Classifier:
+    """A fitted pipeline and the category dictionary it was fitted with."""
+
+    def __init__(self, pipeline: PipelineModel, words: DataFrame | None = None):
+        self.pipeline = pipeline
+        self.words = words
+        self.cats: list[str] = []
+        self.overall = 0.0
+        if words is not None:
+            # one row per categorical feature
+            rows = words.where(F.col("value").isNull()).select("feature", "share").collect()
+            self.cats = sorted(r["feature"] for r in rows)
+            self.overall = rows[0]["share"] if rows else 0.0
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        return df if self.words is None else with_categories(df, self.words, self.cats, self.overall)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.pipeline.transform(self.prepared(df))
+
+
 def feature_columns(df: DataFrame) -> list[str]:
     skip = {KEY, "label", "fullVisitorId", "visitId"}
     return [c for c in df.columns if c not in skip]
 
 
-def score(model: PipelineModel, df: DataFrame, threshold: float = fixed.THRESHOLD) -> DataFrame:
+def score(model: Classifier | PipelineModel, df: DataFrame, threshold: float = fixed.THRESHOLD) -> DataFrame:
     """Input columns plus ``predicted_label_probs`` (array of (label, prob),
     label 1 first), ``predicted_probability`` (its first element: the
-    probability of label 1) and ``predicted_label``.  A narrow map over the
-    rows: no shuffle."""
+    probability of label 1) and ``predicted_label``."""
     out = model.transform(df)
     probs = vector_to_array("probability")
     pairs = F.array(
@@ -219,51 +250,71 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = fixed.THRESHOL
 
 @dataclass
 class Trained:
-    model: PipelineModel
+    model: Classifier
     summary: DataFrame
 
 
+def eval_part(df: DataFrame, spec: ModelSpec) -> Column:
+    """Whether a row of a feature set is in the evaluation part: by its session
+    id, or by the whole row where that is NULL.  Every row is in one part."""
+    return in_eval_split(spec.eval_fraction, spec.split_seed, key=row_key(KEY, df.columns))
+
+
+def split_summary(df: DataFrame, spec: ModelSpec) -> DataFrame:
+    """Rows and positives of both parts."""
+    return df.groupBy(F.when(eval_part(df, spec), "eval").otherwise("fit").alias("part")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("positives"))
+
+
 def train(spark: SparkSession, features_df: DataFrame, spec: ModelSpec,
           threshold: float = fixed.THRESHOLD) -> Trained:
     """Random train / eval split (repeatable, by session key), fit on the
     train part, evaluate on the eval part."""
-    data = features_df.checkpoint(eager=True)
-    is_eval = in_eval_split(spec.eval_fraction, spec.split_seed, key=F.col(KEY))
-    fit_part = data.where(~is_eval)
-    eval_part = data.where(is_eval)
-    t0 = time.time()
-    model = build_pipeline(fit_part, feature_columns(data), spec).fit(fit_part)
-    fit_seconds = time.time() - t0
-    metrics = evaluation.evaluate(score(model, eval_part, threshold))
-    counts = data.agg(F.count_if(~is_eval).alias("n_train"), F.count_if(is_eval).alias("n_eval"))
+    names = feature_columns(features_df)
+    data = materialise(features_df.withColumn("_eval", eval_part(features_df, spec)), "training")
+    fit_rows = data.where(~F.col("_eval")).drop("_eval")
+    eval_rows = data.where("_eval").drop("_eval")
+    cats = [f for f in names if f in CATEGORICAL]
+    words = materialise(dictionary(fit_rows, cats), "categories") if cats else None
+    prepared = Classifier(None, words).prepared(fit_rows)
+    model = Classifier(build_pipeline(prepared, names, spec).fit(prepared), words)
+    metrics_row = evaluation.evaluate(score(model, eval_rows, threshold))
+    counts = data.agg(F.count_if(~F.col("_eval")).alias("n_train"), F.count_if("_eval").alias("n_eval"))
     summary = counts.select(
-        F.lit(spec.name).alias("model"),
-        F.lit(spec.kind).alias("model_type"),
-        "n_train", "n_eval",
-        F.lit(len(feature_columns(data))).cast("long").alias("n_features"),
-        F.lit(round(fit_seconds, 3)).alias("fit_seconds"),
-    )
-    m = metrics.first()
-    for name in metrics.columns:
+        F.lit(spec.name).alias("model"), F.lit(spec.kind).alias("model_type"), "n_train", "n_eval",
+        F.lit(len(names)).cast("long").alias("n_features"))
+    m = metrics_row.first()
+    for name in metrics_row.columns:
         summary = summary.withColumn(name, F.lit(m[name]).cast("double"))
     return Trained(model, summary)
 
 
-# bump when the preparation or the feature sets change: stored models of an
-# older version are then never loaded for the new code
-MODEL_VERSION = "3"
+def fixed_score_model(spark: SparkSession, df: DataFrame) -> Classifier:
+    """A model-free ``PipelineModel`` whose probability of label 1 is
+    ``(1 + hits) / (6 + hits)``: scoring and publishing can be checked by SQL."""
+    stages = [SQLTransformer(statement="SELECT *, CAST(5 AS DOUBLE) / (hits + 6) AS `_p0`, "
+                                       "CAST(hits + 1 AS DOUBLE) / (hits + 6) AS `_p1` FROM __THIS__"),
+              VectorAssembler(inputCols=["_p0", "_p1"], outputCol="probability")]
+    return Classifier(Pipeline(stages=stages).fit(df))
+
+
+def code_version() -> str:
+    """Digest of the code that stored models depend on."""
+    text = "".join(inspect.getsource(m) for m in (columns, fixed, sampling, features, history, metrics))
+    text += inspect.getsource(inspect.getmodule(code_version))
+    return hashlib.sha1(text.encode()).hexdigest()[:10]
 
 
 def model_path(spark: SparkSession, key: str, name: str) -> str:
     """Where model ``name`` trained on data ``key`` is stored; the path also
-    carries the code version and a digest of the model's options."""
+    carries a digest of the code and one of the model's options."""
     spec = MODELS.get(name)
     digest = hashlib.sha1(repr(spec).encode()).hexdigest()[:8] if spec else "custom"
-    return f"{work_dir(spark)}/weblytics/models/{key}/{name}-v{MODEL_VERSION}-{digest}"
+    return f"{work_dir(spark)}/weblytics/models/{key}/{name}-{code_version()}-{digest}"
 
 
 # models loaded by this application, by path (a forest is many small files)
-_LOADED: dict[tuple[str, str], PipelineModel] = {}
+_LOADED: dict[tuple[str, str], Classifier] = {}
 
 
 def _app() -> str:
@@ -271,26 +322,31 @@ def _app() -> str:
     return app_id(spark) if spark is not None else ""
 
 
-def save(model: PipelineModel, path: str, replace: bool = True) -> None:
+def save(model: Classifier, path: str, replace: bool = True) -> None:
     """``CREATE OR REPLACE MODEL`` (replace) / ``CREATE MODEL`` (fail if present)."""
-    writer = model.write()
+    writer = model.pipeline.write()
     if replace:
         writer = writer.overwrite()
-    writer.save(path)
-    _LOADED[(_app(), path)] = model
+    writer.save(f"{path}/pipeline")
+    if model.words is not None:
+        model.words.write.mode("overwrite" if replace else "errorifexists").parquet(f"{path}/categories")
+    _LOADED.pop((_app(), path), None)
 
 
-def load(path: str) -> PipelineModel:
+def load(path: str) -> Classifier:
     key = (_app(), path)
     if key not in _LOADED:
-        _LOADED[key] = PipelineModel.load(path)
+        spark = SparkSession.getActiveSession()
+        words = None
+        if path_exists(spark, f"{path}/categories/_SUCCESS"):
+            words = spark.read.schema("feature string, value string, idx long, share double").parquet(
+                f"{path}/categories")
+        _LOADED[key] = Classifier(PipelineModel.load(f"{path}/pipeline"), words)
     return _LOADED[key]
 
 
-def load_or_train(spark: SparkSession, features_df: DataFrame, spec: ModelSpec, key: str) -> PipelineModel:
+def load_or_train(spark: SparkSession, features_df: DataFrame, spec: ModelSpec, key: str) -> Classifier:
     path = model_path(spark, key, spec.name)
-    if path_exists(spark, f"{path}/metadata"):
-        return load(path)
-    trained = train(spark, features_df, spec)
-    save(trained.model, path)
-    return trained.model
+    if not path_exists(spark, f"{path}/pipeline/metadata"):
+        save(train(spark, features_df, spec).model, path)
+    return load(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +24,7 @@ RENAMES = [
 ]
 
 
-def predictions(model: PipelineModel, scoring_features: DataFrame,
+def predictions(model: ml.Classifier, scoring_features: DataFrame,
                 threshold: float = THRESHOLD) -> DataFrame:
     """Scored sessions: the scoring feature set plus label and probability."""
     return ml.score(model, scoring_features, threshold)

@@ -94,6 +94,14 @@ HIT_ROW_WITH_SUFFIX = T.StructType([
     T.StructField(SUFFIX, _S),
 ])
 
+# Rows with at most a bounded number of a session's hits each.
+HIT_BLOCK_WITH_SUFFIX = T.StructType([
+    T.StructField("fullVisitorId", _S),
+    T.StructField("visitId", _L),
+    T.StructField("hits", T.ArrayType(HIT)),
+    T.StructField(SUFFIX, _S),
+])
+
 # The published daily-predictions table, in column order.
 PUBLISHED = T.StructType([
     T.StructField("unique_session_id", _S),

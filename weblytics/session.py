@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the results depend on.  They are applied to whatever
 # session the caller hands in (``configure``), so a cluster session built
@@ -60,14 +60,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for materialised tables and stored models.
 
-    It is the cluster's ``spark.checkpoint.dir``.  Only when that is unset
-    (a bare local test session) a private temporary folder is set instead.
+    It is the cluster's ``spark.checkpoint.dir``.  A local session without one
+    gets a private temporary folder; on a cluster that is an error, because
+    executors would not see the driver's own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if not path and sc is not None:
         path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="weblytics-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None and sc.getCheckpointDir() is None:
@@ -89,34 +92,44 @@ def app_id(spark: SparkSession) -> str:
     return sc.applicationId if sc is not None else f"session-{id(spark)}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path) of ``path``: local, HDFS or object store."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the Hadoop file system of ``path``, so it works
-    for local folders and for object stores alike."""
-    try:
-        jvm = spark.sparkContext._jvm
-        jpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(jpath))
-    except Exception:  # no JVM gateway (e.g. a remote session): plain path check
-        return os.path.exists(path.replace("file:", "", 1))
+    fs, jpath = file_system(spark, path)
+    return bool(fs.exists(jpath))
 
 
 def file_stamp(spark: SparkSession, path: str) -> str:
-    """``size:modification-time`` of a file or folder through its Hadoop file
-    system (local, HDFS or object store); ``?`` when it cannot be read."""
-    try:
-        jvm = spark.sparkContext._jvm
-        jpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        summary = fs.getContentSummary(jpath)
-        status = fs.getFileStatus(jpath)
-        return f"{summary.getLength()}:{status.getModificationTime()}"
-    except Exception:
-        try:
-            st = os.stat(path)
-            return f"{st.st_size}:{int(st.st_mtime * 1000)}"
-        except OSError:
-            return "?"
+    """``name:size:modification-time`` of every file of a file or folder; an
+    unreadable path is an error."""
+    fs, jpath = file_system(spark, path)
+    if not fs.getFileStatus(jpath).isDirectory():
+        found = [fs.getFileStatus(jpath)]
+    else:
+        found, files = [], fs.listFiles(jpath, True)
+        while files.hasNext():
+            found.append(files.next())
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the sub-folders of ``folder`` (empty if it does not exist)."""
+    fs, jpath = file_system(spark, folder)
+    if not fs.exists(jpath):
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(jpath) if f.isDirectory())
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared work folder and read it back: its lineage
+    ends there and plans that use it know its real size."""
+    path = f"{work_dir(df.sparkSession)}/weblytics/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cluster_settings(input_bytes: int, total_cores: int,

@@ -22,7 +22,9 @@ like the sharded source table, with partition pruning.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import os
+import sys
 import threading
 import uuid
 
@@ -32,11 +34,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import schema as S
-from ..session import app_id, configure, file_stamp, path_exists, work_dir
+from ..session import app_id, children, configure, file_stamp, path_exists, work_dir
 from .sessions import SessionStore
 
-EXPORT_VERSION = "3"
-
 # Fixed values of the test-table mapping, indexed by id modulo the list size
 # (None = NULL).  Operating system and browser by user id, device category by
 # user id, source / medium / campaign by the session's first event id.
@@ -50,6 +50,7 @@ VISITOR_ID_NULL_EVERY = 10   # visitorId is NULL when user_id % 10 = 0
 REGION_NULL_EVERY = 7        # geoNetwork.region is NULL when user_id % 7 = 0
 PAGE_PATH_BUCKETS = 10       # pagePath = '/' || event_type || '/' || event_id % 10
 REVENUE_SCALE = 1_000_000    # revenue is stored as money x 10^6
+BLOCK_HITS = 64              # hits of one row of the nested blocks
 
 
 def _pick(values: list, key: Column) -> Column:
@@ -187,8 +188,9 @@ def derive_hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_sessions(spark: SparkSession, sf_dir: str, root: str) -> SessionStore:
-    """Write the split layout: ``<root>/sessions`` and ``<root>/hits``, both
-    partitioned by shard suffix.
+    """Write the split layout: ``<root>/sessions``, ``<root>/hits`` and
+    ``<root>/blocks`` (arrays of at most ``BLOCK_HITS`` hits), partitioned by
+    shard suffix.
 
     Rows are range-partitioned on (suffix, start time) before each write:
     every task writes one contiguous time slice into one or two day folders
@@ -200,13 +202,21 @@ def export_sessions(spark: SparkSession, sf_dir: str, root: str) -> SessionStore
     (derive_hit_rows(spark, sf_dir)
      .repartitionByRange(S.SUFFIX, "visitId", "hit.hitNumber")
      .write.mode("overwrite").partitionBy(S.SUFFIX).parquet(f"{root}/hits"))
+    stored = spark.read.schema(S.HIT_ROW_WITH_SUFFIX).parquet(f"{root}/hits")
+    number = F.floor((F.col("hit.hitNumber") - 1) / BLOCK_HITS)
+    (stored.groupBy("fullVisitorId", "visitId", S.SUFFIX, number.alias("block"))
+     .agg(F.array_sort(F.collect_list("hit")).alias("hits")).drop("block")
+     .repartitionByRange(S.SUFFIX, "visitId")
+     .write.mode("overwrite").partitionBy(S.SUFFIX).parquet(f"{root}/blocks"))
     return SessionStore(spark, root, layout="split")
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Key of an export: code version, input folder, and size and
-    modification time of every input table."""
-    h = hashlib.sha1(f"{EXPORT_VERSION}|{_abs(sf_dir)}".encode())
+    """Key of an export: the text of the exporting code, the input folder, and
+    name, size and modification time of every input file."""
+    h = hashlib.sha1(_abs(sf_dir).encode())
+    for module in (sys.modules[__name__], S):
+        h.update(inspect.getsource(module).encode())
     for name in ("events", "customer", "nation", "region"):
         h.update(f"|{name}:{file_stamp(spark, f'{sf_dir}/{name}.parquet')}".encode())
     return h.hexdigest()[:16]
@@ -221,22 +231,7 @@ _LOCK = threading.Lock()
 
 
 def _complete(spark: SparkSession, root: str) -> bool:
-    return path_exists(spark, f"{root}/sessions/_SUCCESS") and path_exists(spark, f"{root}/hits/_SUCCESS")
-
-
-def _children(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the sub-folders of ``folder`` (empty if it does not exist)."""
-    try:
-        jvm = spark.sparkContext._jvm
-        jpath = jvm.org.apache.hadoop.fs.Path(folder)
-        fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(jpath):
-            return []
-        return sorted(st.getPath().getName() for st in fs.listStatus(jpath) if st.isDirectory())
-    except Exception:  # no JVM gateway: plain local listing
-        local = folder.replace("file:", "", 1)
-        return sorted(n for n in os.listdir(local) if os.path.isdir(os.path.join(local, n))) \
-            if os.path.isdir(local) else []
+    return all(path_exists(spark, f"{root}/{t}/_SUCCESS") for t in ("sessions", "hits", "blocks"))
 
 
 def session_store(spark: SparkSession, sf_dir: str) -> SessionStore:
@@ -257,7 +252,7 @@ def session_store(spark: SparkSession, sf_dir: str) -> SessionStore:
             return _EXPORTED[key]
         fingerprint = _fingerprint(spark, sf_dir)
         base = f"{work_dir(spark)}/weblytics/sessions/{fingerprint}"
-        done = [c for c in _children(spark, base) if _complete(spark, f"{base}/{c}")]
+        done = [c for c in children(spark, base) if _complete(spark, f"{base}/{c}")]
         if done:
             store = SessionStore(spark, f"{base}/{done[0]}", layout="split", key=fingerprint)
         else:

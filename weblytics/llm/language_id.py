@@ -46,6 +46,9 @@ class LanguageOptions:
     seed: int = 11
 
 
+#: bytes of the range before that a part of a very long text begins with
+OVERLAP = 4
+
 #: lower-cased ASCII letters and the bytes of other characters; else a space
 _LETTER = np.full(256, 0x20, dtype=np.uint8)
 for _c in range(26):
@@ -54,7 +57,7 @@ _LETTER[0x80:] = np.arange(0x80, 256)
 
 
 def ngram_buckets(data: np.ndarray, offsets: np.ndarray, bits: int):
-    """For n = 2, 3, 4: (bucket of each position's n-gram, whether it counts)."""
+    """For n = 2, 3, 4: (n, bucket of each position's n-gram, whether it counts)."""
     m = _LETTER[data]
     # U+00C0 .. U+00DE to lower case
     upper = np.zeros(len(data), dtype=bool)
@@ -79,7 +82,7 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray, bits: int):
             good &= ~space[k:size + k]
         if n == 2:
             good &= ~(space[:size] & space[1:size + 1])
-        yield code >> np.uint32(32 - bits), good
+        yield n, code >> np.uint32(32 - bits), good
 
 
 def _has_letter(text: str | None) -> bool:
@@ -105,7 +108,7 @@ class LanguageModel:
             count = np.zeros(b - a)
             # a range of several documents is short; a long one is alone
             cuts = [(0, len(data))] if b - a > 1 else [
-                (max(0, at - 3), min(len(data), at + SEGMENT_BYTES)) for at in range(0, max(len(data), 1), SEGMENT_BYTES)]
+                (max(0, at - OVERLAP), min(len(data), at + SEGMENT_BYTES)) for at in range(0, max(len(data), 1), SEGMENT_BYTES)]
             for number, (lo, hi) in enumerate(cuts):
                 local = np.clip(offsets - lo, 0, hi - lo)
                 # documents with bytes in this range, and where they begin
@@ -113,10 +116,10 @@ class LanguageModel:
                 if not len(have):
                     continue
                 first = local[:-1][have]
-                for bucket, good in ngram_buckets(data[lo:hi], local, self.bits):
+                for n, bucket, good in ngram_buckets(data[lo:hi], local, self.bits):
                     if number:
-                        # counted with the range before
-                        good[:min(3, len(good))] &= False
+                        # these ended in the range before and are counted there
+                        good[:OVERLAP + 1 - n] = False
                     index = np.where(good, bucket, len(self.table) - 1).astype(np.int64)
                     at = np.minimum(first, len(index) - 1)
                     ok = first < len(index)
@@ -165,7 +168,7 @@ def sample_features(docs: DataFrame, key: str, text: str, lang: str, opt: Langua
                 total = np.zeros(1 << opt.bucket_bits)
                 for at in range(0, len(data), SEGMENT_BYTES):
                     piece = data[at:at + SEGMENT_BYTES]
-                    for bucket, good in ngram_buckets(piece, np.array([0, len(piece)]), opt.bucket_bits):
+                    for _, bucket, good in ngram_buckets(piece, np.array([0, len(piece)]), opt.bucket_bits):
                         total += np.bincount(bucket[good], minlength=len(total))
                 used = np.flatnonzero(total)
                 buckets.append(used.astype("<u4").tobytes())

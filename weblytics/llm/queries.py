@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weblytics.llm import (decontamination, language_id, licences, near_duplicates, packing, quality,
                            repeated_passages, sharding, token_files, toxicity)
 from weblytics.llm.common import crc32_of_id, table
+from weblytics.llm.oracle import oracle_sql  # noqa: F401  (read by the registry)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_duplicates": op9_near_duplicates,
         "op10_decontamination": op10_decontamination,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

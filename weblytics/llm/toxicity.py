@@ -34,10 +34,10 @@ from weblytics.llm.hashing import FOLD_AZ, Words, batches_of, mix, text_buffer,
 class ToxicityOptions:
     bucket_bits: int = 20
     max_rows: int = 12_000
-    epochs: int = 4
-    alpha: float = 0.3
+    epochs: int = 6
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 6.0
+    l1: float = 8.0
     l2: float = 1.0
     threshold: float = 0.7
     seed: int = 5

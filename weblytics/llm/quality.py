@@ -49,7 +49,7 @@ class QualityOptions:
     word_length_slack: int = 200
     symbol_rate_slack: int = 500
     dup_line_rate_slack: int = 4000
-    repeat_rate_slack: int = 4000
+    repeat_rate_slack: int = 4500
 
     def slack(self, rate: str) -> int:
         return getattr(self, f"{rate}_slack")
@@ -162,14 +162,13 @@ def thresholds(sketch: DataFrame, opt: QualityOptions = QualityOptions()) -> Dat
     by_source = quartiles(["lang", "source"])
     by_lang = quartiles(["lang"]).select(F.col("lang").alias("__lang"), F.col("rows").alias("__rows"),
                                          *[F.col(s).alias(f"__l_{s}") for s in sides])
-    overall = quartiles([]).select(*[F.col(s).alias(f"__a_{s}") for s in sides])
-    # one row of thresholds for all documents: a broadcast of one row
+    # one row: the thresholds of all documents
+    overall = quartiles([]).first()
     return (by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-            .join(F.broadcast(overall), F.lit(True), "left")
             .select("lang", "source", *[
                 F.when(F.col("rows") >= opt.min_rows, F.col(s))
                 .when(F.col("__rows") >= opt.min_rows, F.col(f"__l_{s}"))
-                .otherwise(F.col(f"__a_{s}")).alias(s) for s in sides]))
+                .otherwise(F.lit(overall[s] if overall else None).cast("long")).alias(s) for s in sides]))
 
 
 def packed(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

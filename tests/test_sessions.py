@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import session_rows
 from weblytics import schema as S
-from weblytics.operators.metrics import join_visitor, users
+from weblytics.operators.metrics import join_stored, users
 from weblytics.session import file_stamp, work_dir
 from weblytics.sources import SessionStore
 
@@ -77,7 +77,7 @@ def test_visitor_join_under_skew(spark):
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        joined = join_visitor(sessions, users(sessions)).select("fullVisitorId", "visit_count", "payload")
+        joined = join_stored(sessions, users(sessions), {"fullVisitorId": "fullVisitorId"}).select("fullVisitorId", "visit_count", "payload")
         rows = joined.collect()
         assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
         assert len(rows) == n

@@ -118,7 +118,7 @@ def enriched(sessions: DataFrame, p: float | None = SAMPLE_ENRICHED, seed: int |
     # the metric tables always see the whole period
     main = main_dataset(base, metrics_from=sessions)
     traffic = M.traffic(sessions).select("source", "bounce_rate")
-    main = main.join(traffic, F.col("trafficSource.source") == traffic.source, "left")
+    main = M.join_stored(main, traffic, M.BY_SOURCE)
     bounce = F.col("bounce_rate")
     if p is not None and mode == "as_written":
         bounce = F.when(F.col("_drawn"), bounce)
@@ -157,12 +157,10 @@ def main_dataset(sessions: DataFrame, metrics_from: DataFrame | None = None) ->
         F.concat(F.col("device.browser"), F.lit("_"), F.col("device.operatingSystem")).alias("browser_os"),
         X.time_on_site_category(F.col("totals.timeOnSite")).alias("time_on_site_category"),
     )
-    joined = (M.join_visitor(base, users)
-              # at most 7 x 12 rows: a broadcast whose size is bounded by the calendar
-              .join(F.broadcast(temporal), ["day_of_week", "month"], "left")
-              .join(dev, (F.col("device.operatingSystem") == dev.operating_system)
-                    & (F.col("device.deviceCategory") == dev.device_category)
-                    & (F.col("device.browser") == dev.browser), "left"))
+    joined = M.join_stored(base, users, {"fullVisitorId": "fullVisitorId"})
+    # at most 7 x 12 rows: a broadcast whose size is bounded by the calendar
+    joined = joined.join(F.broadcast(temporal), ["day_of_week", "month"], "left")
+    joined = M.join_stored(joined, dev, M.BY_DEVICE)
     return joined.select(
         *[F.col(f"`{c}`") for c in sessions.columns],
         "day_of_week", "month", "is_weekend", "day_of_month", "device_country",
@@ -189,10 +187,7 @@ def history(sessions: DataFrame, sessions_all: DataFrame, p: float | None = SAMP
     if p is not None and not for_scoring:
         s = s.where(keep_positives(p, seed))
     s = H.with_history(s, sessions_all, start, end)
-    joined = (s.join(traffic, F.col("trafficSource.source") == traffic.source, "left")
-              .join(conv, (F.col("device.operatingSystem") == conv.operating_system)
-                    & (F.col("device.deviceCategory") == conv.device_category)
-                    & (F.col("device.browser") == conv.browser), "left"))
+    joined = M.join_stored(M.join_stored(s, traffic, M.BY_SOURCE), conv, M.BY_DEVICE)
     common = _common()
     own = {"bounce_rate", "conversion_rate", "visit_frequency", "total_transaction_value", "visit_date"}
     cols = [(F.col(n) if n in own else common[n]).alias(n) for n in HISTORY]

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import session_date
 from ..schema import SUFFIX
-from .metrics import join_visitor
+from .metrics import join_stored
 
 
 def visitor_days(sessions_all: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def with_history(sessions: DataFrame, sessions_all: DataFrame,
     if start is not None:
         hist = hist.where(F.col("visit_date") >= F.to_date(F.lit(start), "yyyyMMdd"))
     s = sessions.withColumn("visit_date", session_date("date"))
-    out = join_visitor(s, hist, ["visit_date"])
+    out = join_stored(s, hist, {"fullVisitorId": "fullVisitorId", "visit_date": "visit_date"})
     return out.withColumn("visit_frequency", F.coalesce("visit_frequency", F.lit(0).cast("long")))
 
 

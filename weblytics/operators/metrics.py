@@ -55,24 +55,34 @@ def users(sessions: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("visit_count")))
 
 
-def join_visitor(sessions: DataFrame, per_visitor: DataFrame, more: list[str] | None = None) -> DataFrame:
-    """Left join of a table with one row per visitor (and ``more`` columns).
-
-    The table is written first: its real size is then known (a small one is
-    broadcast), and a large one is joined over two plain shuffles, whose
-    skewed partitions adaptive execution splits.  A NULL visitor matches
-    nothing; such sessions get a key of their own each, so they spread."""
-    on = more or []
-    side = materialise(per_visitor, "per-visitor").select(
-        F.col("fullVisitorId").alias("_visitor"), *[F.col(c).alias(f"_on_{c}") for c in on],
-        *[c for c in per_visitor.columns if c not in ("fullVisitorId", *on)])
-    alone = F.concat(F.lit("?"), F.xxhash64("visitId", "visitStartTime", "date").cast("string"))
-    keyed = sessions.withColumn("_key", F.coalesce(F.col("fullVisitorId"), alone))
-    condition = F.col("_key") == F.col("_visitor")
-    for c in on:
-        condition = condition & (F.col(c) == F.col(f"_on_{c}"))
-    side = side.where(F.col("_visitor").isNotNull())
-    return keyed.join(side, condition, "left").drop("_key", "_visitor", *[f"_on_{c}" for c in on])
+def join_stored(sessions: DataFrame, table: DataFrame, on: dict[str, str]) -> DataFrame:
+    """Left join of a metric table; ``on`` maps session columns to its keys.
+
+    The table is written first: its real size is then known when the join is
+    planned (a small one is broadcast and no session moves), and a large one is
+    joined over two plain shuffles, whose skewed partitions adaptive execution
+    splits.  A NULL key part matches nothing; such sessions get a key of their
+    own each, so they spread over all tasks."""
+    side = materialise(table, "metric").select(
+        *[F.col(k).alias(f"_side_{i}") for i, k in enumerate(on.values())],
+        *[c for c in table.columns if c not in on.values()])
+    for i in range(len(on)):
+        side = side.where(F.col(f"_side_{i}").isNotNull())
+    first, *rest = on
+    missing = F.lit(False)
+    for k in on:
+        missing = missing | F.col(k).isNull()
+    alone = F.concat(F.lit("?"), F.xxhash64("fullVisitorId", "visitId", "visitStartTime", "date").cast("string"))
+    keyed = sessions.withColumn("_key", F.when(missing, alone).otherwise(F.col(first)))
+    condition = (F.col("_key") == F.col("_side_0")) & ~missing
+    for i, k in enumerate(rest, start=1):
+        condition = condition & (F.col(k) == F.col(f"_side_{i}"))
+    return keyed.join(side, condition, "left").drop("_key", *[f"_side_{i}" for i in range(len(on))])
+
+
+BY_DEVICE = {"device.operatingSystem": "operating_system", "device.deviceCategory": "device_category",
+             "device.browser": "browser"}
+BY_SOURCE = {"trafficSource.source": "source"}
 
 
 def conversion(sessions: DataFrame) -> DataFrame:

@@ -1,10 +1,7 @@
-import os
-import sys
+"""The edge table of the operator tests, and fixtures of it to import."""
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, score string"
 
 

@@ -4,11 +4,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from conftest import edge_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import brute
+from llm_cases import edge_rows  # noqa: F401  (fixtures)
 from weblytics.llm import hashing as H
 from weblytics.llm import tokens as K
 

@@ -7,10 +7,10 @@ import zlib
 from collections import Counter
 
 import pytest
-from conftest import SCHEMA, edge_rows
 from pyspark.sql import functions as F
 
 import brute
+from llm_cases import SCHEMA, edge, edge_rows, empty  # noqa: F401  (fixtures)
 from weblytics.llm import (decontamination, language_id, licences, near_duplicates, packing, quality,
                            repeated_passages, sharding, token_files, tokens, toxicity)
 from weblytics.llm.oracle import oracle_sql
@@ -440,3 +440,16 @@ def test_token_file_query(spark):
 
 def test_passage_digest_of_nothing():
     assert brute.repeats_digest([""])[0][2] == hashlib.sha256(b"").hexdigest()
+
+
+def test_connected_components(spark):
+    from weblytics.llm.graph import connected_components
+
+    path = [(i, i + 1) for i in range(100, 160)]
+    star = [(7, i) for i in range(1000, 1100)]
+    ring = [(-5, -4), (-4, -3), (-3, -5), (2, 2)]
+    df = spark.createDataFrame(path + star + ring + path[:5], "a long, b long")
+    got = {r.node: r.root for r in connected_components(df).collect()}
+    want = {i: 100 for i in range(100, 161)} | {i: 7 for i in (7, *range(1000, 1100))} | {i: -5 for i in (-5, -4, -3)}
+    assert got == want
+    assert connected_components(df.limit(0)).count() == 0

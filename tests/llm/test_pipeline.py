@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 import brute
+from llm_cases import edge, empty  # noqa: F401  (fixtures)
 import corpus_pipeline
 from weblytics.llm import quality
 from weblytics.llm.common import store

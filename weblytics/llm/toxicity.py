@@ -12,7 +12,7 @@ decides); the intercept is then corrected for the labels' true shares.
 
 Edge cases: NULL and empty texts have no features and get the score of the
 intercept; rows without a label are scored but never learnt from; a document
-with several labels counts once per label row; without labelled rows every
+with several labels counts once for each; without labelled rows every
 score is 0.5; an empty table gives no rows; repeated rows score alike.  Input
 columns named like output columns are replaced.
 """
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblytics.llm.common import drop_names, extended, map_arrow
+from weblytics.llm.common import drop_names, extended, map_arrow, store
 from weblytics.llm.hashing import FOLD_AZ, Words, batches_of, mix, text_buffer, word_class, words_of
 
 
@@ -83,17 +83,25 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def sample_features(labelled: DataFrame, key: str, text: str, label: str, opt: ToxicityOptions):
-    """(sampled rows as (label, buckets), share of label 1 among all rows)."""
-    eligible = labelled.filter(F.col(f"`{label}`").isin(0, 1))
-    counts = {r[0]: r[1] for r in eligible.groupBy(F.col(f"`{label}`")).count().collect()}
+def sample_features(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, opt: ToxicityOptions):
+    """(sampled rows as (label, buckets), share of label 1 among all rows).
+
+    Keys and labels are joined and drawn first, without the texts; only the
+    drawn keys, about ``max_rows``, then meet the documents."""
+    ids = docs.select(F.col(f"`{key}`").alias("__id"))
+    right = labels.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{label}`").cast("int").alias("label"))
+    eligible = ids.join(right.filter(F.col("label").isin(0, 1)), F.col("__id") == F.col("__key"))
+    counts = {r[0]: r[1] for r in eligible.groupBy("label").count().collect()}
     if not counts:
         return [], 0.5
-    limit = F.when(F.col(f"`{label}`") == 1, F.lit(min(1.0, opt.max_rows / 2 / counts.get(1, 1)))).otherwise(
+    limit = F.when(F.col("label") == 1, F.lit(min(1.0, opt.max_rows / 2 / counts.get(1, 1)))).otherwise(
         F.lit(min(1.0, opt.max_rows / 2 / counts.get(0, 1))))
-    draw = F.pmod(F.xxhash64(F.lit(opt.seed), F.col(f"`{key}`")), F.lit(1 << 30)) / float(1 << 30)
-    sample = eligible.filter(draw < limit).select(
-        draw.alias("draw"), F.col(f"`{label}`").cast("int").alias("label"), F.col(f"`{text}`").alias("text"))
+    draw = F.pmod(F.xxhash64(F.lit(opt.seed), "__id"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = store(eligible.filter(draw < limit).select("__id", "label", draw.alias("draw")).distinct(), "labelled-sample")
+    if chosen.count() <= 2 * opt.max_rows:
+        chosen = F.broadcast(chosen)
+    sample = (docs.select(F.col(f"`{key}`").alias("__doc"), F.col(f"`{text}`").alias("text"))
+              .join(chosen, F.col("__doc") == F.col("__id")).select("draw", "label", "text"))
 
     def run(batches):
         for batch in batches:
@@ -145,10 +153,7 @@ def train(rows: list, share: float, opt: ToxicityOptions = ToxicityOptions()) ->
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
         opt: ToxicityOptions = ToxicityOptions()) -> ToxicityModel:
     """Fit on the documents that have a label."""
-    right = labels.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{label}`").alias("__label"))
-    left = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
-    labelled = left.join(right, F.col("__id") == F.col("__key"))
-    return train(*sample_features(labelled, "__id", "__text", "__label", opt), opt)
+    return train(*sample_features(docs, labels, key, text, label, opt), opt)
 
 
 def predict(docs: DataFrame, model: ToxicityModel, text: str = "text", keep_text: bool = True,

@@ -339,6 +339,34 @@ def test_near_duplicates(edge, empty, opt):
     assert kept.columns == edge.columns
 
 
+def test_keep_one_decides_per_row(spark, edge):
+    """Rows that share an id, or have none, are in different groups; copies
+    have the same id, or none."""
+    base, own = [r[1] for r in ROWS[5:7]], " ".join(f"own{i}" for i in range(80))
+    other = " ".join(f"other{i}" for i in range(80))
+    rows = [(3, base[0], "a"), (5, base[0], "a"), (5, own, "a"), (7, own, "a"), (7, own + " end", "a"),
+            (7, None, "a"), (None, base[0], "a"), (None, other, "b"), (None, other, "a"), (None, other, None),
+            (None, other + " end", "a"), (None, " ".join(f"last{i}" for i in range(80)), "a"), (None, None, "a"),
+            (None, "", "a"), (9, " ".join(f"nine{i}" for i in range(80)), "z"),
+            (9, " ".join(f"nine{i}" for i in range(80)), "z")]
+    for df, table in ((spark.createDataFrame(rows, "doc_id long, text string, source string"), rows),
+                      (edge, [(r[0], r[1], r[3]) for r in ROWS])):
+        group = brute.components(list(range(len(table))), [brute.shingles(r[1]) for r in table])
+        least = {}
+        for g, r in zip(group, table):
+            if brute.shingles(r[1]):
+                least[g] = min(least.get(g, (True, 0)), (r[0] is None, r[0] or 0))
+        kept = [tuple(r) for r in near_duplicates.keep_one(df).select("doc_id", "text", "source").collect()]
+        place = {r[1]: g for g, r in zip(group, table)}
+        with_words = [r for r in kept if brute.shingles(r[1])]
+        # every group once, by its smallest id
+        assert sorted(place[r[1]] for r in with_words) == sorted(least)
+        assert all((r[0] is None, r[0] or 0) == least[place[r[1]]] for r in with_words)
+        assert Counter(r for r in kept if not brute.shingles(r[1])) == \
+            Counter(r for r in table if not brute.shingles(r[1]))
+        assert not Counter(kept) - Counter(table)
+
+
 def chain(n, words=120, step=6):
     """Texts of which only neighbours are near: a moving window of edits."""
     import random

@@ -23,8 +23,10 @@ r"""Near-duplicate documents by HyperMinHash.
 Edge cases: documents without words or text have no shingles, are linked with
 nothing and kept, with their own id as component; a NULL id takes part, its
 component is the smallest non-NULL id (NULL if there is none) and it is not
-kept beside a non-NULL one; repeated rows share a class and, if they repeat the
-smallest id, are all kept; an empty table gives no rows.
+``kept`` beside a non-NULL one; repeated rows share a class and, if they repeat
+the smallest id, are all ``kept``; an empty table gives no rows.  ``kept`` is
+about ids; ``keep_one`` decides per row: rows that share an id, or have none,
+may be in different components, and each component keeps exactly one row.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblytics.llm.common import drop_names, map_arrow, ship, store
+from weblytics.llm.common import map_arrow, ship, store
 from weblytics.llm.graph import connected_components
 from weblytics.llm.hashing import (FOLD_AZ, batches_of, mix, text_buffer, window_hashes, word_class,
                                    words_of)
@@ -125,6 +127,8 @@ def classes_of(signed: DataFrame) -> DataFrame:
     """One row per distinct non-empty set, with a 64-bit ``node`` number."""
     grouped = signed.filter("n_shingles > 0").groupBy("class").agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("sample"),
+        # the row to keep: a NULL id comes last
+        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("first_row"),
         F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
     for seed in range(8):
         found = store(grouped.withColumn("node", F.xxhash64(F.lit(seed), "class")), "classes")
@@ -353,17 +357,22 @@ def links_of(units: DataFrame, opt: NearOptions) -> DataFrame:
     return units.groupBy("group", "low", "high").applyInArrow(run, "a long, b long")
 
 
+def placed_classes(docs: DataFrame, signed: DataFrame, key: str, text: str, opt: NearOptions) -> DataFrame:
+    """(class, least_id, first_row, root): every class with its component."""
+    classes = classes_of(signed)
+    members = store(members_of_units(classes, band_keys(classes), opt), "units")
+    links = store(links_of(unit_rows(docs, members, classes, key, text, opt), opt), "links")
+    roots = store(connected_components(links), "components")
+    return classes.join(roots, "node", "left").select(
+        "class", "least_id", "first_row", F.coalesce("root", "node").alias("root"))
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text",
          opt: NearOptions = NearOptions()) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and
     ``kept`` (the component's smallest id)."""
     signed = store(signatures(docs, key, text, opt), "signatures")
-    classes = classes_of(signed)
-    members = store(members_of_units(classes, band_keys(classes), opt), "units")
-    links = store(links_of(unit_rows(docs, members, classes, key, text, opt), opt), "links")
-    roots = store(connected_components(links), "components")
-    placed = classes.select("class", "node", "least_id").join(roots, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
+    placed = placed_classes(docs, signed, key, text, opt)
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = store(placed.join(least, "root").select("class", "component_id", F.lit(True).alias("__set")),
                   "class-components")
@@ -376,9 +385,36 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text",
              opt: NearOptions = NearOptions()) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group."""
-    dropped = store(find(docs, key, text, opt).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("__dropped"), F.lit(True).alias("__gone")).distinct(), "dropped")
-    joined = drop_names(docs, ("__dropped", "__gone")).join(
-        dropped, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
-    return joined
+    """``docs`` with one row of each near-duplicate group: the one of the
+    smallest id (NULL last), then of the smallest text hash; rows that agree in
+    both are told apart by their other columns.  Rows without words all stay."""
+    signed = store(signatures(docs, key, text, opt), "signatures")
+    first = placed_classes(docs, signed, key, text, opt).groupBy("root").agg(
+        F.min("first_row").alias("row")).select(
+        F.col("row.doc_id").alias("__first_id"), F.col("row.text_hash").alias("__first_hash"),
+        F.lit(True).alias("__first"))
+    # id and text make a row's class, and so its component
+    rows = signed.filter("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    judged = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__first_id"))
+                       & (F.col("text_hash") == F.col("__first_hash")), "left")
+    # what is not simply kept: rows to drop, and first rows that are repeated
+    decided = store(judged.filter("__first IS NULL OR n > 1").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"),
+        F.col("__first").isNotNull().alias("__repeated")), "decided")
+
+    def same_row(other: DataFrame):
+        return (F.col(f"`{key}`").cast("long").eqNullSafe(other["__id"])
+                & (F.xxhash64(F.col(f"`{text}`")) == other["__hash"]))
+
+    kept = docs.join(decided, same_row(decided), "left_anti")
+    repeated = decided.filter("__repeated").select("__id", "__hash")
+    if repeated.isEmpty():
+        return kept
+    # one of them, the least as JSON; copies merge before the shuffle
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.struct(*columns)
+    rest = F.to_json(F.struct(*[c for c, n in zip(columns, docs.columns) if n != text]))
+    one = (docs.join(repeated, same_row(repeated))
+           .groupBy(repeated["__id"], repeated["__hash"]).agg(F.min_by(whole, rest).alias("__row"))
+           .select("__row.*"))
+    return kept.unionAll(one)

@@ -13,6 +13,7 @@ import brute
 from llm_cases import SCHEMA, edge, edge_rows, empty  # noqa: F401  (fixtures)
 from weblytics.llm import (decontamination, language_id, licences, near_duplicates, packing, quality,
                            repeated_passages, sharding, token_files, tokens, toxicity)
+from weblytics.llm.common import store
 from weblytics.llm.oracle import oracle_sql
 from weblytics.llm.queries import queries
 
@@ -430,6 +431,27 @@ def test_decontamination(spark, edge, empty):
     assert none.count() == len(ROWS) and not any(r.contaminated for r in none.collect())
 
 
+def test_decontamination_beyond_the_broadcast_limit(spark, monkeypatch):
+    """The lookup by shuffle finds the same, and shuffles windows, not texts."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    texts = DOCS + [" ".join(f"w{k}" for k in range(3000)) + " " + ITEMS[0][1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    columns = ["doc_id", "n_words", "n_hit", "items", "contaminated"]
+    want = decontamination.find(df, items).select(*columns).orderBy("doc_id").collect()
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert decontamination.find(df, items).select(*columns).orderBy("doc_id").collect() == want
+        windows = store(decontamination.item_windows(items), "windows")
+        plan = decontamination.document_hits(df, windows)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    lines = plan.split("\n")
+    at = next(k for k, line in enumerate(lines) if "Join LeftSemi" in line)
+    assert "Project" in lines[at + 1] and "slice(" in lines[at + 1]
+
+
 # -- registered queries --------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))

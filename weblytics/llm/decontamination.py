@@ -74,7 +74,8 @@ def document_hits(docs: DataFrame, windows: DataFrame, text: str = "text") -> Da
     if not lengths:
         lengths = [WINDOW]
     hashes = windows.select("h", "length").distinct()
-    if hashes.count() <= BROADCAST_WINDOWS:
+    small = hashes.count() <= BROADCAST_WINDOWS
+    if small:
         hashes = F.broadcast(hashes)
     whole = F.col(f"`{text}`")
     words = F.col("words")
@@ -87,10 +88,17 @@ def document_hits(docs: DataFrame, windows: DataFrame, text: str = "text") -> Da
         placed = (placed.withColumn("length", F.explode(F.array(*map(F.lit, lengths))))
                   .filter(F.col("i") + F.col("length") <= F.size(words)))
     h = F.coalesce(*[F.when(F.col("length") == n, _hash(words, F.col("i"), n)) for n in lengths])
-    found = (placed.withColumn("h", h).join(hashes, ["h", "length"], "left_semi")
-             .select("key", "i", "length", "h", F.slice(words, F.col("i") + 1, F.col("length")).alias("words"))
-             # copies of a text, and windows shared by many, merge before the shuffle
-             .distinct())
+    looked_up = placed.withColumn("h", h)
+    own = ["key", "i", "length", "h", F.slice(words, F.col("i") + 1, F.col("length")).alias("words")]
+    # a broadcast lookup cuts out the words of hits only; rows that are shuffled
+    # to the lookup carry their window, never their whole text
+    if small:
+        found = looked_up.join(hashes, ["h", "length"], "left_semi").select(*own)
+    else:
+        found = looked_up.select(*own).join(hashes, ["h", "length"], "left_semi").select(
+            "key", "i", "length", "h", "words")
+    # copies of a text, and windows shared by many, merge before the shuffle
+    found = found.distinct()
     verified = (found.join(windows, ["h", "length", "words"])
                 .groupBy("key").agg(F.collect_set(F.struct("i", "length")).alias("spans"),
                                     F.collect_set("item").alias("items")))

@@ -137,10 +137,35 @@ SELECT doc_id, coalesce(words.n, 0) AS n_words, coalesce(marked.n, 0) AS n_hit,
 FROM documents LEFT JOIN words USING (doc_id) LEFT JOIN marked USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
+def fill_in_middle_sql(seed: int = 7, percent: int = 100, spm_percent: int = 50) -> str:
+    draw = ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+    return f"""
+WITH drawn AS (
+  SELECT doc_id, t, units, len(units) AS n, {draw}
+  FROM (SELECT doc_id, coalesce(text, '') AS t, sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS h,
+               regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units FROM documents)),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {percent}
+              THEN 'plain' WHEN h4 % 100 < {spm_percent} THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT doc_id, n, form, t, array_to_string(units[1:lo], '') AS p, array_to_string(units[lo + 1:hi], '') AS m,
+         array_to_string(units[hi + 1:n], '') AS s
+  FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_sql(),
         "op5_repeated_passages": passages_sql(),
         "op9_near_duplicates": near_sql(),
         "op10_decontamination": contamination_sql(),
+        "op12_fill_in_middle": fill_in_middle_sql(),
     }

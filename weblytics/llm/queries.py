@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblytics.llm import (decontamination, language_id, licences, near_duplicates, packing, quality,
-                           repeated_passages, sharding, token_files, toxicity)
+from weblytics.llm import (decontamination, fill_in_middle, language_id, licences, near_duplicates, packing,
+                           quality, repeated_passages, sharding, token_files, toxicity)
 from weblytics.llm.common import crc32_of_id, table
 from weblytics.llm.oracle import oracle_sql  # noqa: F401  (read by the registry)
 
@@ -81,6 +81,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id", "offset", "padded_length")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_in_middle.transform(docs).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored().cast("binary"), 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -93,4 +101,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_decontamination": op10_decontamination,
+        "op12_fill_in_middle": op12_fill_in_middle,
     }

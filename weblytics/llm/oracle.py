@@ -161,6 +161,43 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
 FROM parts"""
 
 
+def trie_sql(family: int = 20, heads: int = 4) -> str:
+    """crc32 is spelled out bit by bit: the remainder of the reversed polynomial."""
+    return f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+         md5(coalesce(role, '')) || md5(coalesce(text, '')) AS turn_key,
+         len(regexp_extract_all(coalesce(text, ''), '{SPACED}')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT c, 1 AS i, 4294967295 AS v FROM (SELECT DISTINCT c FROM turns)
+  UNION ALL
+  SELECT c, i + 1, list_reduce([xor(v, ascii(substr(c::VARCHAR, i, 1))::BIGINT), 1, 2, 3, 4, 5, 6, 7, 8],
+                                lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+  FROM crc WHERE i <= length(c::VARCHAR)),
+convs AS (SELECT c, c - c % {family} AS base, xor(v, 4294967295) % {heads} AS h FROM crc WHERE i = length(c::VARCHAR) + 1),
+rebuilt AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY opening DESC, pos) AS d, turn_key, words
+  FROM (SELECT x.c, 1 AS opening, t.pos, turn_key, words FROM convs x JOIN turns t ON t.c = x.base AND t.pos < x.h
+        UNION ALL
+        SELECT x.c, 0, t.pos, turn_key, words FROM convs x JOIN turns t ON t.c = x.c AND t.pos >= x.h)),
+paths AS (
+  SELECT c, d, md5(string_agg(turn_key, '') OVER (PARTITION BY c ORDER BY d)) AS node, words FROM rebuilt
+  UNION ALL SELECT c, 0, 'root', 0 FROM convs),
+linked AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS up, lead(node) OVER (PARTITION BY c ORDER BY d) AS down FROM paths),
+nodes AS (SELECT d, node, any_value(up) AS up, count(*) AS n_convs, min(c) AS conv_id, count(DISTINCT down) AS n_children,
+                 any_value(words) AS words,
+                 coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE down IS NULL), '') AS ends
+          FROM linked GROUP BY d, node),
+pairs AS (SELECT DISTINCT x.d, x.node, y.d AS d2, y.node AS node2 FROM paths x JOIN paths y ON x.c = y.c AND y.d >= x.d),
+sums AS (SELECT p.d, p.node, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens,
+                count(*) FILTER (WHERE n.n_children = 0) AS n_leaves
+         FROM pairs p JOIN nodes n ON n.d = p.d2 AND n.node = p.node2 GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens,
+       sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s USING (d, node) LEFT JOIN nodes u ON u.d = n.d - 1 AND u.node = n.up"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_sql(),
@@ -168,4 +205,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_near_duplicates": near_sql(),
         "op10_decontamination": contamination_sql(),
         "op12_fill_in_middle": fill_in_middle_sql(),
+        "op13_conversation_trie": trie_sql(),
     }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblytics.llm import (decontamination, fill_in_middle, language_id, licences, near_duplicates, packing,
-                           quality, repeated_passages, sharding, token_files, toxicity)
+                           prefix_trie, quality, repeated_passages, sharding, token_files, toxicity)
 from weblytics.llm.common import crc32_of_id, table
 from weblytics.llm.oracle import oracle_sql  # noqa: F401  (read by the registry)
 
@@ -89,6 +89,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(fill_in_middle.restored().cast("binary"), 256).alias("restored_sha256"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -102,4 +106,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_duplicates": op9_near_duplicates,
         "op10_decontamination": op10_decontamination,
         "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_conversation_trie": op13_conversation_trie,
     }

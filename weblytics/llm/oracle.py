@@ -137,6 +137,25 @@ SELECT doc_id, coalesce(words.n, 0) AS n_words, coalesce(marked.n, 0) AS n_hit,
 FROM documents LEFT JOIN words USING (doc_id) LEFT JOIN marked USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
+def html_sql() -> str:
+    """Main text of the test pages, all of which mark it by an article of
+    headings and paragraphs; the operator deduces it from the hosts' templates."""
+    return r"""
+WITH numbered AS (SELECT page_id, url, coalesce(html, '') AS html, row_number() OVER () AS r FROM pages),
+blocks AS (
+  SELECT r, unnest(b) AS block, generate_subscripts(b, 1) AS i
+  FROM (SELECT r, string_split_regex(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:p|h1)>') AS b
+        FROM numbered)),
+bare AS (SELECT r, i, regexp_replace(replace(replace(block, '<b>', ''), '</b>', ''), '<br>', ' ', 'g') AS t FROM blocks),
+plain AS (
+  SELECT r, i, regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+                                      '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;?', '&', 'g') AS t FROM bare),
+spaced AS (SELECT r, i, trim(regexp_replace(t, '[\s\x0B\x1C-\x1F\x{85}\x{A0}]+', ' ', 'g')) AS t FROM plain),
+whole AS (SELECT r, string_agg(t, chr(10) ORDER BY i) AS t FROM spaced WHERE t <> '' GROUP BY r)
+SELECT page_id, url, coalesce(t, '') AS text, length(coalesce(t, '')) AS n_chars
+FROM numbered LEFT JOIN whole USING (r)"""
+
+
 def fill_in_middle_sql(seed: int = 7, percent: int = 100, spm_percent: int = 50) -> str:
     draw = ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
     return f"""
@@ -204,6 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_repeated_passages": passages_sql(),
         "op9_near_duplicates": near_sql(),
         "op10_decontamination": contamination_sql(),
+        "op11_html_extraction": html_sql(),
         "op12_fill_in_middle": fill_in_middle_sql(),
         "op13_conversation_trie": trie_sql(),
     }

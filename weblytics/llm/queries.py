@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblytics.llm import (decontamination, fill_in_middle, language_id, licences, near_duplicates, packing,
-                           prefix_trie, quality, repeated_passages, sharding, token_files, toxicity)
+from weblytics.llm import (decontamination, fill_in_middle, html_text, language_id, licences, near_duplicates,
+                           packing, prefix_trie, quality, repeated_passages, sharding, token_files, toxicity)
 from weblytics.llm.common import crc32_of_id, table
 from weblytics.llm.oracle import oracle_sql  # noqa: F401  (read by the registry)
 
@@ -81,6 +81,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id", "offset", "padded_length")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fill_in_middle.transform(docs).select(
@@ -105,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_decontamination": op10_decontamination,
+        "op11_html_extraction": op11_html_extraction,
         "op12_fill_in_middle": op12_fill_in_middle,
         "op13_conversation_trie": op13_conversation_trie,
     }

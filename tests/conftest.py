@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -23,9 +22,6 @@ def spark():
                .config("spark.ui.enabled", "false"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    # tests set their own work folder only when the session names none
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="weblytics-test-"))
     configure(spark)
     yield spark
 

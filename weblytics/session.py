@@ -57,6 +57,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return configure(spark)
 
 
+#: private folders of local applications that name no shared one
+_PRIVATE: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for materialised tables and stored models.
 
@@ -66,13 +70,16 @@ def work_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
+    app = app_id(spark)
     if not path and sc is not None:
         path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="weblytics-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        # a running session cannot take that setting: the folder is remembered here
+        if app not in _PRIVATE:
+            _PRIVATE[app] = tempfile.mkdtemp(prefix="weblytics-ckpt-")
+        path = _PRIVATE[app]
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -124,11 +131,14 @@ def children(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(jpath) if f.isDirectory())
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared work folder and read it back: its lineage
     ends there and plans that use it know its real size."""
     path = f"{work_dir(df.sparkSession)}/weblytics/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -127,3 +127,84 @@ def test_label_probs_array(basic_model, store):
     assert [p["label"] for p in r.predicted_label_probs] == [1, 0]
     assert r.predicted_label_probs[0]["prob"] == r.predicted_probability
     assert abs(sum(p["prob"] for p in r.predicted_label_probs) - 1) < 1e-9
+
+
+def test_a_category_named_like_null_multiplies_no_row(spark):
+    rows = [(None, 0), ("__null__", 1), ("__null__", 0), ("", 1), ("=", 1)]
+    df = spark.createDataFrame(rows, "os string, label long")
+    words = ml.dictionary(df, ["os"])
+    got = ml.with_categories(df, words, ["os"], 0.5).collect()
+    assert len(got) == len(rows)
+    idx = {r.os: r.os__idx for r in got}
+    assert idx[None] == ml.NULL_INDEX and idx[""] == ml.EMPTY_INDEX
+    assert len(set(idx.values())) == 4 and min(idx["__null__"], idx["="]) >= ml.FIRST_INDEX
+
+
+def test_unique_values_have_no_power_on_the_fit_part(spark):
+    """Cross-fitted shares: a value that occurs once carries nothing of its label,
+    while a real category keeps its difference."""
+    rows = [(f"s{i}", f"u{i}", "good" if i % 3 == 0 else "bad", int(i % 3 == 0 or i % 7 == 0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "unique_session_id string, campaign string, os string, label long")
+    words = ml.dictionary(df, ["campaign", "os"])
+    folded = df.withColumn("_fold", ml.fold_of(df))
+    overall = df.agg({"label": "avg"}).first()[0]
+    crossed = ml.with_categories(folded, words, ["campaign", "os"], overall, "_fold")
+    plain = ml.with_categories(df, words, ["campaign", "os"], overall)
+
+    def spread(frame, column):
+        by = {r.label: r.m for r in frame.groupBy("label").agg(F.avg(column).alias("m")).collect()}
+        return by[1] - by[0]
+
+    assert abs(spread(crossed, "campaign__share")) < 1e-12 < 0.02 < spread(plain, "campaign__share")
+    assert spread(crossed, "os__share") > 0.4
+    shares = {(r.value, r.fold): r for r in ml.fold_shares(df, ["os"]).collect()}
+    own = {(r.os, r._fold): r.os__share for r in crossed.select("os", "_fold", "os__share").distinct().collect()}
+    assert own == {k: r.share for k, r in shares.items()}
+
+
+def test_one_exchange_serves_all_category_joins(spark, store):
+    from weblytics.session import materialise
+    data = materialise(feature_set(store, "extended", "train"), "test")
+    cats = [c for c in data.columns if c in ml.CATEGORICAL]
+    words = materialise(ml.dictionary(data, cats), "test")
+    joined = ml.with_categories(data, words, cats, 0.5)
+    joined.write.format("noop").mode("overwrite").save()
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("BroadcastHashJoin") == len(cats)
+    assert plan.count("ReusedExchange") == len(cats) - 1
+
+
+def test_a_killed_writer_leaves_the_model_before_it(spark, basic_model, store):
+    import uuid
+
+    from weblytics.session import file_system
+    from weblytics.sources import versions
+    path = f"{ml.model_path(spark, 'test-' + store.key, 'basic')}-{uuid.uuid4().hex}"
+    ml.save(basic_model.model, path, replace=False)
+    before = ml.load(path)
+    # a writer that died after its pipeline, one that died while making its marker
+    basic_model.model.pipeline.write().save(f"{versions.new_folder(path)}/pipeline")
+    fs, marker = file_system(spark, f"{path}/markers/{2:010d}")
+    fs.create(marker, False).close()
+    ml._LOADED.clear()
+    after = ml.load(path)
+    assert after.cats == before.cats
+    test = feature_set(store, "basic", "test")
+    total = [ml.score(m, test).agg(F.sum("predicted_probability")).first()[0] for m in (before, after)]
+    assert abs(total[0] - total[1]) < 1e-9
+    with pytest.raises(versions.AlreadyPresent):
+        ml.save(basic_model.model, path, replace=False)
+    folder = versions.current(spark, path)
+    ml.save(basic_model.model, path)            # passes over the dead marker
+    assert versions.numbers(spark, path) == [1, 2, 3] and versions.current(spark, path) != folder
+
+
+def test_scores_are_evaluated_once(spark, store, basic_model):
+    """evaluate() reads the model's scores in one job only."""
+    from weblytics.operators import evaluation
+    test = feature_set(store, "basic", "test")
+    scored = ml.score(basic_model.model, test)
+    plan = evaluation.evaluate(scored)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRelation" in plan or "Relation [" in plan
+    assert "UDF" not in plan and "predicted_probability" not in plan

@@ -1,18 +1,18 @@
 """Binary-classifier evaluation over a scored DataFrame, as aggregations.
 
 Input columns: the 0/1 ``label``, the probability of label 1 and the
-predicted 0/1 label.  Counts and log loss are one global aggregate (partial
-per task).  ROC AUC is exact: Spark's evaluator sorts the distinct scores
-over all tasks (no bins) and integrates, ties counted half.
+predicted 0/1 label.  The scored rows are reduced once to the numbers of positives
+and negatives per distinct score; counts, log loss and the exact ROC AUC (rank sum
+over range-partitioned scores) come from that stored table.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import THRESHOLD
+from ..session import materialise
 
 EPS = 1e-15
 
@@ -22,6 +22,19 @@ def predict_at(prob: str = "predicted_probability", threshold: float = THRESHOLD
     return F.when(F.col(prob) >= F.lit(threshold), F.lit(1)).otherwise(F.lit(0)).cast("long")
 
 
+def tallies(scored: DataFrame, label: str = "label", prob: str = "predicted_probability",
+            pred: str = "predicted_label") -> DataFrame:
+    """(prob, pred, pos, neg, part): rows of each label per distinct score, stored
+    and sorted by score over range partitions.  The scores are evaluated for this
+    table only; every metric reads it."""
+    y = F.col(label).cast("long")
+    counted = scored.select(y.alias("y"), F.col(prob).cast("double").alias("prob"), F.col(pred).alias("pred")).groupBy(
+        "prob", "pred").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    n = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # equal scores stay in one range
+    return materialise(counted.repartitionByRange(n, "prob").withColumn("part", F.spark_partition_id()), "tallies")
+
+
 def confusion(scored: DataFrame, label: str = "label", pred: str = "predicted_label") -> DataFrame:
     """One row per actual label: how many were predicted 0 and 1."""
     return (scored.groupBy(F.col(label).cast("long").alias("expected_label"))
@@ -30,21 +43,28 @@ def confusion(scored: DataFrame, label: str = "label", pred: str = "predicted_la
             .orderBy("expected_label"))
 
 
-def _auc(scored: DataFrame, label: str, prob: str) -> float | None:
-    """Area under the ROC curve; None if a class is absent."""
-    classes = scored.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
-    if 0 in tuple(classes):
-        return None
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol=prob, labelCol=label,
-                                              metricName="areaUnderROC", numBins=0)
-    return evaluator.evaluate(scored.select(F.col(label).cast("double").alias(label),
-                                            F.col(prob).cast("double").alias(prob)))
+def _area(tally: DataFrame) -> DataFrame:
+    """One row ``roc_auc``: the share of (positive, negative) pairs in order, ties
+    counted half (NULL if a class is absent).  Negatives below a score are the
+    sum of the earlier ranges plus a running sum inside the range."""
+    known = tally.where(F.col("prob").isNotNull())
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)    # one row per range
+    before = known.groupBy("part").agg(F.sum("neg").alias("neg")).select(
+        "part", F.coalesce(F.sum("neg").over(earlier), F.lit(0)).alias("before"))
+    per_score = known.groupBy("part", "prob").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    lower = Window.partitionBy("part").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
+    below = per_score.withColumn("lower", F.coalesce(F.sum("neg").over(lower), F.lit(0))).join(F.broadcast(before), "part")
+    wide = "decimal(38,0)"
+    # twice the pairs in order, exact in decimals
+    twice = F.sum(F.col("pos").cast("decimal(18,0)") * (2 * (F.col("before") + F.col("lower")) + F.col("neg")).cast("decimal(19,0)"))
+    total = below.agg(twice.cast(wide).alias("twice"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    pairs = F.col("p").cast("double") * F.col("n").cast("double")
+    return total.select(F.when(pairs > 0, F.col("twice").cast("double") / (2 * pairs)).alias("roc_auc"))
 
 
 def roc_auc(scored: DataFrame, label: str = "label", prob: str = "predicted_probability") -> DataFrame:
     """One-row DataFrame ``roc_auc`` (NULL if one class is absent)."""
-    return scored.sparkSession.range(1).select(
-        F.lit(_auc(scored, label, prob)).cast("double").alias("roc_auc"))
+    return _area(tallies(scored.withColumn("_pred", F.lit(0)), label, prob, "_pred"))
 
 
 def evaluate(scored: DataFrame, label: str = "label", prob: str = "predicted_probability",
@@ -53,13 +73,14 @@ def evaluate(scored: DataFrame, label: str = "label", prob: str = "predicted_pro
 
     ``digits`` rounds the results: sums of doubles depend on how rows are
     split over tasks, so the last bits are not stable between runs."""
-    y, yhat = F.col(label).cast("long"), F.col(pred)
-    p = F.least(F.greatest(F.col(prob).cast("double"), F.lit(EPS)), F.lit(1 - EPS))
-    totals = scored.agg(
-        *[F.count_if((y == a) & (yhat == b)).cast("double").alias(n)
-          for n, a, b in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))],
-        F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p))).alias("log_loss"),
-    ).withColumn("roc_auc", F.lit(_auc(scored, label, prob)).cast("double"))
+    tally = tallies(scored, label, prob, pred)
+    p = F.least(F.greatest("prob", F.lit(EPS)), F.lit(1 - EPS))
+    rows = F.col("pos") + F.col("neg")
+    totals = tally.agg(
+        *[F.sum(F.when(F.col("pred") == b, F.col(a)).otherwise(0)).cast("double").alias(n)
+          for n, a, b in (("tp", "pos", 1), ("fp", "neg", 1), ("fn", "pos", 0), ("tn", "neg", 0))],
+        F.try_divide(F.sum(-(F.col("pos") * F.ln(p) + F.col("neg") * F.ln(1 - p))), F.sum(rows)).alias("log_loss"),
+    ).withColumn("roc_auc", F.lit(_area(tally).first().roc_auc).cast("double"))      # one row
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     precision = F.try_divide(tp, tp + fp)
     recall = F.try_divide(tp, tp + fn)

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.fixed import SAMPLE_EXTENDED, SAMPLE_HISTORY
 from ..operators import evaluation, explore, features, history, metrics, reports
@@ -94,6 +95,7 @@ def queries() -> dict[str, Query]:
     for name in ml.MODELS:
         q[f"ml_split_{name}"] = _split_query(name)
         q[f"ml_categories_{name}"] = _categories_query(name)
+        q[f"ml_category_folds_{name}"] = _folds_query(name)
         q[f"ml_train_{name}"] = _train_query(name)
         q[f"ml_evaluate_{name}"] = _holdout_query(name, evaluation.evaluate)
         q[f"ml_confusion_{name}"] = _holdout_query(name, evaluation.confusion)
@@ -175,6 +177,15 @@ def _categories_query(name: str) -> Query:
     return run
 
 
+def _folds_query(name: str) -> Query:
+    """Cross-fitted shares of positives: per value and fold, of the other folds."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _fit_rows(spark, sf_dir, name)
+        shares = ml.fold_shares(rows, [c for c in rows.columns if c in features.CATEGORICAL])
+        return shares.withColumn("share", F.round("share", 9))
+    return run
+
+
 def _train_query(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         store = session_store(spark, sf_dir)

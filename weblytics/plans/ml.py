@@ -3,11 +3,13 @@
 A stored model is a ``PipelineModel`` plus a category dictionary, so scoring
 applies exactly what training learned:
 
-1. the dictionary, one row per (feature, value) of the fit part with its index,
-   row count and share of positives, made by distributed aggregation and kept
-   as Parquet beside the pipeline; it is joined per categorical feature (a
-   small one is broadcast by its known size).  All values are kept; unseen,
-   NULL and empty values have indices of their own;
+1. the dictionary, one row per (feature, value) of the fit part with its index
+   and shares of positives, made by distributed aggregation and kept as Parquet
+   beside the pipeline.  One table keyed by feature and value serves the joins
+   of all features, so a small one is broadcast once.  All values are kept;
+   unseen, NULL and empty values have indices of their own.  A forest is fitted
+   on cross-fitted shares: a row's share of a value counts the other folds
+   only, never its own label;
 2. ``SQLTransformer``: booleans and dates become numbers, nullable numbers get
    a ``_missing`` flag; ``Imputer`` (mean) for nullable numbers;
 3. logistic regression: sparse one-hot vectors of the indices.  Forests: the
@@ -32,17 +34,21 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, VectorAss
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import columns, fixed, sampling
-from ..functions.sampling import in_eval_split, row_key
+from ..functions.sampling import hash_hex8, in_eval_split, row_key
 from ..operators import evaluation, features, history, metrics
 from ..operators.features import CATEGORICAL, KEY
 from ..session import app_id, materialise, path_exists, work_dir
+from ..sources import versions
 
 UNSEEN_INDEX, NULL_INDEX, EMPTY_INDEX, FIRST_INDEX = 0, 1, 2, 3
-NULL_VALUE = "__null__"
 RANK_BUCKETS = 64
+FOLDS = 5            # folds of the cross-fitted shares
+FOLD_SEED = 11
+WORDS = "key string, feature string, value string, idx long, share double, fold_shares array<double>"
 SMOOTHING = 20.0   # rows of the overall share that every value's share starts from
 
 
@@ -81,22 +87,60 @@ MODELS = {
 # ---------------------------------------------------------------------------
 # categories
 # ---------------------------------------------------------------------------
-def category_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+def category_counts(df: DataFrame, cols: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """(feature, value, n_rows, positives) of every value of every categorical
-    feature, NULL included: one job, partial aggregation in the scan tasks."""
-    pairs = df.select("label", F.explode(F.array(*[
+    feature, NULL included: one job, partial aggregation in the scan tasks.
+    ``by``: columns of ``df`` to count by as well."""
+    pairs = df.select("label", *by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cols])).alias("p"))
-    return pairs.groupBy("p.feature", "p.value").agg(
+    return pairs.groupBy("p.feature", "p.value", *by).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("positives"))
 
 
+def fold_of(df: DataFrame) -> Column:
+    """Fold (0 to ``FOLDS`` - 1) of a row, by its session id or, where that is
+    NULL, by the whole row."""
+    drawn = F.conv(hash_hex8(row_key(KEY, df.columns), FOLD_SEED), 16, 10).cast("long")
+    return (drawn % FOLDS).cast("int")
+
+
+def _smoothed(positives: Column, n_rows: Column, overall: float) -> Column:
+    return (positives + SMOOTHING * overall) / (n_rows + SMOOTHING)
+
+
+def fold_shares(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, value, fold, n_rows, positives, share): rows and positives of each
+    value in a fold, and its smoothed share of positives in the other folds."""
+    overall = df.agg(F.avg("label")).first()[0] or 0.0
+    counts = category_counts(df.withColumn("fold", fold_of(df)), cols, by=("fold",))
+    # at most FOLDS rows per value
+    value = Window.partitionBy("feature", "value")
+    others = [F.sum(c).over(value) - F.col(c) for c in ("positives", "n_rows")]
+    return counts.withColumn("share", _smoothed(*others, overall))
+
+
+def value_key(feature: str | Column, value: Column) -> Column:
+    """The dictionary key of a value; NULL has one that no text has."""
+    name = F.lit(feature) if isinstance(feature, str) else feature
+    return F.concat(name, F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), value)))
+
+
 def dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, value, idx, share): dense indices per feature without a task
-    that holds a whole feature (rank inside a hash bucket, plus the rows of the
-    buckets before it), and the smoothed share of positives."""
-    counts = category_counts(df, cols)
+    """(key, feature, value, idx, share, fold_shares): dense indices per feature
+    without a task that holds a whole feature (rank inside a hash bucket, plus the
+    rows of the buckets before it), the smoothed share of positives over all
+    folds, and for each fold that of the others.  The row of a feature's
+    unseen values has no key."""
     overall = df.agg(F.avg("label")).first()[0] or 0.0
-    share = (F.col("positives") + SMOOTHING * overall) / (F.col("n_rows") + SMOOTHING)
+    folded = df.withColumn("fold", fold_of(df)) if KEY in df.columns else df.withColumn("fold", F.lit(0))
+    by_fold = category_counts(folded, cols, by=("fold",))
+    n, positives = F.sum("n_rows"), F.sum("positives")
+    own = [(F.sum(F.when(F.col("fold") == k, F.col("positives")).otherwise(0)),
+            F.sum(F.when(F.col("fold") == k, F.col("n_rows")).otherwise(0))) for k in range(FOLDS)]
+    # read three times: ranks, bucket sizes, special values
+    counts = materialise(by_fold.groupBy("feature", "value").agg(
+        _smoothed(positives, n, overall).alias("share"),
+        F.array(*[_smoothed(positives - p, n - m, overall) for p, m in own]).alias("fold_shares")), "category-counts")
     plain = counts.where(F.col("value").isNotNull() & (F.col("value") != "")).withColumn(
         "bucket", F.pmod(F.xxhash64("value"), F.lit(RANK_BUCKETS)))
     # at most RANK_BUCKETS rows per feature
@@ -104,30 +148,37 @@ def dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
     before = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("feature", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("feature", "bucket").orderBy("value")
+    shares = ["share", "fold_shares"]
     ranked = plain.withColumn("rank", F.row_number().over(inside)).join(offsets, ["feature", "bucket"]).select(
-        "feature", "value", (F.col("rank") + F.col("offset") + FIRST_INDEX - 1).cast("long").alias("idx"),
-        share.alias("share"))
+        "feature", "value", (F.col("rank") + F.col("offset") + FIRST_INDEX - 1).cast("long").alias("idx"), *shares)
     special = counts.where(F.col("value").isNull() | (F.col("value") == "")).select(
-        "feature", F.coalesce("value", F.lit(NULL_VALUE)).alias("value"),
-        F.when(F.col("value").isNull(), NULL_INDEX).otherwise(EMPTY_INDEX).cast("long").alias("idx"),
-        share.alias("share"))
+        "feature", "value", F.when(F.col("value").isNull(), NULL_INDEX).otherwise(EMPTY_INDEX).cast("long").alias("idx"),
+        *shares)
     unseen = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string").select(
-        "feature", F.lit(None).cast("string").alias("value"), F.lit(UNSEEN_INDEX).cast("long").alias("idx"),
-        F.lit(float(overall)).alias("share"))
-    return ranked.unionByName(special).unionByName(unseen)
-
-
-def with_categories(df: DataFrame, words: DataFrame, cols: list[str], overall: float) -> DataFrame:
-    """``df`` plus ``<feature>__idx`` and ``<feature>__share``."""
+        F.lit(None).cast("string").alias("key"), "feature", F.lit(None).cast("string").alias("value"),
+        F.lit(UNSEEN_INDEX).cast("long").alias("idx"), F.lit(float(overall)).alias("share"),
+        F.array(*[F.lit(float(overall))] * FOLDS).alias("fold_shares"))
+    known = ranked.unionByName(special).select(
+        value_key(F.col("feature"), F.col("value")).alias("key"), "feature", "value", "idx", *shares)
+    return known.unionByName(unseen)
+
+
+def with_categories(df: DataFrame, words: DataFrame, cols: list[str], overall: float,
+                    fold: str | None = None) -> DataFrame:
+    """``df`` plus ``<feature>__idx`` and ``<feature>__share``.  ``fold``: a column
+    with the fold of each row, whose share is then that of the other folds."""
+    share = F.col("share") if fold is None else F.col("fold_shares")
+    # the same right side for every feature: one exchange serves all joins
+    own = words.where(F.col("key").isNotNull()).select(
+        F.col("key").alias("_key"), F.col("idx").cast("double").alias("_idx"), share.alias("_share"))
     for c in cols:
-        own = words.where((F.col("feature") == c) & F.col("value").isNotNull()).select(
-            F.col("value").alias("_value"), F.col("idx").cast("double").alias("_idx"), F.col("share").alias("_share"))
         value = F.col(c).cast("string")
         reserved: Column = F.when(value.isNull(), NULL_INDEX).when(value == "", EMPTY_INDEX).otherwise(UNSEEN_INDEX)
-        df = (df.join(own, F.coalesce(value, F.lit(NULL_VALUE)) == F.col("_value"), "left")
+        known = F.col("_share") if fold is None else F.get("_share", F.col(fold))
+        df = (df.join(own, value_key(c, value) == F.col("_key"), "left")
               .withColumn(f"{c}__idx", F.coalesce("_idx", reserved.cast("double")))
-              .withColumn(f"{c}__share", F.coalesce("_share", F.lit(overall)))
-              .drop("_value", "_idx", "_share"))
+              .withColumn(f"{c}__share", F.coalesce(known, F.lit(overall)))
+              .drop("_key", "_idx", "_share"))
     return df
 
 
@@ -217,12 +268,12 @@ class Classifier:
         self.overall = 0.0
         if words is not None:
             # one row per categorical feature
-            rows = words.where(F.col("value").isNull()).select("feature", "share").collect()
+            rows = words.where(F.col("key").isNull()).select("feature", "share").collect()
             self.cats = sorted(r["feature"] for r in rows)
             self.overall = rows[0]["share"] if rows else 0.0
 
-    def prepared(self, df: DataFrame) -> DataFrame:
-        return df if self.words is None else with_categories(df, self.words, self.cats, self.overall)
+    def prepared(self, df: DataFrame, fold: str | None = None) -> DataFrame:
+        return df if self.words is None else with_categories(df, self.words, self.cats, self.overall, fold)
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.pipeline.transform(self.prepared(df))
@@ -276,7 +327,9 @@ def train(spark: SparkSession, features_df: DataFrame, spec: ModelSpec,
     eval_rows = data.where("_eval").drop("_eval")
     cats = [f for f in names if f in CATEGORICAL]
     words = materialise(dictionary(fit_rows, cats), "categories") if cats else None
-    prepared = Classifier(None, words).prepared(fit_rows)
+    # rows to fit on take their shares from the other folds
+    folded = fit_rows.withColumn("_fold", fold_of(fit_rows))
+    prepared = Classifier(None, words).prepared(folded, "_fold").drop("_fold")
     model = Classifier(build_pipeline(prepared, names, spec).fit(prepared), words)
     metrics_row = evaluation.evaluate(score(model, eval_rows, threshold))
     counts = data.agg(F.count_if(~F.col("_eval")).alias("n_train"), F.count_if("_eval").alias("n_eval"))
@@ -323,30 +376,36 @@ def _app() -> str:
 
 
 def save(model: Classifier, path: str, replace: bool = True) -> None:
-    """``CREATE OR REPLACE MODEL`` (replace) / ``CREATE MODEL`` (fail if present)."""
-    writer = model.pipeline.write()
-    if replace:
-        writer = writer.overwrite()
-    writer.save(f"{path}/pipeline")
+    """``CREATE OR REPLACE MODEL`` (replace) / ``CREATE MODEL`` (``AlreadyPresent``
+    if there is one).  The model is a version of ``path``: it is in force once its
+    marker is written, and a writer that dies leaves the one before."""
+    spark = SparkSession.getActiveSession()
+    if not replace and versions.current(spark, path) is not None:
+        raise versions.AlreadyPresent(path)
+    folder = versions.new_folder(path)
+    model.pipeline.write().save(f"{folder}/pipeline")
     if model.words is not None:
-        model.words.write.mode("overwrite" if replace else "errorifexists").parquet(f"{path}/categories")
-    _LOADED.pop((_app(), path), None)
+        model.words.select(*[f.name for f in T.StructType.fromDDL(WORDS)]).write.parquet(f"{folder}/categories")
+    versions.commit(spark, path, folder, replace)
 
 
 def load(path: str) -> Classifier:
-    key = (_app(), path)
+    """The model in force at ``path``."""
+    spark = SparkSession.getActiveSession()
+    folder = versions.current(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"no model at {path}")
+    key = (_app(), folder)
     if key not in _LOADED:
-        spark = SparkSession.getActiveSession()
         words = None
-        if path_exists(spark, f"{path}/categories/_SUCCESS"):
-            words = spark.read.schema("feature string, value string, idx long, share double").parquet(
-                f"{path}/categories")
-        _LOADED[key] = Classifier(PipelineModel.load(f"{path}/pipeline"), words)
+        if path_exists(spark, f"{folder}/categories/_SUCCESS"):
+            words = spark.read.schema(WORDS).parquet(f"{folder}/categories")
+        _LOADED[key] = Classifier(PipelineModel.load(f"{folder}/pipeline"), words)
     return _LOADED[key]
 
 
 def load_or_train(spark: SparkSession, features_df: DataFrame, spec: ModelSpec, key: str) -> Classifier:
     path = model_path(spark, key, spec.name)
-    if not path_exists(spark, f"{path}/pipeline/metadata"):
+    if versions.current(spark, path) is None:
         save(train(spark, features_df, spec).model, path)
     return load(path)

@@ -43,3 +43,8 @@ FOREST_TREES = 60
 FOREST_DEPTH = 10
 FOREST_SUBSAMPLE = 0.85
 FOREST_MIN_SPLIT_GAIN = 0.0
+FOREST_L1 = 0.05
+FOREST_L2 = 0.1
+FOREST_MIN_REL_PROGRESS = 0.001     # least relative fall of the held-out loss, enriched forest
+FOREST_DEFAULT_REL_PROGRESS = 0.01  # the trainer's default, history forest
+LINE_SEARCH_START = 0.01            # first step of the tuned logistic model's line search

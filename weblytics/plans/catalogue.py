@@ -17,7 +17,7 @@ from ..operators import evaluation, explore, features, history, metrics, reports
 from ..sources import published
 from ..session import work_dir
 from ..sources.fixture import session_store
-from . import ml, publish
+from . import forest, ml, publish
 from .periods import PERIODS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,12 @@ def queries() -> dict[str, Query]:
         q[f"ml_evaluate_{name}"] = _holdout_query(name, evaluation.evaluate)
         q[f"ml_confusion_{name}"] = _holdout_query(name, evaluation.confusion)
 
+    # forests with penalised leaves and early stopping
+    for name in forest.FORESTS:
+        q[f"ml_forest_rounds_{name}"] = _rounds_query(name)
+        q[f"ml_forest_evaluate_{name}"] = _forest_query(name, evaluation.evaluate)
+        q[f"ml_forest_confusion_{name}"] = _forest_query(name, evaluation.confusion)
+
     # scoring and publishing with the history model
     q["ml_predict_sessions"] = _predict_query
     q["pub_daily_predictions"] = _publish_query
@@ -203,6 +209,25 @@ def _holdout_query(name: str, metric) -> Query:
     return run
 
 
+def _rounds_query(name: str) -> Query:
+    """Loss after every round of trees; fits and stores the forest."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = session_store(spark, sf_dir)
+        fitted, rounds = forest.fit(feature_set(store, name, "train"), forest.FORESTS[name])
+        forest.save(fitted, spark, forest.model_path(spark, store.key, name))
+        return spark.createDataFrame(rounds, forest.ROUNDS)
+    return run
+
+
+def _forest_query(name: str, metric) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = session_store(spark, sf_dir)
+        fitted = forest.load_or_fit(spark, feature_set(store, name, "train"), name, store.key)
+        scored = forest.score(fitted, feature_set(store, name, "test"))
+        return metric(scored)
+    return run
+
+
 def _predict_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = session_store(spark, sf_dir)
     model = _model(spark, store, "history")

@@ -358,6 +358,12 @@ def code_version() -> str:
     return hashlib.sha1(text.encode()).hexdigest()[:10]
 
 
+def digest_of(options, *files: str) -> str:
+    """Digest of a model's options and of more code files it depends on."""
+    text = repr(options) + "".join(open(f).read() for f in files)
+    return hashlib.sha1(text.encode()).hexdigest()[:8]
+
+
 def model_path(spark: SparkSession, key: str, name: str) -> str:
     """Where model ``name`` trained on data ``key`` is stored; the path also
     carries a digest of the code and one of the model's options."""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -163,3 +165,26 @@ def cluster_settings(input_bytes: int, total_cores: int,
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.parquet.aggregatePushdown": "true",
     }
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python (as ``--py-files``
+    would), once per application.  Nothing to do where PYTHONPATH has it."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    there = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    app = app_id(spark)
+    if root in there or app in _SHIPPED:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="weblytics-"), "weblytics.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)

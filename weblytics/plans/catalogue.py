@@ -17,7 +17,7 @@ from ..operators import evaluation, explore, features, history, metrics, reports
 from ..sources import published
 from ..session import work_dir
 from ..sources.fixture import session_store
-from . import forest, ml, publish
+from . import forest, linear, ml, publish
 from .periods import PERIODS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,12 @@ def queries() -> dict[str, Query]:
         q[f"ml_evaluate_{name}"] = _holdout_query(name, evaluation.evaluate)
         q[f"ml_confusion_{name}"] = _holdout_query(name, evaluation.confusion)
 
+    # the tuned logistic model by line search
+    q["ml_first_gradient_extended"] = _first_gradient_query
+    q["ml_line_search_extended"] = _line_search_query
+    q["ml_line_search_evaluate_extended"] = _linear_query(evaluation.evaluate)
+    q["ml_line_search_confusion_extended"] = _linear_query(evaluation.confusion)
+
     # forests with penalised leaves and early stopping
     for name in forest.FORESTS:
         q[f"ml_forest_rounds_{name}"] = _rounds_query(name)
@@ -209,6 +215,32 @@ def _holdout_query(name: str, metric) -> Query:
     return run
 
 
+def _first_gradient_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient of the mean log loss at zero weights, per coordinate of the tuned
+    logistic model: the direction of its first step."""
+    d = linear.design(_fit_rows(spark, sf_dir, "extended"))
+    n, _, gradient = linear.losses(d, linear.np.zeros((1, d.size)))
+    table = linear.coefficients(spark, linear.Fitted(d, gradient[0] / max(n, 1.0), []))
+    return table.select("feature", "value", F.round("weight", 9).alias("gradient"))
+
+
+def _line_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step, objective and penalised gradient of every iteration; fits and stores."""
+    store = session_store(spark, sf_dir)
+    opt = linear.LineSearchOptions()
+    fitted = linear.fit(_fit_rows(spark, sf_dir, "extended"), opt)
+    linear.save(linear.coefficients(spark, fitted), linear.model_path(spark, store.key, "extended", opt))
+    return spark.createDataFrame(fitted.rounds, linear.ROUNDS)
+
+
+def _linear_query(metric) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = session_store(spark, sf_dir)
+        table = linear.load_or_fit(spark, _fit_rows(spark, sf_dir, "extended"), "extended", store.key)
+        return metric(linear.score(table, feature_set(store, "extended", "test")))
+    return run
+
+
 def _rounds_query(name: str) -> Query:
     """Loss after every round of trees; fits and stores the forest."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import SAMPLE_EXTENDED, SAMPLE_HISTORY
 from ..operators import evaluation, explore, features, history, metrics, reports
-from ..sources import published
+from ..sources import published, versions
 from ..session import work_dir
 from ..sources.fixture import session_store
 from . import forest, linear, ml, publish
@@ -118,6 +118,10 @@ def queries() -> dict[str, Query]:
     # the same path with a model whose score SQL can state
     q["pub_fixed_score"] = _publish_fixed_query(RUN_DATE)
     q["pub_fixed_score_today"] = _publish_fixed_query(None)
+    # stored models and tables: create, replace, append
+    q["ml_model_store"] = _model_store_query
+    q["pub_create_or_replace"] = _replace_query
+    q["pub_append_runs"] = _append_query
     return q
 
 
@@ -157,6 +161,7 @@ def _main_dataset_query(period: str) -> Query:
 
 
 RUN_DATE = "2024-01-31"     # fixed prediction date of the registered publish run
+NEXT_DATE = "2024-02-01"    # and of the run after it
 
 
 def feature_set(store, name: str, period: str, for_scoring: bool = False) -> DataFrame:
@@ -287,6 +292,59 @@ def _publish_fixed_query(run_date: str | None) -> Query:
     return run
 
 
+def _model_store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE MODEL, again (an error: one is present), CREATE OR REPLACE MODEL: the
+    outcome of each step and what the model in force then scores."""
+    store = session_store(spark, sf_dir)
+    scoring = feature_set(store, "history", "test", for_scoring=True)
+    path = f"{work_dir(spark)}/weblytics/models/{store.key}/store-{uuid.uuid4().hex}"
+    model, out = ml.fixed_score_model(spark, scoring), None
+    for step, (name, replace) in enumerate([("create", False), ("create", False), ("create or replace", True)], 1):
+        try:
+            ml.save(model, path, replace=replace)
+            outcome = "stored"
+        except versions.AlreadyPresent:
+            outcome = "present"
+        row = ml.score(ml.load(path), scoring).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("predicted_probability"), 6).alias("mean_probability"),
+            F.sum("predicted_label").alias("n_predicted")).select(
+            F.lit(step).cast("long").alias("step"), F.lit(name).alias("statement"), F.lit(outcome).alias("outcome"), "*",
+            F.lit(len(versions.numbers(spark, path))).cast("long").alias("n_versions"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _daily_rows(spark: SparkSession, sf_dir: str, date: str) -> DataFrame:
+    """The hold-out scored by the fixed score, as published for a date."""
+    scoring = feature_set(session_store(spark, sf_dir), "history", "test", for_scoring=True)
+    return publish.daily_table(publish.predictions(ml.fixed_score_model(spark, scoring), scoring), date)
+
+
+def _counted(df: DataFrame, label: str) -> DataFrame:
+    return df.groupBy("predictionDate").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("positives")).select(
+        F.lit(label).alias("reader"), "*")
+
+
+def _replace_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE OR REPLACE TABLE under an open reader: it ends with the old rows."""
+    rows = _daily_rows(spark, sf_dir, RUN_DATE)
+    root = f"{work_dir(spark)}/weblytics/published/tables/{uuid.uuid4().hex}"
+    published.create_or_replace(rows, root, replace=False)
+    before = published.open_table(spark, root)
+    published.create_or_replace(rows.where("label = 1").withColumn("predictionDate", F.to_date(F.lit(NEXT_DATE))), root)
+    return _counted(before, "opened before").unionByName(_counted(published.open_table(spark, root), "opened after"))
+
+
+def _append_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSERT of three runs, the first of them repeated."""
+    rows = _daily_rows(spark, sf_dir, RUN_DATE)
+    root = f"{work_dir(spark)}/weblytics/published/runs/{uuid.uuid4().hex}"
+    later = rows.withColumn("predictionDate", F.to_date(F.lit(NEXT_DATE)))
+    for run, df in (("run 1", rows), ("run 1", rows), ("run 2", rows.where("label = 0")), ("run 3", later)):
+        published.append_run(df, root, run)
+    return _counted(published.read_runs(spark, root), "all runs")
+
+
 def _history_query(period: str, for_scoring: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return feature_set(session_store(spark, sf_dir), "history", period, for_scoring)

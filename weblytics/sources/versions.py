@@ -112,6 +112,6 @@ def add_once(spark: SparkSession, root: str, run_id: str, folder: str) -> bool:
 
 
 def entered(spark: SparkSession, root: str) -> list[str]:
-    """Folders of all runs of the ledger."""
+    """Folder names of all runs of the ledger."""
     names = (_read(spark, f"{root}/ledger/{n}") for n in _files(spark, f"{root}/ledger"))
-    return [f"{root}/versions/{n}" for n in names if n]
+    return [n for n in names if n]

@@ -116,9 +116,9 @@ def enriched(sessions: DataFrame, p: float | None = SAMPLE_ENRICHED, seed: int |
         if mode == "filter":
             base = base.where(F.col("_drawn"))
     # the metric tables always see the whole period
-    main = main_dataset(base, metrics_from=sessions)
-    traffic = M.traffic(sessions).select("source", "bounce_rate")
-    main = M.join_stored(main, traffic, M.BY_SOURCE)
+    tables = M.PeriodTables(sessions)
+    main = main_dataset(base, tables=tables)
+    main = M.join_side(main, tables.traffic().select("source", "bounce_rate"), M.BY_SOURCE)
     bounce = F.col("bounce_rate")
     if p is not None and mode == "as_written":
         bounce = F.when(F.col("_drawn"), bounce)
@@ -133,17 +133,14 @@ MAIN_EXTRA = ["day_of_week", "month", "is_weekend", "day_of_month", "device_coun
               "visits_day_of_week", "sessions_by_device_type"]
 
 
-def main_dataset(sessions: DataFrame, metrics_from: DataFrame | None = None) -> DataFrame:
+def main_dataset(sessions: DataFrame, tables: M.PeriodTables | None = None) -> DataFrame:
     """Every session column plus calendar features, crossed categories, the
     time-on-site category and three joined counts: the visitor's sessions in
     the period (default 1), sessions on the same weekday x month (default 0)
     and sessions of the same OS x category x browser (default 0; a NULL key
-    part never matches).  ``metrics_from`` is the period the counts are taken
-    from (default: ``sessions``)."""
-    period = sessions if metrics_from is None else metrics_from
-    dev = M.device(period)
-    temporal = M.temporal(period)
-    users = M.users(period)
+    part never matches).  ``tables``: the metric tables of the period the counts
+    are taken from (default: of ``sessions``)."""
+    tables = M.PeriodTables(sessions) if tables is None else tables
     d = X.session_date("date")
     hour = X.utc_hour("visitStartTime")
     base = sessions.select(
@@ -157,10 +154,10 @@ def main_dataset(sessions: DataFrame, metrics_from: DataFrame | None = None) ->
         F.concat(F.col("device.browser"), F.lit("_"), F.col("device.operatingSystem")).alias("browser_os"),
         X.time_on_site_category(F.col("totals.timeOnSite")).alias("time_on_site_category"),
     )
-    joined = M.join_stored(base, users, {"fullVisitorId": "fullVisitorId"})
+    joined = M.join_side(base, tables.users(), {"fullVisitorId": "fullVisitorId"})
     # at most 7 x 12 rows: a broadcast whose size is bounded by the calendar
-    joined = joined.join(F.broadcast(temporal), ["day_of_week", "month"], "left")
-    joined = M.join_stored(joined, dev, M.BY_DEVICE)
+    joined = joined.join(F.broadcast(tables.temporal()), ["day_of_week", "month"], "left")
+    joined = M.join_side(joined, tables.device(), M.BY_DEVICE)
     return joined.select(
         *[F.col(f"`{c}`") for c in sessions.columns],
         "day_of_week", "month", "is_weekend", "day_of_month", "device_country",
@@ -180,14 +177,15 @@ def history(sessions: DataFrame, sessions_all: DataFrame, p: float | None = SAMP
     The metric tables use the whole period; the draw (``p``) then keeps every
     converted session and a repeatable share of the others.  ``for_scoring``
     keeps every session and adds ``fullVisitorId`` and ``visitId``."""
-    traffic = M.traffic(sessions, rate_over_non_null=True).select("source", "bounce_rate")
-    conv = M.conversion(sessions).select(*M.DEVICE_KEYS, "conversion_rate")
+    tables = M.PeriodTables(sessions)
+    traffic = tables.traffic(rate_over_non_null=True).select("source", "bounce_rate")
+    conv = tables.conversion().select(*M.DEVICE_KEYS, "conversion_rate")
 
     s = sessions
     if p is not None and not for_scoring:
         s = s.where(keep_positives(p, seed))
     s = H.with_history(s, sessions_all, start, end)
-    joined = M.join_stored(M.join_stored(s, traffic, M.BY_SOURCE), conv, M.BY_DEVICE)
+    joined = M.join_side(M.join_side(s, traffic, M.BY_SOURCE), conv, M.BY_DEVICE)
     common = _common()
     own = {"bounce_rate", "conversion_rate", "visit_frequency", "total_transaction_value", "visit_date"}
     cols = [(F.col(n) if n in own else common[n]).alias(n) for n in HISTORY]

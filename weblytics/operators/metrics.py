@@ -55,6 +55,62 @@ def users(sessions: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("visit_count")))
 
 
+# key sets of the metric tables: number, columns
+SOURCE_SET, DEVICE_SET, CALENDAR_SET, VISITOR_SET = range(4)
+KEY_SETS = {
+    SOURCE_SET: ("source",),
+    DEVICE_SET: DEVICE_KEYS,
+    CALENDAR_SET: ("day_of_week", "month"),
+    VISITOR_SET: ("fullVisitorId",),
+}
+
+
+class PeriodTables:
+    """All metric tables of a period from one scan of its sessions: one aggregate
+    over the four key sets (``GROUPING SETS``), stored by key set.  Counts are partial in
+    the scan tasks; a reader of one table reads its part only."""
+
+    def __init__(self, sessions: DataFrame):
+        d = session_date("date")
+        keyed = sessions.select(
+            F.col("trafficSource.source").alias("source"), F.col("device.operatingSystem").alias("operating_system"),
+            F.col("device.deviceCategory").alias("device_category"), F.col("device.browser").alias("browser"),
+            weekday_name(d).alias("day_of_week"), F.month(d).cast("long").alias("month"), "fullVisitorId",
+            F.col("totals.bounces").alias("bounces"), is_converted().alias("converted"))
+        keys = [k for names in KEY_SETS.values() for k in names]
+        # a NULL key is a group of its own set; the grouping id tells the sets apart
+        ids = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in names): n
+               for n, names in KEY_SETS.items()}
+        number = F.coalesce(*[F.when(F.grouping_id() == F.lit(i), F.lit(n)) for i, n in ids.items()])
+        grouped = keyed.groupingSets([[F.col(k) for k in names] for names in KEY_SETS.values()], *keys).agg(
+            number.alias("key_set"), F.count(F.lit(1)).alias("n"), F.sum("bounces").alias("bounces"),
+            F.sum("converted").alias("converted"))
+        self.stored = materialise(grouped, "period-metrics", partition_by=("key_set",))
+
+    def _part(self, key_set: int) -> DataFrame:
+        return self.stored.where(F.col("key_set") == key_set)
+
+    def traffic(self, rate_over_non_null: bool = False) -> DataFrame:
+        source = F.col("source")
+        visits = F.when(source.isNull(), F.lit(0).cast("long")).otherwise(F.col("n")) if rate_over_non_null else F.col("n")
+        return (self._part(SOURCE_SET).select("source", visits.alias("total_visits"), F.col("bounces").alias("total_no_of_bounces"))
+                .withColumn("bounce_rate", pct("total_no_of_bounces", "total_visits")))
+
+    def device(self) -> DataFrame:
+        return self._part(DEVICE_SET).select(*DEVICE_KEYS, F.col("n").alias("total_sessions_by_device"))
+
+    def temporal(self) -> DataFrame:
+        return self._part(CALENDAR_SET).select("day_of_week", "month", F.col("n").alias("total_visits_day"))
+
+    def users(self) -> DataFrame:
+        return self._part(VISITOR_SET).select("fullVisitorId", F.col("n").alias("visit_count"))
+
+    def conversion(self) -> DataFrame:
+        return (self._part(DEVICE_SET).select(*DEVICE_KEYS, F.col("n").alias("total_sessions"),
+                                              F.col("converted").alias("total_transactions"))
+                .withColumn("conversion_rate", pct("total_transactions", "total_sessions")))
+
+
 def join_stored(sessions: DataFrame, table: DataFrame, on: dict[str, str]) -> DataFrame:
     """Left join of a metric table; ``on`` maps session columns to its keys.
 
@@ -63,9 +119,14 @@ def join_stored(sessions: DataFrame, table: DataFrame, on: dict[str, str]) -> Da
     joined over two plain shuffles, whose skewed partitions adaptive execution
     splits.  A NULL key part matches nothing; such sessions get a key of their
     own each, so they spread over all tasks."""
-    side = materialise(table, "metric").select(
+    return join_side(sessions, materialise(table, "metric"), on)
+
+
+def join_side(sessions: DataFrame, stored: DataFrame, on: dict[str, str]) -> DataFrame:
+    """``join_stored`` with a table that is stored already."""
+    side = stored.select(
         *[F.col(k).alias(f"_side_{i}") for i, k in enumerate(on.values())],
-        *[c for c in table.columns if c not in on.values()])
+        *[c for c in stored.columns if c not in on.values()])
     for i in range(len(on)):
         side = side.where(F.col(f"_side_{i}").isNotNull())
     first, *rest = on

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import SAMPLE_EXTENDED, SAMPLE_HISTORY
 from ..operators import evaluation, explore, features, history, metrics, reports
 from ..sources import published, versions
+from ..operators.visitor_state import VisitorState
 from ..session import work_dir
 from ..sources.fixture import session_store
 from . import forest, linear, ml, publish
@@ -72,6 +73,7 @@ def queries() -> dict[str, Query]:
 
     # visitor history over all shards, class-balancing sample alone
     q["hist_prior_days"] = lambda spark, sf: history.prior_days(session_store(spark, sf).all())
+    q["hist_day_by_day"] = _day_by_day_query
     q["sample_keep_positives_p10"] = _report(lambda s: features.sampled(s, SAMPLE_EXTENDED), "train")
     q["sample_keep_positives_p05"] = _report(lambda s: features.sampled(s, SAMPLE_HISTORY), "train")
 
@@ -160,6 +162,7 @@ def _main_dataset_query(period: str) -> Query:
     return run
 
 
+LAST_DAYS = 4               # days that the registered daily history enters one by one
 RUN_DATE = "2024-01-31"     # fixed prediction date of the registered publish run
 NEXT_DATE = "2024-02-01"    # and of the run after it
 
@@ -345,6 +348,24 @@ def _append_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(published.read_runs(spark, root), "all runs")
 
 
+def _day_by_day_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visitor history of the last days from daily snapshots: the state starts
+    from all days before, one of the last days arrives late."""
+    store = session_store(spark, sf_dir)
+    days = store.shards()
+    last = days[-LAST_DAYS:]
+    state = VisitorState(spark, f"{work_dir(spark)}/weblytics/visitor-state/{uuid.uuid4().hex}")
+    state.seed(days[-LAST_DAYS - 1], store.between(days[0], days[-LAST_DAYS - 1]))
+    for day in [*last[:1], *last[2:], last[1]]:
+        state.enter(day, store.shard(day))
+    out = None
+    for day in last:
+        rows = state.history(day, store.shard(day)).select(
+            "fullVisitorId", "visitId", "visit_date", "visit_frequency", "total_transaction_value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _history_query(period: str, for_scoring: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return feature_set(session_store(spark, sf_dir), "history", period, for_scoring)

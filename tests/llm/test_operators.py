@@ -54,6 +54,41 @@ def test_quality_thresholds_follow_their_group(spark):
     assert kept[5001]              # few rows: judged by the language's thresholds
 
 
+def test_quality_limits_differ_by_source_and_every_rule_rejects(spark):
+    """Two sources with other habits: each of the four rates has two limits, and a
+    document that is normal in one source is rejected in the other."""
+    import random
+
+    rng = random.Random(1)
+
+    def doc(i, source, length=4, symbols=0, twice=0, lines=0):
+        words = [f"{rng.randrange(16 ** length):0{length}x}" for _ in range(200)]
+        words += words[:3] * twice
+        text = " ".join(words) + " " + "#" * symbols + "\n" + "\n".join([f"l{k}" for k in range(20)] + [f"l{k}" for k in reversed(range(lines))])
+        return (i, text, "en", source)
+
+    rows = [doc(k, "prose", 4 + k % 2, k % 3, k % 2, k % 2) for k in range(300)]
+    rows += [doc(1000 + k, "code", 9 + k % 5, 100 + k % 100, 5 + k % 10, 8 + k % 6) for k in range(300)]
+    odd = {"word_length": dict(length=13), "symbol_rate": dict(symbols=150), "dup_line_rate": dict(lines=10),
+           "repeat_rate": dict(twice=14)}
+    normal = {"prose": dict(length=5), "code": dict(length=11, symbols=150, twice=10, lines=8)}
+    for n, (rate, other) in enumerate(odd.items()):
+        rows.append(doc(5000 + n, "prose", **{**normal["prose"], **other}))
+        rows.append(doc(6000 + n, "code", **{**normal["code"], **other}))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counted = quality.with_counts(df)
+    limits = {r.source: r for r in quality.thresholds(quality.sketches(counted)).collect()}
+    for rate in quality.RATES:
+        assert limits["prose"][f"high_{rate}"] < limits["code"][f"high_{rate}"]
+    found = {r.doc_id: r for r in quality.judge(df).collect()}
+    for n, rate in enumerate(odd):
+        r = found[5000 + n]
+        beyond = [x for x in quality.RATES if r[x] > limits["prose"][f"high_{x}"]]
+        assert not r.base_failed and beyond == [rate] and not r.kept
+        assert found[6000 + n].kept
+    assert sum(not found[k].kept for k in range(300)) <= 3
+
+
 def test_quality_sketch_buckets(spark):
     values = [0, 1, 63, 64, 65, 127, 128, 1000, 99_999, 10 ** 12]
     df = spark.createDataFrame([(v,) for v in values], "v long").withColumn("b", quality.bucket_of(F.col("v")))

@@ -22,16 +22,18 @@ def _grams(width: int) -> str:
 def quality_sql(opt: QualityOptions = QualityOptions()) -> str:
     bucket = "CASE WHEN v < 64 THEN v ELSE 32 * (length(bin(v)) - 6) + (v >> (length(bin(v)) - 6)) END"
     value = "CASE WHEN {b} < 64 THEN {b} ELSE (32 + {b} % 32) << (({b} // 32 - 1)::INT) END"
-    quart = "min(CASE WHEN 4 * up_to >= {q} * n_all THEN b END)"
-    slack = " ".join(f"WHEN '{r}' THEN {opt.slack(r)}" for r in RATES)
+    quant = "min(CASE WHEN 100 * up_to >= {q} * n_all THEN b END)"
     values = ", ".join(f"('{r}', {r})" for r in RATES)
 
+    def of(part: str) -> str:
+        return "CASE rate " + " ".join(f"WHEN '{r}' THEN {int(getattr(opt.rule(r), part))}" for r in RATES) + " END"
+
     def level(name: str, keys: str) -> str:
         by = f"{keys}, " if keys else ""
         return f"""
 {name} AS (
-  SELECT {by}rate, max(n_all) AS n_rows, {value.format(b=quart.format(q=1))} AS q25,
-         {value.format(b=quart.format(q=3))} AS q75
+  SELECT {by}rate, max(n_all) AS n_rows, {value.format(b=quant.format(q=f"({of('base')})"))} AS base,
+         {value.format(b='(' + quant.format(q=f"({of('high')})") + ' + 1)')} - 1 AS high
   FROM (SELECT {by}rate, b, sum(n) OVER (PARTITION BY {by}rate ORDER BY b) AS up_to,
                sum(n) OVER (PARTITION BY {by}rate) AS n_all
         FROM (SELECT {by}rate, b, sum(n)::BIGINT AS n FROM sketch GROUP BY ALL)) GROUP BY ALL)"""
@@ -66,16 +68,16 @@ sketch AS (
 {level('by_source', 'lang, source')},{level('by_lang', 'lang')},{level('overall', '')},
 limits AS (
   SELECT s.lang, s.source, s.rate, lo, hi FROM by_source s, LATERAL (
-    SELECT q25 - {opt.fence} * (q75 - q25) - (CASE s.rate {slack} END) AS lo,
-           q75 + {opt.fence} * (q75 - q25) + (CASE s.rate {slack} END) AS hi
-    FROM (SELECT CASE WHEN s.n_rows >= {opt.min_rows} THEN s.q25 WHEN l.n_rows >= {opt.min_rows} THEN l.q25 ELSE a.q25 END AS q25,
-                 CASE WHEN s.n_rows >= {opt.min_rows} THEN s.q75 WHEN l.n_rows >= {opt.min_rows} THEN l.q75 ELSE a.q75 END AS q75
+    SELECT base - fence * (high - base) - slack AS lo, high + fence * (high - base) + slack AS hi
+    FROM (SELECT CASE WHEN s.n_rows >= {opt.min_rows} THEN s.base WHEN l.n_rows >= {opt.min_rows} THEN l.base ELSE a.base END AS base,
+                 CASE WHEN s.n_rows >= {opt.min_rows} THEN s.high WHEN l.n_rows >= {opt.min_rows} THEN l.high ELSE a.high END AS high,
+                 {of('fence').replace('CASE rate', 'CASE s.rate')} AS fence, {of('slack').replace('CASE rate', 'CASE s.rate')} AS slack
           FROM by_lang l, overall a
           WHERE l.lang IS NOT DISTINCT FROM s.lang AND l.rate = s.rate AND a.rate = s.rate))),
 outside AS (
   SELECT r.doc_id FROM rated r JOIN limits t
     ON r.lang IS NOT DISTINCT FROM t.lang AND r.source IS NOT DISTINCT FROM t.source
-  WHERE CASE t.rate {' '.join(f"WHEN '{r}' THEN r.{r} > hi" + (f" OR r.{r} < lo" if r == 'word_length' else '')
+  WHERE CASE t.rate {' '.join(f"WHEN '{r}' THEN r.{r} > hi" + (f" OR r.{r} < lo" if opt.rule(r).two_sided else '')
                               for r in RATES)} END)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept, {', '.join(RATES)}

@@ -3,9 +3,14 @@ r"""Quality rules with adaptive thresholds.
 Every document gets counts over its whole text; two base rules fail a document
 outright (fewer than 50 words; more than half of its words in repeated 3-word
 windows).  Four rates of the others are judged against their own kind: per
-language and source, a mergeable quantile sketch of each rate gives quartiles,
-and a rate beyond ``q75 + 3 (q75 - q25) + slack`` (for the mean word length
-also below ``q25 - 3 (q75 - q25) - slack``) rejects the document.
+language and source, a mergeable sketch of each rate gives two quantiles, ``base``
+and ``high``, and a rate beyond ``high + fence (high - base) + slack`` (for the
+mean word length also below ``base - fence (high - base) - slack``) rejects the
+document.  Word length takes quartiles.  Symbols take the median and the 80 % point,
+so up to a fifth of a source may be junk without moving its limit.  Repeated lines
+and words, absent from most documents, take the 90 and 99 % points: their spread
+is that of the upper tail, and at most a hundredth of a group lies beyond.  The only
+slack is one symbol in a hundred word characters, for sources without any.
 
 The sketch is a histogram over logarithmic buckets of integers: values below 64
 exactly, larger ones with 32 buckets per power of two (relative error 1/32).
@@ -37,22 +42,32 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATES = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate")
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Quantiles in percent; ``two_sided``: the low end is judged too."""
+
+    base: int
+    high: int
+    fence: int
+    slack: int = 0
+    two_sided: bool = False
+
+
 @dataclass(frozen=True)
 class QualityOptions:
     """Rates are integers: word length in 1/100 characters, the others in
-    1/10000.  ``slack`` is added to the fences of each rate."""
+    1/10000."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    fence: int = 3
     min_rows: int = 100
-    word_length_slack: int = 200
-    symbol_rate_slack: int = 500
-    dup_line_rate_slack: int = 4000
-    repeat_rate_slack: int = 4500
+    word_length: Rule = Rule(25, 75, 5, two_sided=True)
+    symbol_rate: Rule = Rule(50, 80, 3, slack=100)
+    dup_line_rate: Rule = Rule(90, 99, 1)
+    repeat_rate: Rule = Rule(90, 99, 1)
 
-    def slack(self, rate: str) -> int:
-        return getattr(self, f"{rate}_slack")
+    def rule(self, rate: str) -> Rule:
+        return getattr(self, rate)
 
 
 def let(value: Column, body) -> Column:
@@ -136,34 +151,37 @@ def sketches(counted: DataFrame, lang: str = "lang", source: str = "source") ->
 
 def thresholds(sketch: DataFrame, opt: QualityOptions = QualityOptions()) -> DataFrame:
     """``low_*`` and ``high_*`` of every rate per (language, source)."""
-    def quartiles(keys: list[str]) -> DataFrame:
+    def of_rule(part: str) -> Column:
+        return F.element_at(F.create_map(*[x for r in RATES for x in (
+            F.lit(r), F.lit(getattr(opt.rule(r), part)))]), F.col("rate"))
+
+    def fences(keys: list[str]) -> DataFrame:
         merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
         group = Window.partitionBy(*keys, "rate")
         seen = merged.withColumn("up_to", F.sum("n").over(group.orderBy("bucket"))).withColumn(
             "all", F.sum("n").over(group))
 
-        def quantile(quarter: int) -> Column:
-            return F.min(F.when(4 * F.col("up_to") >= quarter * F.col("all"), F.col("bucket")))
+        def quantile(part: str) -> Column:
+            return F.min(F.when(100 * F.col("up_to") >= of_rule(part) * F.col("all"), F.col("bucket")))
 
         out = seen.groupBy(*keys, "rate").agg(
-            quantile(1).alias("b25"), quantile(3).alias("b75"), F.max("all").alias("rows"))
-        q25, q75 = value_of(F.col("b25")), value_of(F.col("b75"))
-        reach = opt.fence * (q75 - q25)
-        slack = F.element_at(F.create_map(*[x for r in RATES for x in (F.lit(r), F.lit(opt.slack(r)))]),
-                             F.col("rate"))
-        named = out.select(*keys, "rate", "rows", (q25 - reach - slack).alias("low"),
-                           (q75 + reach + slack).alias("high"))
+            quantile("base").alias("b_base"), quantile("high").alias("b_high"), F.max("all").alias("rows"))
+        # the ends of the buckets: no value of a quantile's own bucket lies beyond it
+        base, high = value_of(F.col("b_base")), value_of(F.col("b_high") + 1) - 1
+        reach = of_rule("fence") * (high - base) + of_rule("slack")
+        named = out.select(*keys, "rate", "rows", F.when(of_rule("two_sided"), base - reach).alias("low"),
+                           (high + reach).alias("high"))
         return named.groupBy(*keys).agg(
             F.max("rows").alias("rows"),
             *[F.max(F.when(F.col("rate") == r, F.col(side))).alias(f"{side}_{r}")
               for r in RATES for side in ("low", "high")])
 
     sides = [f"{side}_{r}" for r in RATES for side in ("low", "high")]
-    by_source = quartiles(["lang", "source"])
-    by_lang = quartiles(["lang"]).select(F.col("lang").alias("__lang"), F.col("rows").alias("__rows"),
+    by_source = fences(["lang", "source"])
+    by_lang = fences(["lang"]).select(F.col("lang").alias("__lang"), F.col("rows").alias("__rows"),
                                          *[F.col(s).alias(f"__l_{s}") for s in sides])
     # one row: the thresholds of all documents
-    overall = quartiles([]).first()
+    overall = fences([]).first()
     return (by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left")
             .select("lang", "source", *[
                 F.when(F.col("rows") >= opt.min_rows, F.col(s))
@@ -190,9 +208,11 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
                    "quality-thresholds")
     names = {c: f"__t_{c}" for c in limits.columns}
     limits = limits.select(*[F.col(c).alias(n) for c, n in names.items()])
-    inside = F.col("word_length") >= F.col("__t_low_word_length")
+    inside = F.lit(True)
     for r in RATES:
         inside = inside & (F.col(r) <= F.col(f"__t_high_{r}"))
+        if opt.rule(r).two_sided:
+            inside = inside & (F.col(r) >= F.col(f"__t_low_{r}"))
     joined = counted.join(
         limits, F.col(f"`{lang}`").eqNullSafe(F.col("__t_lang"))
         & F.col(f"`{source}`").eqNullSafe(F.col("__t_source")), "left")

@@ -196,6 +196,40 @@ def test_fisher_yates_is_a_fair_shuffle():
 
 # -- 5 repeated passages ------------------------------------------------------------
 
+def test_passages_with_colliding_hashes_are_decided_by_words(spark, edge):
+    """Hashes of few bits: nearly every window is suspected; words decide."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(120)) + (" " + " ".join(f"p{k}" for k in range(40)) if i % 5 == 0 else ""))
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bits in (1, 6):
+        opt = repeated_passages.PassageOptions(hash_bits=bits)
+        got = {r.doc_id: (r.n_words, r.n_removed) for r in repeated_passages.remove(df, opt=opt).collect()}
+        assert got == {i: (160, 40) if i % 5 == 0 else (120, 0) for i in range(40)}
+    few = ordered(repeated_passages.remove(edge, opt=repeated_passages.PassageOptions(hash_bits=4)), ["n_words", "n_removed"])
+    assert few == ordered(repeated_passages.remove(edge), ["n_words", "n_removed"])
+
+
+def test_passages_of_rows_that_repeat_a_thousand_times(spark):
+    """A third of the rows agree in key (none) and text: looked at twice, all judged."""
+    text = " ".join(f"h{k}" for k in range(50)) + " tail"
+    rows = [(None, text, n) for n in range(1000)] + [(i, f"{i} " * 60 + text if i % 9 == 0 else f"t{i}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = repeated_passages.remove(df).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got if r.doc_id is None) == [(51, 51)] * 1000
+    assert sorted(r.n for r in got if r.doc_id is None) == list(range(1000))
+    assert all((r.n_words, r.n_removed) == ((111, 111) if r.doc_id % 9 == 0 else (1, 0)) for r in got if r.doc_id is not None)
+
+
+def test_clean_keeps_columns_with_the_names_of_results(spark):
+    passage = " ".join(f"p{k}" for k in range(40))
+    names = ["n_words", "n_removed", "passages", "kept_text", "__bucket", "__h1", "row", "key", "input", "bucket"]
+    rows = [(i, f"a{i} {passage}", *[f"{n} {i}" for n in names]) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = repeated_passages.clean(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(i, f"a{i}", *r[2:]) for i, r in enumerate(rows)]
+
+
 @pytest.mark.parametrize("opt", [repeated_passages.PassageOptions(),
                                  repeated_passages.PassageOptions(automaton_words=50, bucket_bytes=1000)])
 def test_passages(edge, empty, opt):

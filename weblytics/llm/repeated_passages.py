@@ -409,10 +409,11 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text",
     dealt = whole.withColumn("__bucket", F.pmod("__h1", F.lit(buckets)).cast("int"))
 
     # ids of rows that are there too often for one bucket; none, as a rule
-    hot = store(whole.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > opt.hot_rows)
-                .select("__h1", "__h2"), "hot-rows") if rows and rows > opt.hot_rows else None
+    hot = whole.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > opt.hot_rows).select("__h1", "__h2")
     several = None
-    if hot is not None and hot.head() is not None:
+    if rows and hot.head() is not None:
+        hot = store(hot, "hot-rows")
         several = dealt.join(hot, ["__h1", "__h2"], "left_semi")
         # two of them show that they recur; each task passes on two at most
         order = Window.partitionBy("__h1", "__h2").orderBy(F.lit(1))
@@ -429,7 +430,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shards = max(-(-int(size) // opt.shard_bytes), 2 * shuffle_partitions(spark))
     replies = located(distinct.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"),
                                       "digest", "words", "places"), opt)
-    places = found.select("bucket", "h1", "h2", "start", "digest").join(store(replies, "located"), "digest").select(
+    places = found.select("bucket", "h1", "h2", "start", "digest").join(replies, "digest").select(
         "bucket", "h1", "h2", "start", "windows")
     schema = extended(dealt.select("row", "__h1", "__h2"), MORE)
 

@@ -399,9 +399,10 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """``docs`` plus ``n_words``, ``n_removed``, the removed ``passages`` (word
     positions, stop excluded) and ``kept_text`` (kept words, joined by a space)."""
     spark = docs.sparkSession
-    # the input row travels as one struct, so no column name can clash
+    # the other columns travel as one struct, so no name can clash
     kept = [c for c in docs.columns if c.lower() not in OUTPUT or c == text]
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text}`").alias("text"),
+    others = [F.col(f"`{c}`") for c in kept if c != text] or [F.lit(None).alias("none")]
+    whole = docs.select(F.struct(*others).alias("row"), F.col(f"`{text}`").alias("text"),
                         F.xxhash64(f"`{key}`", f"`{text}`").alias("__h1"), F.xxhash64(f"`{text}`", F.lit(1), f"`{key}`").alias("__h2"))
     total, rows = docs.agg(F.sum(F.octet_length(f"`{text}`")), F.count(F.lit(1))).first()
     buckets = max(-(-int(total or 0) // opt.bucket_bytes), 2 * shuffle_partitions(spark))
@@ -430,9 +431,9 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shards = max(-(-int(size) // opt.shard_bytes), 2 * shuffle_partitions(spark))
     replies = located(distinct.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"),
                                       "digest", "words", "places"), opt)
-    places = found.select("bucket", "h1", "h2", "start", "digest").join(replies, "digest").select(
+    places = found.select("bucket", "h1", "h2", "start", "digest").join(store(replies, "located"), "digest").select(
         "bucket", "h1", "h2", "start", "windows")
-    schema = extended(dealt.select("row", "__h1", "__h2"), MORE)
+    schema = extended(dealt.select("row", "text", "__h1", "__h2"), MORE)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(right):
@@ -442,7 +443,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text",
             mine.setdefault((h1, h2), []).append((start, windows))
         # rows with one key and text have equal stretches: each of them once
         mine = {k: list(set(v)) for k, v in mine.items()}
-        out = right.select(["row", "__h1", "__h2"])
+        out = right.select(["row", "text", "__h1", "__h2"])
         for name, values in _finish(right, mine, "text", opt).items():
             out = out.append_column(name, values)
         return out
@@ -456,9 +457,9 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text",
         done = store(done, "judged")
         more = done.join(hot, ["__h1", "__h2"], "left_semi").groupBy("__h1", "__h2").agg(
             *[F.any_value(c).alias(c) for c in OUTPUT])
-        done = done.join(hot, ["__h1", "__h2"], "left_anti").select("row", *OUTPUT).unionByName(
-            several.select("__h1", "__h2", "row").join(more, ["__h1", "__h2"]).select("row", *OUTPUT))
-    return done.select("row.*", *OUTPUT)
+        done = done.join(hot, ["__h1", "__h2"], "left_anti").select("row", "text", *OUTPUT).unionByName(
+            several.select("__h1", "__h2", "row", "text").join(more, ["__h1", "__h2"]).select("row", "text", *OUTPUT))
+    return done.select(*[(F.col("text") if c == text else F.col(f"row.`{c}`")).alias(c) for c in kept], *OUTPUT)
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -466,7 +467,7 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """``docs`` without repeated passages.  A text that loses nothing stays as it
     is; one that loses words becomes its kept words joined by one space."""
     columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("input"), F.col(f"`{key}`").alias("key"),
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns if c != text]).alias("input"), F.col(f"`{key}`").alias("key"),
                          F.col(f"`{text}`").alias("text"))
     done = remove(packed, "key", "text", opt)
     new = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))

@@ -56,7 +56,7 @@ def repeats_digest(texts, width=35):
     return out
 
 
-def shingles(text, width=4):
+def shingles(text, width=5):
     words = WORD.findall(fold(text))
     if len(words) < width:
         return {tuple(words)} if words else set()

@@ -194,6 +194,79 @@ def test_fisher_yates_is_a_fair_shuffle():
     assert sharding.fisher_yates(0, (1,)).tolist() == [] and sharding.fisher_yates(1, (1,)).tolist() == [0]
 
 
+def test_sharding_spreads_rows_without_id_and_copies(spark):
+    """A third of the rows has no id, a third is one row: no bucket stands out, every
+    row stays, names of inner columns are kept."""
+    rows = [(None, f"text {i} " * 9, "p", "c", 1) for i in range(1300)] + [(None, "same", "p", "c", 2)] * 1300
+    rows += [(i, f"other {i}", "p", "c", 3) for i in range(1300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__pos` string, `row` string, bucket int")
+    packed = sharding.packed_rows(df, hot_rows=100)
+    sizes = [r.n for r in packed.groupBy(sharding.bucket_of(17, 64).alias("b")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3900 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    out = sharding.shard(df, shards=4, hot_rows=100)
+    assert out.columns[:5] == df.columns
+    assert Counter(map(tuple, out.select(*[f"`{c}`" for c in df.columns]).collect())) == Counter(rows)
+    for k in range(4):
+        assert sorted(r.slot for r in out.where(F.col("shard") == k).collect()) == list(range(975))
+
+
+def test_token_files_and_packing_split_rows_without_id(spark):
+    from weblytics.llm.common import in_key_order
+    rows = [(None, f"text {i % 900}") for i in range(1300)] + [(None, "same")] * 1300 + [(i, f"other {i}") for i in range(1300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        placed = store(in_key_order(df, "doc_id", "text").withColumn("part", F.spark_partition_id()), "ordered")
+    finally:
+        spark.conf.set(coalesce, old)
+    sizes = [r["count"] for r in placed.groupBy("part").count().collect()]
+    assert sum(sizes) == 3900 and len(sizes) > 4 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    ids = [r.doc_id for r in in_key_order(df, "doc_id", "text").collect()]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_codes_for_more_than_65536_ids():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    counts = rng.integers(1, 9, 70_000)
+    bits = token_files.code_lengths(counts, token_files.bit_limit(len(counts)))
+    assert bits.max() <= 18 and abs(sum(2.0 ** -int(b) for b in bits) - 1) < 1e-9
+    ids = np.concatenate([np.arange(70_000), rng.integers(0, 70_000, 5000)])
+    sizes = np.array([70_000, 0, 5000])
+    payload = token_files.encode_block(sizes, ids, bits, token_files.canonical_codes(bits), 256)
+    got_sizes, got = token_files.decode_block(payload, *token_files.decode_table(bits))
+    assert got.tolist() == ids.tolist() and got_sizes.tolist() == sizes.tolist()
+
+
+def test_samples_have_a_hard_bound(spark):
+    rows = [(None, f"text of {i} words", "en" if i % 3 else "de") for i in range(3000)]
+    rows += [(None, "one text", "en")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for seed in (1, 3, 5):
+        found = language_id.sample_features(df, "doc_id", "text", "lang", language_id.LanguageOptions(max_rows=300, seed=seed))
+        assert 200 < len(found) <= 300 and {r[0] for r in found} == {"de", "en"}
+    labels = spark.createDataFrame([(7, 0)] * 50 + [(8, 1)] * 50, "doc_id long, toxic int")
+    docs = spark.createDataFrame([(7 + i % 2, f"text {i}") for i in range(2000)] + [(8, "text")] * 500, "doc_id long, text string")
+    chosen, share = toxicity.sample_features(docs, labels, "doc_id", "text", "toxic", toxicity.ToxicityOptions(max_rows=100))
+    assert 60 < len(chosen) <= 100 and 0.5 < share < 0.7
+
+
+def test_decontamination_keeps_columns_with_inner_names(spark):
+    benchmark = spark.createDataFrame([("i", " ".join(f"b{k}" for k in range(12)))], "item_id string, text string")
+    names = ["__key", "__hit", "__all", "key", "row", "hit", "words", "n_hit"]
+    rows = [(i, f"a{i} " + (" ".join(f"b{k}" for k in range(12)) if i == 1 else "z"), *[f"{n} {i}" for n in names]) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = decontamination.clean(df, benchmark)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+    cut = decontamination.clean(df, benchmark, remove="spans")
+    assert cut.columns == df.columns
+    assert sorted(map(tuple, cut.collect())) == [rows[0], (1, "a1", *rows[1][2:]), rows[2]]
+    found = decontamination.find(df, benchmark).collect()
+    assert sorted((r.doc_id, r.n_hit, r.row) for r in found) == [(0, 0, "row 0"), (1, 12, "row 1"), (2, 0, "row 2")]
+
+
 # -- 5 repeated passages ------------------------------------------------------------
 
 def test_passages_with_colliding_hashes_are_decided_by_words(spark, edge):

@@ -58,6 +58,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_key_order(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, text) over range partitions in key order; rows with one key (or none)
+    stand in the order of their texts' first 64 characters, then of a hash.  The
+    ranges split such rows by those, and rows with equal texts by a draw (they are
+    interchangeable)."""
+    order = ["doc_id", "__start", "__h"]
+    return (docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+            .withColumns({"__start": F.substring("text", 1, 64), "__h": F.xxhash64("text"), "__salt": F.rand(17)})
+            .repartitionByRange(*order, "__salt").sortWithinPartitions(*order).select("doc_id", "text"))
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -120,15 +120,14 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                  .select("key", F.size(positions(F.col("spans"))).cast("long").alias("__n_hit"),
                          F.array_sort("items").alias("__items")), "benchmark-hits")
     whole = F.col(f"`{text}`")
-    keyed = (drop_names(docs, OUTPUT)
-             .withColumn("__key", text_key(whole))
-             .withColumn("n_words", F.size(folded_words(whole)).cast("long"))
-             .drop(whole))
-    return (keyed.join(hits.withColumnRenamed("key", "__key"), "__key", "left")
-            .withColumn("n_hit", F.coalesce("__n_hit", F.lit(0)).cast("long"))
-            .withColumn("items", F.coalesce("__items", F.array().cast("array<string>")))
-            .withColumn("contaminated", F.col("n_hit") > 0)
-            .drop("__key", "__n_hit", "__items"))
+    # the other columns travel as one struct, so no name can clash
+    others = [c for c in drop_names(docs, OUTPUT).columns if c != text]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), text_key(whole).alias("key"),
+                        F.size(folded_words(whole)).cast("long").alias("n_words"))
+    n_hit = F.coalesce("__n_hit", F.lit(0)).cast("long")
+    return keyed.join(hits, "key", "left").select(
+        *[F.col(f"row.`{c}`").alias(c) for c in others], "n_words", n_hit.alias("n_hit"),
+        F.coalesce("__items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text",
@@ -139,17 +138,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text
     if remove not in ("documents", "spans"):
         raise ValueError(remove)
     windows = store(item_windows(benchmark, item, "text", window), "benchmark-windows")
-    hits = store(document_hits(docs, windows, text).select(
-        F.col("key").alias("__key"), positions(F.col("spans")).alias("__hit")), "benchmark-hits")
-    whole = F.col(f"`{text}`")
-    keyed = docs.withColumn("__key", text_key(whole))
+    hits = store(document_hits(docs, windows, text).select("key", positions(F.col("spans")).alias("hit")), "benchmark-hits")
+    # the input row travels as one struct, so no name can clash
+    columns = docs.columns
+    others = [F.col(f"`{c}`") for c in columns if c != text] or [F.lit(None).alias("none")]
+    keyed = docs.select(F.struct(*others).alias("row"), F.col(f"`{text}`").alias("text")).withColumn(
+        "key", text_key(F.col("text")))
     if remove == "documents":
-        return keyed.join(hits.select("__key"), "__key", "left_anti").drop("__key")
-    words = folded_words(whole)
-    left = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(words) - 1), F.col("__hit")),
-        lambda i: F.get(F.col("__all"), i))
-    joined = keyed.join(hits, "__key", "left").withColumn(
-        "__all", F.when(F.col("__hit").isNotNull(), words))
-    return joined.withColumn(text, F.when(F.col("__hit").isNull(), whole).otherwise(
-        F.array_join(left, " "))).drop("__key", "__hit", "__all").select(*[F.col(f"`{c}`") for c in docs.columns])
+        left = keyed.join(hits.select("key"), "key", "left_anti")
+    else:
+        words = F.when(F.col("hit").isNotNull(), folded_words(F.col("text")))
+        remaining = F.transform(
+            F.array_except(F.sequence(F.lit(0), F.size("words") - 1), F.col("hit")), lambda i: F.get(F.col("words"), i))
+        left = keyed.join(hits, "key", "left").withColumn("words", words).withColumn(
+            "text", F.when(F.col("hit").isNull(), F.col("text")).otherwise(F.array_join(remaining, " ")))
+    return left.select(*[(F.col("text") if c == text else F.col(f"row.`{c}`")).alias(c) for c in columns])

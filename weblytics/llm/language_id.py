@@ -146,8 +146,8 @@ class LanguageModel:
 
 
 def sample_features(docs: DataFrame, key: str, text: str, lang: str, opt: LanguageOptions) -> list:
-    """Sampled labelled rows as (language, buckets, weights), at most a row per
-    sampled document and a bucket per entry; ``max_rows`` rows are expected."""
+    """Sampled labelled rows as (language, buckets, weights): ``max_rows`` at most, about
+    as many of each language, drawn by a hash of key and text."""
     eligible = docs.filter(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     # one row per language
     counts = {r[0]: r[1] for r in eligible.groupBy(F.col(f"`{lang}`")).count().collect()}
@@ -156,9 +156,11 @@ def sample_features(docs: DataFrame, key: str, text: str, lang: str, opt: Langua
     share = opt.max_rows / len(counts)
     limit = F.coalesce(*[F.when(F.col(f"`{lang}`") == name, F.lit(min(1.0, share / n)))
                          for name, n in sorted(counts.items())])
-    draw = F.pmod(F.xxhash64(F.lit(opt.seed), F.col(f"`{key}`")), F.lit(1 << 30)) / float(1 << 30)
-    sample = eligible.filter(draw < limit).select(
-        draw.alias("draw"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
+    draw = F.pmod(F.xxhash64(F.lit(opt.seed), F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(1 << 30)) / float(1 << 30)
+    # a language's draws relative to its limit: the cut treats all languages alike
+    sample = (eligible.filter(draw < limit).select(
+        (draw / limit).alias("draw"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
+        .orderBy("draw", "lang", F.xxhash64("text")).limit(opt.max_rows))
 
     def run(batches):
         for batch in batches:

@@ -52,7 +52,7 @@ BAND = 4  # registers of 16 bits: a band is one 64-bit word
 
 @dataclass(frozen=True)
 class NearOptions:
-    width: int = 4
+    width: int = 5
     percent: int = 80
     #: a unit's block: so many classes and shingles at most (one class at least)
     block_classes: int = 1024

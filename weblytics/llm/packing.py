@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblytics.llm.common import map_arrow
+from weblytics.llm.common import in_key_order, map_arrow
 from weblytics.llm.hashing import batches_of, text_buffer
 from weblytics.llm.tokens import encoder, sentence_ends, tokenizer_path
 
@@ -217,7 +217,5 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         if stream.size:
             yield from out(True)
 
-    ordered = (docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-               .repartitionByRange("doc_id")
-               .sortWithinPartitions("doc_id", "text"))
+    ordered = in_key_order(docs, key, text)
     return map_arrow(ordered, run, SCHEMA)

@@ -21,7 +21,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.find(table(spark, sf_dir, "documents"))
+    return near_duplicates.find(table(spark, sf_dir, "documents"), opt=near_duplicates.NearOptions(width=4))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

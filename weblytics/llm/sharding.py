@@ -1,17 +1,19 @@
 """Two-pass external shuffle of documents into shards.
 
 Pass 1 scatters the records uniformly into memory-sized buckets by a seeded
-hash of the key; the scatter is one Spark exchange.  Pass 2 loads one bucket
-at a time, puts it into key order (so a repeated task sees the same input),
-shuffles it with Fisher-Yates from a generator seeded by (seed, bucket) and
-writes it.  A bucket's first position is the number of rows in the buckets
+hash of the whole row and its copy number; the scatter is one Spark exchange.  Rows
+without a key, or with one key, spread like any others; rows that agree in every
+column more than ``hot_rows`` times are counted and made anew with copy numbers,
+so they spread too.  Pass 2 loads one bucket at a time, puts it into the order of
+the rows' hashes (so a repeated task sees the same input), shuffles it with
+Fisher-Yates from a generator seeded by (seed, bucket) and writes it.  A bucket's first position is the number of rows in the buckets
 before it; shard ``s`` takes the positions ``floor(s N / S)`` up to
 ``floor((s + 1) N / S)``, so shard sizes differ by one row at most.
 
-Edge cases: a NULL key is hashed like any other value and sorts first; rows
-that repeat a key share a bucket and keep their number; NULL texts are kept as
-NULL and count as one byte; an empty table gives no rows.  An input column
-named like an output column is replaced.
+Edge cases: a NULL key is a value like any other; repeated rows keep their number;
+NULL texts are kept as NULL and count as one byte; an empty table gives no
+rows.  An input column named like an output column is replaced, all others are
+kept.  Maps are not part of a row's hash; tables with maps get no copy numbers.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from weblytics.llm.common import drop_names, extended, group_arrow, shuffle_partitions, store
 
 OUTPUT = ("shard", "slot")
-_INTERNAL = ("__bucket", "__order", "__pos")
+HOT_ROWS = 1000
 
 
 def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
@@ -39,24 +41,41 @@ def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
     return np.asarray(order, dtype=np.int64)
 
 
-def shuffled_buckets(docs: DataFrame, key: str, seed: int, buckets: int) -> DataFrame:
-    """``docs`` with ``__bucket`` and ``__pos``, the row's place in its bucket."""
-    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    scattered = (drop_names(docs, _INTERNAL)
-                 .withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")),
-                                                F.lit(buckets)).cast("long"))
-                 .withColumn("__order", F.xxhash64(*[F.col(f"`{c}`") for c in plain])))
+def packed_rows(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(row, order, copy): each row as one struct, a hash of it, and a number that
+    tells copies of a very frequent row apart (0 for all others)."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.xxhash64(*plain)
+    rows = docs.select(F.struct(*columns).alias("row"), order.alias("order"), F.lit(0).cast("long").alias("copy"))
+    if len(plain) < len(columns):
+        return rows
+    frequent = docs.groupBy(order.alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("hot")
+    if frequent.head() is None:
+        return rows
+    frequent = store(frequent, "hot-rows")
+    counted = (rows.join(frequent, F.col("order") == F.col("hot"), "left_semi").groupBy("row", "order")
+               .agg(F.count(F.lit(1)).alias("n")))
+    copies = counted.select("row", "order", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    return rows.join(frequent, F.col("order") == F.col("hot"), "left_anti").unionByName(copies)
+
+
+def bucket_of(seed: int, buckets: int):
+    return F.pmod(F.xxhash64(F.lit(seed), "order", "copy"), F.lit(buckets)).cast("long")
+
+
+def shuffled_buckets(rows: DataFrame, seed: int, buckets: int) -> DataFrame:
+    """(row, bucket, pos): packed rows with their place in their bucket."""
+    scattered = rows.withColumn("bucket", bucket_of(seed, buckets))
 
     def shuffle(bucket: pa.Table) -> pa.Table:
-        number = bucket.column("__bucket")[0].as_py()
-        ordered = bucket.take(pc.sort_indices(
-            bucket, sort_keys=[(key, "ascending"), ("__order", "ascending")]))
+        number = bucket.column("bucket")[0].as_py()
+        # rows with one hash and copy number are equal
+        ordered = bucket.take(pc.sort_indices(bucket, sort_keys=[("order", "ascending"), ("copy", "ascending")]))
         mixed = ordered.take(pa.array(fisher_yates(len(ordered), (seed, number))))
-        return (mixed.drop_columns(["__order"])
-                .append_column("__pos", pa.array(np.arange(len(mixed)), pa.int64())))
+        return mixed.select(["row", "bucket"]).append_column("pos", pa.array(np.arange(len(mixed)), pa.int64()))
 
-    return group_arrow(scattered, "__bucket",
-                       shuffle, extended(scattered.drop("__order"), "__pos long"))
+    return group_arrow(scattered, "bucket", shuffle, extended(scattered.select("row", "bucket"), "pos long"))
 
 
 def bucket_count(docs: DataFrame, text: str, bucket_bytes: int) -> int:
@@ -67,24 +86,21 @@ def bucket_count(docs: DataFrame, text: str, bucket_bytes: int) -> int:
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 17, key: str = "doc_id",
-          text: str = "text", bucket_bytes: int = 16 << 20) -> DataFrame:
-    """Write ``docs`` into ``shards`` shuffled shards (Parquet, one folder per
-    shard, rows in slot order) in the shared work folder; returns the table
-    read back: the input columns, ``shard`` and ``slot`` (gapless from 0)."""
+          text: str = "text", bucket_bytes: int = 16 << 20, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Write ``docs`` into ``shards`` shuffled shards (Parquet, one folder per shard,
+    several files each, every file in slot order) in the shared work folder; returns
+    the table read back: the input columns, ``shard`` and ``slot`` (gapless from 0)."""
     docs = drop_names(docs, OUTPUT)
     buckets = bucket_count(docs, text, bucket_bytes)
-    mixed = shuffled_buckets(docs, key, seed, buckets)
-    number = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.lit(buckets)).cast("long")
-    counts = docs.groupBy(number.alias("__bucket")).agg(F.count(F.lit(1)).alias("__rows"))
+    packed = packed_rows(docs, hot_rows)
+    mixed = shuffled_buckets(packed, seed, buckets)
+    counts = packed.groupBy(bucket_of(seed, buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     # one row per bucket, so the running total is over a bounded table
-    up_to = Window.orderBy("__bucket")
-    offsets = store(counts.select(
-        "__bucket", (F.sum("__rows").over(up_to) - F.col("__rows")).alias("__before")), "buckets")
+    up_to = Window.orderBy("bucket")
+    offsets = store(counts.select("bucket", (F.sum("n").over(up_to) - F.col("n")).alias("before")), "buckets")
     rows = docs.count()
-    placed = (mixed.join(offsets, "__bucket")
-              .withColumn("__p", F.col("__before") + F.col("__pos"))
-              .withColumn("shard", F.expr(f"int(((__p + 1) * {shards} - 1) div {max(rows, 1)})"))
-              .withColumn("slot", F.expr(f"__p - (shard * bigint({rows})) div {shards}"))
-              .drop("__p", "__before", "__bucket", "__pos")
-              .sortWithinPartitions("shard", "slot"))
-    return store(placed, "shards", partition_by=["shard"])
+    place = (F.col("before") + F.col("pos")).alias("place")
+    placed = (mixed.join(offsets, "bucket").select("row", place)
+              .withColumn("shard", F.expr(f"int(((place + 1) * {shards} - 1) div {max(rows, 1)})"))
+              .select("row.*", "shard", F.expr(f"place - (shard * bigint({rows})) div {shards}").alias("slot")))
+    return store(placed.sortWithinPartitions("shard", "slot"), "shards", partition_by=["shard"])

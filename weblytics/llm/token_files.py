@@ -8,14 +8,16 @@
    ``magic, documents, tokens, checkpoint distance, payload bytes`` followed by
    the documents' token counts (u32), the bit offset of every
    ``checkpoint``-th token (u64) and the bits (most significant first).
-4. Decoding looks 16 bits up in a table (id, length); all checkpoints of a
-   block are decoded side by side.
+4. Decoding looks the next bits up in a table (id, length); all checkpoints of a
+   block are decoded side by side.  Codes have at most 16 bits, or as many as the
+   number of used ids needs, and the table covers the longest.
 
 Files are Parquet rows ``(part, block, doc_ids, payload)`` plus one code table
 of ``(id, bits)`` in the shared work folder.
 
 Edge cases: a NULL text is an empty document (its end id only); rows that
-repeat a key are kept, in text order; NULL keys come first; an empty table
+repeat a key are kept, in the order of their texts' first 64 characters,
+then of a hash; NULL keys come first; an empty table
 gives no blocks and an empty code.  Columns other than key and text are not
 read.
 """
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weblytics.llm.common import map_arrow, store
+from weblytics.llm.common import in_key_order, map_arrow, store
 from weblytics.llm.hashing import batches_of, text_buffer
 from weblytics.llm.tokens import encoder, load, tokenizer_path
 
@@ -49,6 +51,12 @@ class FileOptions:
 
 # -- code ---------------------------------------------------------------------
 
+def bit_limit(n_used: int) -> int:
+    """Longest code for a number of used ids: one bit to spare beyond ``MAX_BITS``."""
+    need = max(n_used - 1, 1).bit_length()
+    return MAX_BITS if need <= MAX_BITS else need + 1
+
+
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     """Bits per symbol (0: unused) of an optimal prefix code with at most
     ``limit`` bits, by package-merge."""
@@ -103,12 +111,14 @@ def canonical_codes(bits: np.ndarray) -> np.ndarray:
 
 
 def decode_table(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id, length) for every value of the next MAX_BITS bits."""
-    ids = np.zeros(1 << MAX_BITS, dtype=np.uint32)
-    sizes = np.zeros(1 << MAX_BITS, dtype=np.int64)
+    """(id, length) for every value of as many bits as the longest code has, MAX_BITS
+    at least."""
+    limit = max(MAX_BITS, int(bits.max(initial=0)))
+    ids = np.zeros(1 << limit, dtype=np.uint32)
+    sizes = np.zeros(1 << limit, dtype=np.int64)
     order = np.lexsort((np.arange(len(bits)), bits))
     order = order[bits[order] > 0]
-    spans = np.left_shift(1, MAX_BITS - bits[order].astype(np.int64))
+    spans = np.left_shift(1, limit - bits[order].astype(np.int64))
     n = int(spans.sum())
     ids[:n] = np.repeat(order, spans)
     sizes[:n] = np.repeat(bits[order].astype(np.int64), spans)
@@ -121,14 +131,15 @@ def encode_block(doc_sizes: np.ndarray, ids: np.ndarray, bits: np.ndarray, codes
     ends = np.cumsum(sizes)
     starts = ends - sizes
     total = int(ends[-1]) if len(ids) else 0
-    # a code of up to 16 bits lies in three bytes
-    place = (codes[ids].astype(np.uint32) << (24 - sizes - (starts & 7)).astype(np.uint32))
+    # a code of up to 25 bits lies in four bytes
+    place = (codes[ids].astype(np.uint32) << (32 - sizes - (starts & 7)).astype(np.uint32))
     at = starts >> 3
     n = (total + 7) // 8
-    out = np.zeros(n + 3)
-    for k, shift in enumerate((16, 8, 0)):
+    out = np.zeros(n + 4)
+    wide = int(sizes.max(initial=0)) > 17       # else the fourth byte is empty
+    for k, shift in enumerate((24, 16, 8, 0) if wide else (24, 16, 8)):
         out[:] += np.bincount(at + k, weights=((place >> np.uint32(shift)) & np.uint32(255)),
-                              minlength=n + 3)
+                              minlength=n + 4)
     head = struct.pack(HEADER, MAGIC, len(doc_sizes), len(ids), checkpoint, n)
     return b"".join([head, doc_sizes.astype("<u4").tobytes(),
                      starts[::checkpoint].astype("<u8").tobytes(),
@@ -146,16 +157,18 @@ def decode_block(payload: bytes, ids_of: np.ndarray, bits_of: np.ndarray) -> tup
     lanes = -(-n_tokens // checkpoint)
     bit = np.frombuffer(payload, "<u8", lanes, at).astype(np.int64)
     at += 8 * lanes
-    raw = np.zeros(n_bytes + 3, dtype=np.uint32)
+    raw = np.zeros(n_bytes + 4, dtype=np.uint32)
     raw[:n_bytes] = np.frombuffer(payload, np.uint8, n_bytes, at)
-    window = (raw[:-2] << np.uint32(16)) | (raw[1:-1] << np.uint32(8)) | raw[2:]
+    window = (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
+    limit = len(ids_of).bit_length() - 1
+    low = np.uint32((1 << limit) - 1)
     out = np.zeros((checkpoint, lanes), dtype=np.uint32)
     short = n_tokens - (lanes - 1) * checkpoint if lanes else 0
     for step in range(min(checkpoint, n_tokens)):
         if step == short:
             bit = bit[:-1]
         byte = bit >> 3
-        seen = (window[byte] >> (8 - (bit & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
+        seen = (window[byte] >> (32 - limit - (bit & 7)).astype(np.uint32)) & low
         out[step, :len(bit)] = ids_of[seen]
         bit = bit + bits_of[seen]
     return doc_sizes, out.T.reshape(-1)[:n_tokens]
@@ -198,9 +211,7 @@ def token_blocks(docs: DataFrame, key: str, text: str, path: str, opt: FileOptio
         if keys:
             yield out()
 
-    ordered = (docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-               .repartitionByRange("doc_id")
-               .sortWithinPartitions("doc_id", "text"))
+    ordered = in_key_order(docs, key, text)
     return map_arrow(ordered, run, "part long, block long, doc_ids array<bigint>, sizes binary, ids binary")
 
 
@@ -237,7 +248,7 @@ def write_files(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     counts = np.zeros(max([r["id"] for r in counted], default=-1) + 1, dtype=np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
-    bits = code_lengths(counts)
+    bits = code_lengths(counts, bit_limit(len(counted)))
     codes = canonical_codes(bits)
     used = np.flatnonzero(bits)
     code = store(spark.createDataFrame([(int(i), int(bits[i])) for i in used], "id long, bits int")

@@ -86,22 +86,29 @@ class ToxicityModel:
 def sample_features(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, opt: ToxicityOptions):
     """(sampled rows as (label, buckets), share of label 1 among all rows).
 
-    Keys and labels are joined and drawn first, without the texts; only the
-    drawn keys, about ``max_rows``, then meet the documents."""
-    ids = docs.select(F.col(f"`{key}`").alias("__id"))
+    Keys and labels are joined and drawn first, without the texts but with their
+    hashes; the rows drawn, ``max_rows`` at most, then meet the documents."""
+    ids = docs.select(F.col(f"`{key}`").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__text"))
     right = labels.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{label}`").cast("int").alias("label"))
-    eligible = ids.join(right.filter(F.col("label").isin(0, 1)), F.col("__id") == F.col("__key"))
+    # a label that is there several times counts once
+    right = right.filter(F.col("label").isin(0, 1)).distinct()
+    eligible = ids.join(right, F.col("__id") == F.col("__key"))
     counts = {r[0]: r[1] for r in eligible.groupBy("label").count().collect()}
     if not counts:
         return [], 0.5
     limit = F.when(F.col("label") == 1, F.lit(min(1.0, opt.max_rows / 2 / counts.get(1, 1)))).otherwise(
         F.lit(min(1.0, opt.max_rows / 2 / counts.get(0, 1))))
-    draw = F.pmod(F.xxhash64(F.lit(opt.seed), "__id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = store(eligible.filter(draw < limit).select("__id", "label", draw.alias("draw")).distinct(), "labelled-sample")
-    if chosen.count() <= 2 * opt.max_rows:
-        chosen = F.broadcast(chosen)
-    sample = (docs.select(F.col(f"`{key}`").alias("__doc"), F.col(f"`{text}`").alias("text"))
-              .join(chosen, F.col("__doc") == F.col("__id")).select("draw", "label", "text"))
+    draw = F.pmod(F.xxhash64(F.lit(opt.seed), "__id", "__text"), F.lit(1 << 30)) / float(1 << 30)
+    # rows that agree in all of this are one row of the sample, with their number
+    chosen = store(eligible.filter(draw < limit).groupBy("__id", "__text", "label", (draw / limit).alias("draw"))
+                   .agg(F.count(F.lit(1)).alias("n")).orderBy("draw", "label", "__id", "__text").limit(opt.max_rows),
+                   "labelled-sample")
+    # at most max_rows rows
+    sample = (docs.select(F.col(f"`{key}`").alias("__doc"), F.xxhash64(F.col(f"`{text}`")).alias("__hash"),
+                          F.col(f"`{text}`").alias("text"))
+              .join(F.broadcast(chosen), (F.col("__doc") == F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__text")))
+              .select("draw", "label", "text", "__id", "__text").dropDuplicates(["draw", "label", "__id", "__text"])
+              .select("draw", "label", "text"))
 
     def run(batches):
         for batch in batches:

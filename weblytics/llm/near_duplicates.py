@@ -1,6 +1,6 @@
 r"""Near-duplicate documents by HyperMinHash.
 
-1. A document is the set of its distinct 4-word shingles (64-bit hashes;
+1. A document is the set of its distinct 5-word shingles (``width``; 64-bit hashes;
    A-Z folded, words are runs of ``[^\x20\x09-\x0D]``).  Every shingle falls
    into one of 128 buckets; a bucket keeps its smallest hash as a 16-bit
    register: the leading-zero count and the next 10 bits (the mantissa).

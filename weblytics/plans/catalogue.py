@@ -202,7 +202,7 @@ def _folds_query(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _fit_rows(spark, sf_dir, name)
         shares = ml.fold_shares(rows, [c for c in rows.columns if c in features.CATEGORICAL])
-        return shares.withColumn("share", F.round("share", 9))
+        return shares.withColumns({"share": F.round("share", 9), "fold": F.col("fold").cast("long")})
     return run
 
 

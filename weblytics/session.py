@@ -72,13 +72,13 @@ def work_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
-    app = app_id(spark)
     if not path and sc is not None:
         path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         # a running session cannot take that setting: the folder is remembered here
+        app = app_id(spark)
         if app not in _PRIVATE:
             _PRIVATE[app] = tempfile.mkdtemp(prefix="weblytics-ckpt-")
         path = _PRIVATE[app]

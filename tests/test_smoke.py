@@ -20,7 +20,7 @@ def test_model_queries_run(spark, name):
 
 
 def test_every_query_is_registered_once_and_builds(spark):
-    assert len(NAMES) == len(set(NAMES)) == 66
+    assert len(NAMES) == len(set(NAMES)) == 84
     for name in NAMES:
         if name.startswith(("ml_", "pub_")):
             continue

@@ -344,6 +344,66 @@ def test_licences(spark, empty):
     assert licences.scan(empty).count() == 0
 
 
+def plain_labels(text, opt=licences.LicenceOptions()):
+    """Base labels, and every template whose words stand in order, by share, in some
+    stretch of the text of its length plus the drift; mandatory phrases likewise."""
+    import re
+
+    def words(t):
+        t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for w in x:
+            last = 0
+            for j, v in enumerate(y, 1):
+                last, row[j] = row[j], last + 1 if w == v else max(row[j], row[j - 1])
+        return row[-1]
+
+    own, out = words(text), set(filter(None, brute.licences(text)["base_labels"].split(",")))
+    for label, template, keys in licences.TEMPLATES:
+        t = words(template)
+        for s in range(len(own)):
+            part = own[s:s + len(t) + opt.drift]
+            if own[s] in t and common(part, t) >= opt.share * len(t) and all(any(
+                    common(part[k:k + len(words(key)) + 2], words(key)) == len(words(key)) for k in range(len(part)))
+                    for key in keys):
+                out.add(label)
+                break
+    return ",".join(sorted(out))
+
+
+def test_licences_with_words_put_in_left_out_or_before_each_line(spark):
+    def changed(words, how):
+        half = len(words) // 2
+        return {"same": words, "put in": [*words[:half], "Inc", *words[half:]], "left out": words[:-6] + words[-5:],
+                "lines": [w for k, w in enumerate(words) for w in (["dnl", w] if k % 9 == 0 else [w])],
+                "other": [w if k % 2 else f"x{k}" for k, w in enumerate(words)]}[how]
+
+    long = [(label, t) for label, t, _ in licences.TEMPLATES if len(t.split()) > 18]
+    rows, sure = [], []
+    for n, (label, t) in enumerate(long):
+        for how in ("same", "put in", "left out", "lines", "other"):
+            rows.append((len(rows), "intro " * (n % 3) + " ".join(changed(t.split(), how)) + " and then code", how, label))
+    gpl = next(t for label, t in long if label == "gpl-3.0+")
+    rows.append((len(rows), gpl.replace("Foundation,", "Foundation, Inc.,"), "Inc.", "gpl-3.0+"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, how string, label string")
+    for r in licences.scan(df).collect():
+        assert r.labels == plain_labels(r.text), (r.how, r.label)
+        assert r.how == "other" or r.label in r.labels.split(","), (r.how, r.label)
+        assert r.how != "other" or r.label not in r.labels.split(",")
+
+
+def test_licences_of_the_edge_table(spark, edge):
+    got = licences.scan(edge)
+    assert got.columns[:3] == ["doc_id", "text", "lang"] and got.count() == len(ROWS)
+    for r in got.collect():
+        assert (r.base_labels, r.labels, r.score) == ("", "", 0.0)
+    twice = spark.createDataFrame([(None, "the MIT License")] * 3 + [(4, None)], "doc_id long, text string")
+    assert [r.labels for r in licences.scan(twice).orderBy(F.col("doc_id").asc_nulls_first()).collect()] == ["mit"] * 3 + [""]
+
+
 def test_licence_query_equals_plain_python(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries()["op6_licence_scan"](spark, SF).collect():

@@ -6,11 +6,13 @@ Texts are folded (A-Z to lower case) and cut into words, runs of
 * Base phrases: every place where a phrase's words stand consecutively.
 * Templates: each licence notice is indexed by its ``index_words`` words of
   highest inverse document frequency in the corpus (document frequencies are
-  counted over all documents).  A file's occurrences of indexed words look up
-  postings (template, position); postings that agree on ``file position -
-  template position`` vote for an alignment.  An alignment with enough votes is
-  compared word by word and must contain the template's mandatory phrases;
-  its share of matching words is the match's score.
+  counted over all documents).  Of these a file looks up, per template, the
+  ``file_words`` rarest that it has; postings (template, position) vote for the
+  alignment ``file position - template position``.  Neighbouring alignments (words put
+  in, left out, or before each line) are one cluster.  One with enough votes is
+  compared word by word at its alignments, else as words in order over its whole
+  stretch, and must contain the template's mandatory phrases (in order, with two
+  other words between at most); its share of matching words is the match's score.
 
 Results per document: words, base places, labels of both kinds, verified
 matches (label, first word, share), and the best share as score.
@@ -86,11 +88,18 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class LicenceOptions:
-    index_words: int = 8
-    #: share of a template's indexed positions that must agree on an alignment
+    #: rarest words of a template that are indexed
+    index_words: int = 16
+    #: of these, a file's own rarest that vote
+    file_words: int = 8
+    #: share of a file's voting words that must agree on an alignment
     votes: float = 0.5
-    #: share of its words that must match there
+    #: share of the template's words that must match there, in order
     share: float = 0.75
+    #: neighbouring alignments up to so many words apart are one, ...
+    step: int = 3
+    #: ... up to so many words in all (words that were put in or left out)
+    drift: int = 24
 
 
 def _words(text: str):
@@ -142,6 +151,25 @@ def document_frequencies(docs: DataFrame, text: str, templates=TEMPLATES) -> tup
     return {int(h): counts.get(i, 0) for i, h in enumerate(lookup.sorted)}, counts.get(-1, 0)
 
 
+def in_order(words: np.ndarray, template: np.ndarray) -> int:
+    """Length of the longest common subsequence."""
+    best = np.zeros(len(words) + 1, dtype=np.int64)
+    for w in template:
+        # a match extends what stands before it; the rest keeps its maximum
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(words == w, best[:-1] + 1, 0)))
+    return int(best[-1])
+
+
+def _contains_near(words: np.ndarray, phrase: np.ndarray, loose: int = 2) -> bool:
+    """Whether the phrase's words stand in order with at most ``loose`` others between."""
+    if _contains(words, phrase):
+        return True
+    for start in np.flatnonzero(words == phrase[0]).tolist():
+        if in_order(words[start:start + len(phrase) + loose], phrase) == len(phrase):
+            return True
+    return False
+
+
 class LicenceIndex:
     """Positional postings of the templates' rarest words."""
 
@@ -153,16 +181,18 @@ class LicenceIndex:
         self.keys = [[_words(k) for k in keys] for _, _, keys in templates]
         self.phrases = [(_words(p), label) for p, label in phrases.items()]
         postings: dict[int, list[tuple[int, int]]] = {}
-        self.needed = []
         for t, words in enumerate(self.words):
             distinct = sorted({int(w) for w in words}, key=lambda w: (frequency.get(w, 0), w))
             chosen = set(distinct[:opt.index_words])
             places = [q for q, w in enumerate(words.tolist()) if w in chosen]
             for q in places:
                 postings.setdefault(int(words[q]), []).append((t, q))
-            self.needed.append(max(1, int(np.ceil(opt.votes * len(places)))))
         self.indexed = _Lookup(np.array(sorted(postings), dtype=np.uint64))
         self.postings = [postings[int(h)] for h in self.indexed.sorted]
+        # 0 is the rarest word of the corpus
+        rank = sorted(postings, key=lambda w: (frequency.get(w, 0), w))
+        order = {w: k for k, w in enumerate(rank)}
+        self.rank = np.array([order[int(h)] for h in self.indexed.sorted], dtype=np.int64)
         self.firsts = _Lookup(np.array([p[0] for p, _ in self.phrases], dtype=np.uint64))
 
     def base_places(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, str]]:
@@ -194,19 +224,52 @@ class LicenceIndex:
         where = np.repeat(place, runs)
         doc = np.searchsorted(first, where, side="right") - 1
         start = where - position
-        # votes for (document, template, alignment); a file may begin or end
-        # inside a template, so an alignment may lie partly outside
-        votes, n = np.unique(np.stack([doc, template, start]), axis=1, return_counts=True)
-        good = n >= np.array(self.needed)[votes[1]]
+        word = np.repeat(number, runs)
+        # of each file and template, the rarest words that the file has
+        held = np.unique(np.stack([doc, template, self.rank[word]]), axis=1)
+        group = np.flatnonzero(np.concatenate([[True], np.any(held[:2, 1:] != held[:2, :-1], axis=0)]))
+        sizes = np.diff(np.append(group, held.shape[1]))
+        chosen = np.arange(held.shape[1]) - np.repeat(group, sizes) < self.opt.file_words
+        n_rank = len(self.rank)
+        code = lambda d, t, r: (d * len(self.words) + t) * n_rank + r
+        voting = np.isin(code(doc, template, self.rank[word]), code(*held[:, chosen]))
+        doc, template, start, word = doc[voting], template[voting], start[voting], word[voting]
+        needed = {(int(held[0, g]), int(held[1, g])): max(1, int(np.ceil(self.opt.votes * min(n, self.opt.file_words))))
+                  for g, n in zip(group.tolist(), sizes.tolist())}
+        # alignments in order; a file may begin or end inside a template, so one may
+        # lie partly outside
+        order = np.lexsort((start, template, doc))
+        doc, template, start, word = doc[order], template[order], start[order], word[order]
+        apart = (np.diff(doc) != 0) | (np.diff(template) != 0) | (np.diff(start) > self.opt.step)
+        edges = np.concatenate([[0], np.flatnonzero(apart) + 1, [len(doc)]])
         out = []
-        for d, t, s in votes[:, good].T.tolist():
-            lo, hi = int(first[d]), int(first[d + 1])
-            words = self.words[t]
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            while lo < hi:
+                # a cluster spans ``drift`` words at most
+                stop = lo + int(np.searchsorted(start[lo:hi], start[lo] + self.opt.drift, side="right"))
+                d, t = int(doc[lo]), int(template[lo])
+                if stop - lo >= needed[d, t] and len(np.unique(word[lo:stop])) >= needed[d, t]:
+                    out += self._verified(hashes, first, d, t, start[lo:stop])
+                lo = stop
+        return out
+
+    def _verified(self, hashes, first, d: int, t: int, starts: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """The exact alignments of a cluster, or the match in order over all of it."""
+        lo, hi = int(first[d]), int(first[d + 1])
+        words, out = self.words[t], []
+        for s in np.unique(starts).tolist():
             a, b = max(s, lo), min(s + len(words), hi)
             part = hashes[a:b]
             share = float((part == words[a - s:b - s]).sum()) / len(words)
             if share >= self.opt.share and all(_contains(part, key) for key in self.keys[t]):
                 out.append((d, t, a, share))
+        if out:
+            return out
+        a, b = max(int(starts[0]), lo), min(int(starts[-1]) + len(words), hi)
+        part = hashes[a:b]
+        share = in_order(part, words) / len(words)
+        if share >= self.opt.share and all(_contains_near(part, key) for key in self.keys[t]):
+            out.append((d, t, a, share))
         return out
 
 

@@ -89,7 +89,7 @@ TEMPLATES = (
 @dataclass(frozen=True)
 class LicenceOptions:
     #: rarest words of a template that are indexed
-    index_words: int = 16
+    index_words: int = 12
     #: of these, a file's own rarest that vote
     file_words: int = 8
     #: share of a file's voting words that must agree on an alignment
@@ -181,12 +181,15 @@ class LicenceIndex:
         self.keys = [[_words(k) for k in keys] for _, _, keys in templates]
         self.phrases = [(_words(p), label) for p, label in phrases.items()]
         postings: dict[int, list[tuple[int, int]]] = {}
+        needed = []
         for t, words in enumerate(self.words):
             distinct = sorted({int(w) for w in words}, key=lambda w: (frequency.get(w, 0), w))
             chosen = set(distinct[:opt.index_words])
             places = [q for q, w in enumerate(words.tolist()) if w in chosen]
             for q in places:
                 postings.setdefault(int(words[q]), []).append((t, q))
+            needed.append(max(1, int(np.ceil(opt.votes * min(len(chosen), opt.file_words)))))
+        self.needed = np.array(needed, dtype=np.int64)
         self.indexed = _Lookup(np.array(sorted(postings), dtype=np.uint64))
         self.postings = [postings[int(h)] for h in self.indexed.sorted]
         # 0 is the rarest word of the corpus
@@ -225,17 +228,21 @@ class LicenceIndex:
         doc = np.searchsorted(first, where, side="right") - 1
         start = where - position
         word = np.repeat(number, runs)
-        # of each file and template, the rarest words that the file has
-        held = np.unique(np.stack([doc, template, self.rank[word]]), axis=1)
-        group = np.flatnonzero(np.concatenate([[True], np.any(held[:2, 1:] != held[:2, :-1], axis=0)]))
-        sizes = np.diff(np.append(group, held.shape[1]))
-        chosen = np.arange(held.shape[1]) - np.repeat(group, sizes) < self.opt.file_words
-        n_rank = len(self.rank)
-        code = lambda d, t, r: (d * len(self.words) + t) * n_rank + r
-        voting = np.isin(code(doc, template, self.rank[word]), code(*held[:, chosen]))
+        # of each file and template, the rarest words that the file has; a file with too
+        # few of them for a match is left out at once
+        n_rank, n_templates = len(self.rank), len(self.words)
+        key = (doc * n_templates + template) * n_rank + self.rank[word]
+        held = np.unique(key)
+        group = np.flatnonzero(np.diff(held // n_rank, prepend=-1))
+        sizes = np.diff(np.append(group, len(held)))
+        enough = sizes >= self.needed[held[group] // n_rank % n_templates]
+        chosen = held[(np.arange(len(held)) - np.repeat(group, sizes) < self.opt.file_words) & np.repeat(enough, sizes)]
+        if not len(chosen):
+            return []
+        at = np.searchsorted(chosen, key)
+        at[at == len(chosen)] = 0
+        voting = chosen[at] == key
         doc, template, start, word = doc[voting], template[voting], start[voting], word[voting]
-        needed = {(int(held[0, g]), int(held[1, g])): max(1, int(np.ceil(self.opt.votes * min(n, self.opt.file_words))))
-                  for g, n in zip(group.tolist(), sizes.tolist())}
         # alignments in order; a file may begin or end inside a template, so one may
         # lie partly outside
         order = np.lexsort((start, template, doc))
@@ -248,7 +255,7 @@ class LicenceIndex:
                 # a cluster spans ``drift`` words at most
                 stop = lo + int(np.searchsorted(start[lo:hi], start[lo] + self.opt.drift, side="right"))
                 d, t = int(doc[lo]), int(template[lo])
-                if stop - lo >= needed[d, t] and len(np.unique(word[lo:stop])) >= needed[d, t]:
+                if stop - lo >= self.needed[t] and len(set(word[lo:stop].tolist())) >= self.needed[t]:
                     out += self._verified(hashes, first, d, t, start[lo:stop])
                 lo = stop
         return out

@@ -119,3 +119,27 @@ def test_counts_at_sf001_match_fixture_spec(spark):
     assert st.between("20240101", "20240121").count() == 4206
     assert st.between("20240122", "20240130").count() == 1832
     assert st.hit_rows().count() == 10000
+
+
+def test_sessions_are_exported_without_hits(spark):
+    """Session rows are stored alone, derived once; hits and blocks follow when read."""
+    import tempfile
+    from conftest import SF_SMALL
+    from weblytics.session import children
+    from weblytics.sources import fixture
+    base = tempfile.mkdtemp(prefix="weblytics-lazy-")
+    for t in ("events", "customer", "nation", "region"):
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").write.parquet(f"{base}/{t}.parquet")
+    st = fixture.session_store(spark, base)
+    folder = st.root.rsplit("/", 1)[0]
+
+    def tables():
+        return sorted(t for c in children(spark, folder) for t in children(spark, f"{folder}/{c}"))
+
+    assert st.all().count() == 598 and tables() == ["sessions"]
+    whole = fixture.export_sessions(spark, base, f"{base}/export")
+    assert st.hit_leaves().exceptAll(whole.hit_leaves()).count() == 0
+    assert st.hit_rows().exceptAll(whole.hit_rows()).count() == 0 and st.hit_rows().count() == whole.hit_rows().count()
+    assert st.all().exceptAll(whole.all()).count() == 0
+    assert tables() == ["blocks", "hits", "sessions"]
+    assert fixture._exported(spark, base, folder, "hits") == st._folder("hits")     # written once

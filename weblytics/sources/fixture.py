@@ -16,7 +16,8 @@ layout (see ``sessions.SessionStore``):
   number of hits is spread over as many tasks as it has seconds.
 
 Both are written partitioned by the shard suffix; queries then read them
-like the sharded source table, with partition pruning.
+like the sharded source table, with partition pruning.  A store writes a table
+when it is first read: queries over sessions do not wait for hits.
 """
 
 from __future__ import annotations
@@ -187,27 +188,37 @@ def derive_hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _write(rows: DataFrame, path: str) -> None:
+    """Write ``rows`` partitioned by shard suffix.
+
+    Rows are rebalanced by suffix: adaptive execution puts small days together
+    and splits a busy day over several tasks by the measured size of its
+    shuffled rows, so the rows are derived once (range partitions would derive
+    them a second time, to sample their bounds) and there are few files.  The
+    overwrite is static: a dynamic one leaves no ``_SUCCESS``, and an export
+    without it is never used again."""
+    (rows.hint("rebalance", F.col(S.SUFFIX))
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(S.SUFFIX).parquet(path))
+
+
+def _blocks(stored: DataFrame) -> DataFrame:
+    """Rows with at most ``BLOCK_HITS`` hits of a session, from hit rows."""
+    number = F.floor((F.col("hit.hitNumber") - 1) / BLOCK_HITS)
+    return (stored.groupBy("fullVisitorId", "visitId", S.SUFFIX, number.alias("block"))
+            .agg(F.array_sort(F.collect_list("hit")).alias("hits")).drop("block"))
+
+
+def _stored_hits(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(S.HIT_ROW_WITH_SUFFIX).parquet(path)
+
+
 def export_sessions(spark: SparkSession, sf_dir: str, root: str) -> SessionStore:
     """Write the split layout: ``<root>/sessions``, ``<root>/hits`` and
     ``<root>/blocks`` (arrays of at most ``BLOCK_HITS`` hits), partitioned by
-    shard suffix.
-
-    Rows are range-partitioned on (suffix, start time) before each write:
-    every task writes one contiguous time slice into one or two day folders
-    (few files, sorted by start time inside each file), and a busy day is
-    split over several tasks instead of one."""
-    (derive_session_rows(spark, sf_dir)
-     .repartitionByRange(S.SUFFIX, "visitStartTime")
-     .write.mode("overwrite").partitionBy(S.SUFFIX).parquet(f"{root}/sessions"))
-    (derive_hit_rows(spark, sf_dir)
-     .repartitionByRange(S.SUFFIX, "visitId", "hit.hitNumber")
-     .write.mode("overwrite").partitionBy(S.SUFFIX).parquet(f"{root}/hits"))
-    stored = spark.read.schema(S.HIT_ROW_WITH_SUFFIX).parquet(f"{root}/hits")
-    number = F.floor((F.col("hit.hitNumber") - 1) / BLOCK_HITS)
-    (stored.groupBy("fullVisitorId", "visitId", S.SUFFIX, number.alias("block"))
-     .agg(F.array_sort(F.collect_list("hit")).alias("hits")).drop("block")
-     .repartitionByRange(S.SUFFIX, "visitId")
-     .write.mode("overwrite").partitionBy(S.SUFFIX).parquet(f"{root}/blocks"))
+    shard suffix."""
+    _write(derive_session_rows(spark, sf_dir), f"{root}/sessions")
+    _write(derive_hit_rows(spark, sf_dir), f"{root}/hits")
+    _write(_blocks(_stored_hits(spark, f"{root}/hits")), f"{root}/blocks")
     return SessionStore(spark, root, layout="split")
 
 
@@ -227,37 +238,46 @@ def _abs(path: str) -> str:
 
 
 _EXPORTED: dict[tuple[str, str], SessionStore] = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 
 
-def _complete(spark: SparkSession, root: str) -> bool:
-    return all(path_exists(spark, f"{root}/{t}/_SUCCESS") for t in ("sessions", "hits", "blocks"))
+def _exported(spark: SparkSession, sf_dir: str, base: str, table: str) -> str:
+    """The first complete folder of ``table`` under ``base``, in name order; where
+    there is none the table is written, and blocks from the stored hits."""
+    with _LOCK:  # one export even when several threads ask at once
+        done = [c for c in children(spark, base) if path_exists(spark, f"{base}/{c}/{table}/_SUCCESS")]
+        if done:
+            return f"{base}/{done[0]}/{table}"
+        if table == "sessions":
+            rows = derive_session_rows(spark, sf_dir)
+        elif table == "hits":
+            rows = derive_hit_rows(spark, sf_dir)
+        else:
+            rows = _blocks(_stored_hits(spark, _exported(spark, sf_dir, base, "hits")))
+        path = f"{base}/{uuid.uuid4().hex}/{table}"
+        _write(rows, path)
+        return path
 
 
 def session_store(spark: SparkSession, sf_dir: str) -> SessionStore:
-    """The exported session table for ``sf_dir``, exported on first use.
+    """The exported session table for ``sf_dir``: the session rows are exported
+    here on first use, hit rows and blocks when the store is first asked for them.
 
     Lives under the cluster's shared work folder, keyed by the input files, so
     it is reused by later queries and survives the loss of any executor.
-    Every export writes its own uniquely named folder under that key and is
-    used only once both of its tables are committed, so two processes that
-    export the same input at the same time never write into each other's
-    files; readers take the first complete copy in name order."""
+    Every export of a table writes its own uniquely named folder under that key
+    and is used only once it is committed, so two processes that export the same
+    input at the same time never write into each other's files; readers take the
+    first complete copy in name order."""
     configure(spark)
     # keyed by the running application: a new SparkContext never sees
     # DataFrames of a stopped one
     key = (app_id(spark), _abs(sf_dir))
-    with _LOCK:  # one export even when several threads ask at once
-        if key in _EXPORTED:
-            return _EXPORTED[key]
-        fingerprint = _fingerprint(spark, sf_dir)
-        base = f"{work_dir(spark)}/weblytics/sessions/{fingerprint}"
-        done = [c for c in children(spark, base) if _complete(spark, f"{base}/{c}")]
-        if done:
-            store = SessionStore(spark, f"{base}/{done[0]}", layout="split", key=fingerprint)
-        else:
-            root = f"{base}/{uuid.uuid4().hex}"
-            export_sessions(spark, sf_dir, root)
-            store = SessionStore(spark, root, layout="split", key=fingerprint)
-        _EXPORTED[key] = store
-        return store
+    with _LOCK:
+        if key not in _EXPORTED:
+            fingerprint = _fingerprint(spark, sf_dir)
+            base = f"{work_dir(spark)}/weblytics/sessions/{fingerprint}"
+            root = _exported(spark, sf_dir, base, "sessions").rsplit("/", 1)[0]
+            _EXPORTED[key] = SessionStore(spark, root, layout="split", key=fingerprint,
+                                          export=lambda table: _exported(spark, sf_dir, base, table))
+        return _EXPORTED[key]

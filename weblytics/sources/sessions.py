@@ -19,6 +19,7 @@ Two layouts are read:
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +47,19 @@ def _suffix_range(df: DataFrame, start: str | None, end: str | None) -> DataFram
 
 
 class SessionStore:
-    """Handle on a stored session table (``layout`` = "split" or "nested")."""
+    """Handle on a stored session table (``layout`` = "split" or "nested").
+    ``export``: gives the folder of ``hits`` or ``blocks`` where they are written
+    on first use (default: they are under ``root``)."""
 
     def __init__(self, spark: SparkSession, root: str, layout: str = "split",
-                 key: str | None = None):
+                 key: str | None = None, export: Callable[[str], str] | None = None):
         if layout not in ("split", "nested"):
             raise ValueError("layout must be 'split' or 'nested'")
         self.spark = spark
         self.root = root.rstrip("/")
         self.layout = layout
         self._key = key
+        self._export = export
         self._base: DataFrame | None = None
         self._hits: DataFrame | None = None
         self._shards: list[str] | None = None
@@ -82,12 +86,15 @@ class SessionStore:
         return self.all().where(F.col(S.SUFFIX).between(F.lit(start), F.lit(end)))
 
     # -- hits ---------------------------------------------------------------
+    def _folder(self, table: str) -> str:
+        return self._export(table) if self._export is not None else f"{self.root}/{table}"
+
     def hit_rows(self, start: str | None = None, end: str | None = None) -> DataFrame:
         """One row per hit: ``fullVisitorId``, ``visitId``, ``hit`` (struct),
         ``_table_suffix``."""
         if self.layout == "split":
             if self._hits is None:
-                self._hits = self.spark.read.schema(S.HIT_ROW_WITH_SUFFIX).parquet(f"{self.root}/hits")
+                self._hits = self.spark.read.schema(S.HIT_ROW_WITH_SUFFIX).parquet(self._folder("hits"))
             return _suffix_range(self._hits, start, end)
         sessions = _suffix_range(self.all(), start, end)
         return sessions.select(*KEYS, F.explode("hits").alias("hit"), S.SUFFIX)
@@ -96,7 +103,7 @@ class SessionStore:
         """Rows with a bounded ``hits`` array each (several per session)."""
         if self.layout == "nested":
             return _suffix_range(self.all(), start, end).select(*KEYS, "hits", S.SUFFIX)
-        blocks = self.spark.read.schema(S.HIT_BLOCK_WITH_SUFFIX).parquet(f"{self.root}/blocks")
+        blocks = self.spark.read.schema(S.HIT_BLOCK_WITH_SUFFIX).parquet(self._folder("blocks"))
         return _suffix_range(blocks, start, end)
 
     def hit_leaves(self, start: str | None = None, end: str | None = None,

@@ -208,3 +208,14 @@ def test_scores_are_evaluated_once(spark, store, basic_model):
     plan = evaluation.evaluate(scored)._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRelation" in plan or "Relation [" in plan
     assert "UDF" not in plan and "predicted_probability" not in plan
+
+
+def test_many_rows_are_fitted_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Every row once, in tasks of at most about ``ROWS_PER_TASK`` rows; few rows stay as they lie."""
+    from weblytics.plans import ml
+    monkeypatch.setattr(ml, "ROWS_PER_TASK", 100)
+    df = spark.range(2000, numPartitions=2)
+    dealt = ml.in_tasks(df, 2000)
+    sizes = dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 2000 and max(sizes) <= 200 and dealt.distinct().count() == 2000
+    assert ml.in_tasks(df, 100) is df

@@ -28,6 +28,7 @@ import hashlib
 import inspect
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, VectorAssembler
@@ -46,6 +47,7 @@ from ..sources import versions
 
 UNSEEN_INDEX, NULL_INDEX, EMPTY_INDEX, FIRST_INDEX = 0, 1, 2, 3
 RANK_BUCKETS = 64
+ROWS_PER_TASK = 200_000   # rows that one task of a fit holds
 FOLDS = 5            # folds of the cross-fitted shares
 FOLD_SEED = 11
 WORDS = "key string, feature string, value string, idx long, share double, fold_shares array<double>"
@@ -311,6 +313,14 @@ def eval_part(df: DataFrame, spec: ModelSpec) -> Column:
     return in_eval_split(spec.eval_fraction, spec.split_seed, key=row_key(KEY, df.columns))
 
 
+def in_tasks(df: DataFrame, n_rows: int) -> DataFrame:
+    """``df`` of ``n_rows`` rows, dealt over more tasks where they are many: a few
+    compressed files otherwise make a few tasks, whose vectors grow with the input."""
+    if n_rows <= ROWS_PER_TASK:
+        return df
+    return df.repartition(max(-(-n_rows // ROWS_PER_TASK), df.sparkSession.sparkContext.defaultParallelism))
+
+
 def split_summary(df: DataFrame, spec: ModelSpec) -> DataFrame:
     """Rows and positives of both parts."""
     return df.groupBy(F.when(eval_part(df, spec), "eval").otherwise("fit").alias("part")).agg(
@@ -329,8 +339,11 @@ def train(spark: SparkSession, features_df: DataFrame, spec: ModelSpec,
     words = materialise(dictionary(fit_rows, cats), "categories") if cats else None
     # rows to fit on take their shares from the other folds
     folded = fit_rows.withColumn("_fold", fold_of(fit_rows))
-    prepared = Classifier(None, words).prepared(folded, "_fold").drop("_fold")
+    prepared = in_tasks(Classifier(None, words).prepared(folded, "_fold").drop("_fold"), fit_rows.count())
+    # read by the null counts and by several jobs of the fit
+    prepared.persist(StorageLevel.MEMORY_AND_DISK)
     model = Classifier(build_pipeline(prepared, names, spec).fit(prepared), words)
+    prepared.unpersist()
     metrics_row = evaluation.evaluate(score(model, eval_rows, threshold))
     counts = data.agg(F.count_if(~F.col("_eval")).alias("n_train"), F.count_if("_eval").alias("n_eval"))
     summary = counts.select(

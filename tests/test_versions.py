@@ -71,3 +71,22 @@ def test_replacers_all_get_a_number(spark):
     [t.start() for t in threads]
     [t.join() for t in threads]
     assert versions.numbers(spark, root) == [1, 2, 3, 4, 5]
+
+
+def test_one_creator_succeeds_in_every_race(spark):
+    for _ in range(25):
+        root, won = root_of(spark), []
+        start = threading.Barrier(6)
+
+        def create(folder):
+            start.wait()
+            try:
+                versions.commit(spark, root, folder, replace=False)
+                won.append(folder)
+            except versions.AlreadyPresent:
+                pass
+
+        threads = [threading.Thread(target=create, args=(versions.new_folder(root),)) for _ in range(6)]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+        assert len(won) == 1 and versions.current(spark, root) == won[0]

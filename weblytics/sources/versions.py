@@ -30,6 +30,16 @@ class AlreadyPresent(Exception):
 def _create(spark: SparkSession, path: str, text: str) -> None:
     """Make a small file; ``AlreadyPresent`` if it exists."""
     fs, jpath = file_system(spark, path)
+    if fs.getUri().getScheme() == "file":
+        # Hadoop's local files are made in two steps (look, then open): two writers
+        # could both pass the first one
+        fs.mkdirs(jpath.getParent())
+        try:
+            with open(jpath.toUri().getPath(), "x", encoding="utf-8") as out:
+                out.write(f"{text}\n")
+        except FileExistsError as e:
+            raise AlreadyPresent(path) from e
+        return
     try:
         out = fs.create(jpath, False)
     except Exception as e:

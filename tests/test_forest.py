@@ -133,3 +133,37 @@ def test_empty_and_single_class(spark):
     ones, _ = R.fit(df.withColumn("label", F.lit(1).cast("long")), R.ForestOptions(max_depth=2, max_trees=2, trees_per_round=2))
     assert R.score(ones, df).agg(F.min("predicted_label")).first()[0] == 1
     assert ml.FOLDS == 5
+
+
+def test_a_fit_prepares_fit_and_held_out_rows_in_one_pass(spark, monkeypatch):
+    calls, prepared = [], ml.Classifier.prepared
+    monkeypatch.setattr(ml.Classifier, "prepared", lambda self, *a: calls.append(a) or prepared(self, *a))
+    R.fit(table(spark, 200), R.ForestOptions(max_depth=1, max_trees=1, trees_per_round=1))
+    assert len(calls) == 1
+
+
+def test_many_arrow_batches_are_counted_together(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 65, (1000, 4)).astype(np.uint8)
+    whole = pa.RecordBatch.from_arrays([pa.array(np.arange(1000)), pa.array(np.arange(1000) % 2),
+                                        pa.array([b.tobytes() for b in bins], pa.binary())], ["row", "label", "bins"])
+    batches = [whole.slice(k, 10) for k in range(0, 1000, 10)]
+    assert len(list(R._chunks(iter(batches), 4))) == 1
+    monkeypatch.setattr(R, "CHUNK_ROWS", 300)
+    chunks = list(R._chunks(iter(batches), 4))
+    assert [len(c[0]) for c in chunks] == [300, 300, 300, 100]
+    assert np.array_equal(np.concatenate([c[0] for c in chunks]), bins)
+    assert np.concatenate([c[1] for c in chunks]).tolist() == list(range(1000))
+    # an uneven tree: every row ends where a walk of its own ends
+    tree = R.Tree()
+    for node in (0, 1, 4):
+        tree.divide(node, node % 4, 30)
+
+    def walk(row, at=0):
+        while tree.feature[at] >= 0:
+            at = (tree.left if row[tree.feature[at]] <= tree.split[at] else tree.right)[at]
+        return at
+
+    assert tree.leaf_of(bins).tolist() == [walk(b) for b in bins]
+    assert tree.leaf_of(bins[:0]).tolist() == []

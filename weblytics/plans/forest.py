@@ -115,14 +115,43 @@ def binned(df: DataFrame, cuts: list[list[float]], kept: list[str]) -> DataFrame
         for batch in batches:
             rows = _matrix(batch, "values", cuts)
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([r.tobytes() for r in rows], pa.binary())], [*kept, "bins"])
+            ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+            bins = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
+            yield pa.RecordBatch.from_arrays([*arrays, bins], [*kept, "bins"])
 
     return df.select(*kept, "values").mapInArrow(run, schema)
 
 
 def _bin_matrix(batch: pa.RecordBatch, n_features: int) -> np.ndarray:
-    raw = b"".join(batch.column(batch.schema.get_field_index("bins")).to_pylist())
-    return np.frombuffer(raw, np.uint8).reshape(-1, n_features)
+    column = batch.column(batch.schema.get_field_index("bins")).cast(pa.binary())
+    size = len(column) * n_features
+    if not size:
+        return np.zeros((len(column), n_features), np.uint8)
+    _, ends, raw = column.buffers()
+    first = np.frombuffer(ends, np.int32)[column.offset]
+    return np.frombuffer(raw, np.uint8, count=size, offset=int(first)).reshape(-1, n_features)
+
+
+CHUNK_ROWS = 100_000   # rows whose bins a task counts at a time
+
+
+def _chunks(batches, n_features: int):
+    """(bins, row, label) of at most ``CHUNK_ROWS`` rows: a count over many rows
+    costs one histogram per chunk, not one per Arrow batch."""
+    held, n = [], 0
+
+    def joined():
+        return tuple(np.concatenate(parts) for parts in zip(*held))
+
+    for batch in batches:
+        row, label = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("row", "label"))
+        if held and n + len(row) > CHUNK_ROWS:
+            yield joined()
+            held, n = [], 0
+        held.append((_bin_matrix(batch, n_features), row, label.astype(np.int64)))
+        n += len(row)
+    if held:
+        yield joined()
 
 
 # ---------------------------------------------------------------------------
@@ -150,13 +179,18 @@ class Tree:
         """The node each row of a bin matrix ends in."""
         feature, split, left, right = (np.asarray(c) for c in (self.feature, self.split, self.left, self.right))
         at = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
+        flat = np.ascontiguousarray(bins).ravel()
+        # the rows that still walk, their nodes, and where their bins begin
+        rows, node = np.arange(len(bins)), np.zeros(len(bins), np.int64)
         while True:
-            inner = feature[at] >= 0
-            if not inner.any():
+            of = feature[node]
+            inner = of >= 0
+            if not inner.all():
+                at[rows[~inner]] = node[~inner]
+                rows, node, of = rows[inner], node[inner], of[inner]
+            if not len(rows):
                 return at
-            r, n = rows[inner], at[inner]
-            at[inner] = np.where(bins[r, feature[n]] <= split[n], left[n], right[n])
+            node = np.where(flat[rows * bins.shape[1] + of] <= split[node], left[node], right[node])
 
 
 def _drawn(row: np.ndarray, tree: int, opt: ForestOptions) -> np.ndarray:
@@ -188,24 +222,23 @@ def histograms(rows: DataFrame, trees: dict[int, Tree], open_nodes: dict[int, li
     def run(batches):
         trees_, open_, options = shared.value
         counts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            bins = _bin_matrix(batch, n_features)
-            row = batch.column(batch.schema.get_field_index("row")).to_numpy()
-            label = batch.column(batch.schema.get_field_index("label")).to_numpy().astype(np.int64)
-            base = np.arange(n_features) * width
+        for bins, row, label in _chunks(batches, n_features):
+            by_feature = np.ascontiguousarray(bins.T)
             for t, nodes in open_.items():
                 place = np.full(len(trees_[t].feature), -1, np.int64)
                 place[nodes] = np.arange(len(nodes))
                 local = place[trees_[t].leaf_of(bins)]
-                use = (local >= 0) & _drawn(row, t, options)
-                # one cell per (node, feature, bin, label)
-                cell = (local[use, None] * (n_features * width) + base[None, :] + bins[use]) * 2 + label[use, None]
-                found = np.bincount(cell.ravel(), minlength=len(nodes) * n_features * width * 2)
-                counts[t] = found if t not in counts else counts[t] + found
+                use = np.flatnonzero((local >= 0) & _drawn(row, t, options))
+                # one cell per (feature, node, bin, label); a feature's cells at a time
+                cell = local[use] * (width * 2) + label[use]
+                if t not in counts:
+                    counts[t] = np.zeros((n_features, len(nodes) * width * 2), np.int64)
+                for f in range(n_features):
+                    counts[t][f] += np.bincount(cell + by_feature[f][use].astype(np.int64) * 2, minlength=len(nodes) * width * 2)
         for t, flat in counts.items():
-            shaped = flat.reshape(len(open_[t]), n_features, width, 2)
-            node, feature, bin_ = np.nonzero(shaped.sum(axis=3))
-            cells = shaped[node, feature, bin_]
+            shaped = flat.reshape(n_features, len(open_[t]), width, 2)
+            feature, node, bin_ = np.nonzero(shaped.sum(axis=3))
+            cells = shaped[feature, node, bin_]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(node), t)), pa.array(np.asarray(open_[t])[node]), pa.array(feature), pa.array(bin_),
                  pa.array(cells.sum(axis=1)), pa.array(cells[:, 1])],
@@ -332,18 +365,18 @@ def fit(features_df: DataFrame, opt: ForestOptions = ForestOptions()) -> tuple[F
     spec = ml.ModelSpec("forest", "forest", eval_fraction=opt.eval_fraction, split_seed=opt.split_seed)
     keyed = (features_df.withColumn("_eval", ml.eval_part(features_df, spec))
              .withColumn("_row", F.xxhash64(row_key(KEY, features_df.columns))))
-    data = materialise(keyed.withColumn("_fold", ml.fold_of(features_df)), "forest-data")
+    # only fit rows have a fold
+    data = materialise(keyed.withColumn("_fold", F.when(~F.col("_eval"), ml.fold_of(features_df))), "forest-data")
     fit_rows = data.where(~F.col("_eval"))
     cats = [c for c in inputs if c in CATEGORICAL]
     words = materialise(ml.dictionary(fit_rows.drop("_eval", "_row", "_fold"), cats), "categories") if cats else None
 
     forest = Forest([], [], inputs, [], opt.base, words)
-    # fit rows take their shares from the other folds, held-out rows from all
-    crossed = ml.Classifier(None, words).prepared(fit_rows, "_fold")
-    plain = ml.Classifier(None, words).prepared(data.where("_eval"))
-    numbers = numeric_columns(crossed, inputs)
+    # one pass: fit rows take their shares from the other folds, held-out rows from all
+    prepared = ml.Classifier(None, words).prepared(data, "_fold")
+    numbers = numeric_columns(prepared, inputs)
     forest.names = list(numbers)
-    wide = materialise(crossed.unionByName(plain).select(
+    wide = materialise(prepared.select(
         F.col("_row").alias("row"), F.col("label").cast("long").alias("label"), "_eval",
         *[c.alias(n) for n, c in numbers.items()]), "forest-values")
     forest.cuts = cut_points(wide.where(~F.col("_eval")), forest.names, opt.max_bins)

@@ -168,19 +168,21 @@ def dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
 def with_categories(df: DataFrame, words: DataFrame, cols: list[str], overall: float,
                     fold: str | None = None) -> DataFrame:
     """``df`` plus ``<feature>__idx`` and ``<feature>__share``.  ``fold``: a column
-    with the fold of each row, whose share is then that of the other folds."""
-    share = F.col("share") if fold is None else F.col("fold_shares")
+    with the fold of each row, whose share is then that of the other folds; a row
+    without a fold takes the share over all."""
+    shares = [F.col("share").alias("_share")] + ([] if fold is None else [F.col("fold_shares").alias("_others")])
     # the same right side for every feature: one exchange serves all joins
     own = words.where(F.col("key").isNotNull()).select(
-        F.col("key").alias("_key"), F.col("idx").cast("double").alias("_idx"), share.alias("_share"))
+        F.col("key").alias("_key"), F.col("idx").cast("double").alias("_idx"), *shares)
     for c in cols:
         value = F.col(c).cast("string")
         reserved: Column = F.when(value.isNull(), NULL_INDEX).when(value == "", EMPTY_INDEX).otherwise(UNSEEN_INDEX)
-        known = F.col("_share") if fold is None else F.get("_share", F.col(fold))
+        known = F.col("_share") if fold is None else F.when(F.col(fold).isNull(), F.col("_share")).otherwise(
+            F.get("_others", F.col(fold)))
         df = (df.join(own, value_key(c, value) == F.col("_key"), "left")
               .withColumn(f"{c}__idx", F.coalesce("_idx", reserved.cast("double")))
               .withColumn(f"{c}__share", F.coalesce(known, F.lit(overall)))
-              .drop("_key", "_idx", "_share"))
+              .drop("_key", "_idx", "_share", "_others"))
     return df
 
 

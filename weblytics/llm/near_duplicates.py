@@ -192,7 +192,7 @@ def _spanning(nodes, blocks, regs, chance, cross: bool, opt: NearOptions) -> lis
 def plausible_links(classes: DataFrame, held: DataFrame, opt: NearOptions) -> DataFrame:
     """(a, b) between classes that share a band key and whose estimate is near
     the limit or above: per key (in blocks, if many hold it) as many as connect
-    its plausible pairs."""
+    its plausible pairs.  A pair comes once from every unit that found it."""
     blocks = F.ceil(F.col("n") / opt.block_classes).cast("int")
     own = F.pmod(F.xxhash64(F.lit(5), "node"), blocks).cast("int")
     units = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(
@@ -238,7 +238,7 @@ def plausible_links(classes: DataFrame, held: DataFrame, opt: NearOptions) -> Da
         if held_back is not None and len(held_back):
             yield links(held_back)
 
-    return map_arrow(rows, run, "a long, b long").distinct()
+    return map_arrow(rows, run, "a long, b long")
 
 
 def members_of_units(classes: DataFrame, keys: DataFrame, opt: NearOptions) -> DataFrame:

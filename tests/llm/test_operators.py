@@ -684,6 +684,25 @@ def test_sharding_query(spark):
         assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
 
 
+def test_little_text_is_written_by_few_tasks(spark):
+    """Shards of little text have no file for each shuffle partition, and whole rows."""
+    keys = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    docs = spark.createDataFrame([(i, f"text {i % 700}") for i in range(2000)], "doc_id long, text string")
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        found = sharding.shard(docs)
+        # two tasks per core, each with rows of every shard at most
+        assert len(found.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism * 8 < 96
+        rows = found.collect()
+        assert sorted((r.doc_id, r.text) for r in rows) == [(i, f"text {i % 700}") for i in range(2000)]
+        assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(8) for k in range(250)]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_token_file_query(spark):
     docs = key_order([(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()])
     rows = sorted(queries()["op7_token_files"](spark, SF).collect(), key=lambda r: r.doc_id)

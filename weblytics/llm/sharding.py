@@ -78,11 +78,15 @@ def shuffled_buckets(rows: DataFrame, seed: int, buckets: int) -> DataFrame:
     return group_arrow(scattered, "bucket", shuffle, extended(scattered.select("row", "bucket"), "pos long"))
 
 
-def bucket_count(docs: DataFrame, text: str, bucket_bytes: int) -> int:
+def bucket_count(docs: DataFrame, text: str, bucket_bytes: int) -> tuple[int, int]:
     """Enough buckets that one holds about ``bucket_bytes`` of text, and at
-    least two for each shuffle partition."""
+    least two for each shuffle partition; and the tasks that write them: one for
+    ``bucket_bytes``, two per core at least.  A little text in very many partitions
+    would be as many tasks, each with files of its own in several shards."""
+    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    return max(-(-int(total) // bucket_bytes), 2 * shuffle_partitions(docs.sparkSession))
+    full = -(-int(total) // bucket_bytes)
+    return max(full, 2 * shuffle_partitions(spark)), max(full, 2 * spark.sparkContext.defaultParallelism)
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 17, key: str = "doc_id",
@@ -91,7 +95,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17, key: str = "doc_id",
     several files each, every file in slot order) in the shared work folder; returns
     the table read back: the input columns, ``shard`` and ``slot`` (gapless from 0)."""
     docs = drop_names(docs, OUTPUT)
-    buckets = bucket_count(docs, text, bucket_bytes)
+    buckets, writers = bucket_count(docs, text, bucket_bytes)
     packed = packed_rows(docs, hot_rows)
     mixed = shuffled_buckets(packed, seed, buckets)
     counts = packed.groupBy(bucket_of(seed, buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -103,4 +107,4 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17, key: str = "doc_id",
     placed = (mixed.join(offsets, "bucket").select("row", place)
               .withColumn("shard", F.expr(f"int(((place + 1) * {shards} - 1) div {max(rows, 1)})"))
               .select("row.*", "shard", F.expr(f"place - (shard * bigint({rows})) div {shards}").alias("slot")))
-    return store(placed.sortWithinPartitions("shard", "slot"), "shards", partition_by=["shard"])
+    return store(placed.coalesce(writers).sortWithinPartitions("shard", "slot"), "shards", partition_by=["shard"])

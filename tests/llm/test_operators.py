@@ -731,7 +731,7 @@ def test_connected_components(spark):
 
 def test_components_of_few_edges_take_few_tasks(spark):
     """A round over few edges does not take a task for each shuffle partition."""
-    from weblytics.llm.graph import connected_components, tasks_for
+    from weblytics.llm import graph
 
     keys = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in keys}
@@ -739,12 +739,12 @@ def test_components_of_few_edges_take_few_tasks(spark):
     try:
         for k, v in keys.items():
             spark.conf.set(k, v)
-        found = connected_components(edges)
+        found = graph.connected_components(edges)
         few = 2 * spark.sparkContext.defaultParallelism
         # the stored last round has a file for each task that held edges
         assert len(found.inputFiles()) <= few < 96
         assert found.count() == found.select("node").distinct().count() == 600
-        assert tasks_for(edges, 300) == few and tasks_for(edges, 10 ** 9) == 96
+        assert graph.tasks_for(edges, 300) == few and graph.tasks_for(edges, 10 ** 9) == 96
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

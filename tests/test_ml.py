@@ -1,11 +1,15 @@
 """Model training, storing, loading and scoring (no SQL oracle: properties)."""
 
+import re
+
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from weblytics.operators.features import CATEGORICAL
 from weblytics.plans import ml
 from weblytics.plans.catalogue import feature_set
+from weblytics.session import materialise
 
 
 @pytest.fixture(scope="module")
@@ -219,3 +223,28 @@ def test_many_rows_are_fitted_in_tasks_of_bounded_size(spark, monkeypatch):
     sizes = dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(sizes) == 2000 and max(sizes) <= 200 and dealt.distinct().count() == 2000
     assert ml.in_tasks(df, 100) is df
+
+
+def _largest_method(spark, df, capsys):
+    """Bytes of the largest method that Spark generates for ``df``."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        capsys.readouterr()
+        df.explain("codegen")
+        return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_joins_of_all_categories_stay_compilable(spark, capsys):
+    # the JVM never compiles a method over 8,000 bytes
+    cats = sorted(CATEGORICAL)
+    numbers = [f"n{i}" for i in range(15)]
+    df = spark.range(40).select(
+        F.col("id").cast("string").alias("unique_session_id"), (F.col("id") % 2).alias("label"),
+        *[F.concat(F.lit("v"), F.col("id") % (i + 2)).alias(c) for i, c in enumerate(cats)],
+        *[(F.col("id") * i).alias(c) for i, c in enumerate(numbers)])
+    words = materialise(ml.dictionary(df, cats), "test-words")
+    got = ml.with_categories(df, words, cats, 0.5)
+    assert _largest_method(spark, got, capsys) <= 8000
+    assert got.count() == 40 and got.where(F.col("os__idx") < ml.FIRST_INDEX).count() == 0

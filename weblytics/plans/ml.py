@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -48,6 +49,7 @@ from ..sources import versions
 UNSEEN_INDEX, NULL_INDEX, EMPTY_INDEX, FIRST_INDEX = 0, 1, 2, 3
 RANK_BUCKETS = 64
 ROWS_PER_TASK = 200_000   # rows that one task of a fit holds
+JOINS_TOGETHER = 4        # dictionary joins in one piece of generated code
 FOLDS = 5            # folds of the cross-fitted shares
 FOLD_SEED = 11
 WORDS = "key string, feature string, value string, idx long, share double, fold_shares array<double>"
@@ -165,6 +167,14 @@ def dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
     return known.unionByName(unseen)
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """The same rows; the code that Spark generates for the steps before does not
+    run on into the steps after.  (Row counts are observed between the two, a step
+    without generated code.)  The joins of all features and the pipeline in one
+    method are over the 8,000 bytes that the JVM compiles, and run interpreted."""
+    return df.observe(f"prepared-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n_rows"))
+
+
 def with_categories(df: DataFrame, words: DataFrame, cols: list[str], overall: float,
                     fold: str | None = None) -> DataFrame:
     """``df`` plus ``<feature>__idx`` and ``<feature>__share``.  ``fold``: a column
@@ -173,7 +183,7 @@ def with_categories(df: DataFrame, words: DataFrame, cols: list[str], overall: f
     # the same right side for every feature: one exchange serves all joins
     own = words.where(F.col("key").isNotNull()).select(
         F.col("key").alias("_key"), F.col("idx").cast("double").alias("_idx"), share.alias("_share"))
-    for c in cols:
+    for i, c in enumerate(cols, start=1):
         value = F.col(c).cast("string")
         reserved: Column = F.when(value.isNull(), NULL_INDEX).when(value == "", EMPTY_INDEX).otherwise(UNSEEN_INDEX)
         known = F.col("_share") if fold is None else F.get("_share", F.col(fold))
@@ -181,6 +191,8 @@ def with_categories(df: DataFrame, words: DataFrame, cols: list[str], overall: f
               .withColumn(f"{c}__idx", F.coalesce("_idx", reserved.cast("double")))
               .withColumn(f"{c}__share", F.coalesce(known, F.lit(overall)))
               .drop("_key", "_idx", "_share"))
+        if i % JOINS_TOGETHER == 0 or i == len(cols):
+            df = _apart(df)
     return df
 
 
